@@ -13,7 +13,7 @@ from pyspark.sql import Column, functions as F, types as T
 
 from .text import strip
 
-CLOCK = r"(?:(?:T|\s+)(?:[01]?\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:\.\d+)?)?)?"
+CLOCK = r"(?:(?:T| +)(?:[01]?\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:\.\d+)?)?)?"
 YEAR_FIRST = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})" + CLOCK + "$"
 NUMBERS = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})" + CLOCK + "$"
 COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
@@ -50,25 +50,26 @@ def parse_date(c: Column, dtype: T.DataType = T.StringType(), dayfirst: bool = T
     this_year = this_year or dt.date.today().year
     s = strip(c)
 
-    def group(pattern, i):
-        return F.regexp_extract(s, pattern, i)
-
-    def month(pattern, i):
-        short = F.lower(F.substring(group(pattern, i), 1, 3))
-        return F.array_position(F.array(*[F.lit(m) for m in MONTHS]), short).cast("string")
-
-    first, second = group(NUMBERS, 1), group(NUMBERS, 2)
-    year = _full_year(group(NUMBERS, 3), this_year)
+    # Numeric shapes: the day part, one separator, cut at its dashes.
+    day = F.translate(F.substring_index(F.substring_index(s, " ", 1), "T", 1), "/.", "--")
+    first = F.substring_index(day, "-", 1)
+    second = F.substring_index(F.substring_index(day, "-", 2), "-", -1)
+    year = _full_year(F.substring_index(day, "-", -1), this_year)
     as_day_month, as_month_day = _ymd(year, second, first), _ymd(year, first, second)
     either = (as_day_month, as_month_day) if dayfirst else (as_month_day, as_day_month)
+
+    def named(pattern, y, m, d):
+        short = F.lower(F.substring(F.regexp_extract(s, pattern, m), 1, 3))
+        month = F.array_position(F.array(*[F.lit(x) for x in MONTHS]), short).cast("string")
+        return _ymd(_full_year(F.regexp_extract(s, pattern, y), this_year), month,
+                    F.regexp_extract(s, pattern, d))
+
     return (
-        F.when(s.rlike(YEAR_FIRST), F.regexp_replace(s, YEAR_FIRST, "$1-$2-$3").try_cast("date"))
+        F.when(s.rlike(YEAR_FIRST), day.try_cast("date"))
         .when(s.rlike(NUMBERS), F.coalesce(*either))
         .when(s.rlike(COMPACT), F.regexp_replace(s, COMPACT, "$1-$2-$3").try_cast("date"))
-        .when(s.rlike(DAY_NAME), _ymd(_full_year(group(DAY_NAME, 3), this_year),
-                                      month(DAY_NAME, 2), group(DAY_NAME, 1)))
-        .when(s.rlike(NAME_DAY), _ymd(_full_year(group(NAME_DAY, 3), this_year),
-                                      month(NAME_DAY, 1), group(NAME_DAY, 2)))
+        .when(s.rlike(DAY_NAME), named(DAY_NAME, y=3, m=2, d=1))
+        .when(s.rlike(NAME_DAY), named(NAME_DAY, y=3, m=1, d=2))
     )
 
 

@@ -25,15 +25,17 @@ def parse_amount(c: Column, dtype: T.DataType = T.StringType()) -> Column:
     if isinstance(dtype, T.NumericType):
         value = c.cast("double")
         return F.when(~F.isnan(value), value)
-    text = strip(c.cast("string"))
-    bracketed = text.startswith("(") & text.endswith(")")
-    text = F.regexp_replace(text, r"^[()]+|[()]+$", "")
+    plain = strip(c.cast("string"))
+    bracketed = plain.startswith("(") & plain.endswith(")")
+    text = F.regexp_replace(plain, r"^[()]+|[()]+$", "")
     text = F.regexp_replace(text, r"(?iU)\b(?:zar|rand)\b", "")
     text = F.regexp_replace(text, r"[Rr \u00a0]", "")
-    decimal_comma = text.contains(",") & ~text.contains(".") & text.rlike(r",\d{1,2}$")
-    text = F.when(decimal_comma, F.translate(text, ",", ".")).otherwise(text)
+    # commas are decimal only without a dot and before one or two last digits
+    text = (F.when(text.rlike(r"^[^.]*,\d{1,2}$"), F.translate(text, ",", "."))
+            .otherwise(F.translate(text, ",", "")))
     number = F.regexp_replace(text, r"[^0-9.\-]", "").try_cast("double")
-    return F.when(bracketed, -number).otherwise(number)
+    return (F.when(plain.rlike(r"^-?[0-9]+(?:\.[0-9]+)?$"), plain.try_cast("double"))
+            .when(bracketed, -number).otherwise(number))
 
 
 def money_text(c: Column, symbol: str = "R", decimals: int = 0) -> Column:

@@ -63,14 +63,21 @@ def attach(df: DataFrame, facts: Settled, keys: list[str], values: list[str],
     return out.withColumns(merged).drop(*dropped)
 
 
-def mark_repeats(df: DataFrame, keys: list[str], order_by: str, name: str) -> DataFrame:
-    """Boolean ``name``: an equal row (null equals null) stands earlier in
-    ``order_by``, which must be unique and not null."""
+def repeat_facts(df: DataFrame, keys: list[str], order_by: str) -> Settled:
+    """First row and size of every group of two or more equal keys."""
     groups = (df.groupBy(*[quoted(k) for k in keys])
               .agg(F.min(quoted(order_by)).alias("_first"),
                    F.count(F.lit(1)).alias(GROUP_ROWS))
               .filter(F.col(GROUP_ROWS) > 1))
-    out = attach(df, settle(groups, weight=GROUP_ROWS), keys, ["_first"], quoted(order_by))
+    return settle(groups, weight=GROUP_ROWS)
+
+
+def mark_repeats(df: DataFrame, keys: list[str], order_by: str, name: str,
+                 facts: Settled | None = None) -> DataFrame:
+    """Boolean ``name``: an equal row (null equals null) stands earlier in
+    ``order_by``, which must be unique and not null."""
+    facts = facts or repeat_facts(df, keys, order_by)
+    out = attach(df, facts, keys, ["_first"], quoted(order_by))
     repeat = F.coalesce(quoted(order_by) != F.col("_first"), F.lit(False))
     return out.withColumn(name, repeat).drop("_first")
 
@@ -97,13 +104,12 @@ def drop_or_flag_duplicates(df: DataFrame, keys: list[str], order_by: str, drop:
     return marked.filter(~F.col(name)).drop(name) if drop else marked
 
 
-def group_exposure(df: DataFrame, key: str, amount: str, limit: str, order_by: Column,
-                   name: str) -> DataFrame:
-    """Adds the group's total of ``amount`` where it passes the lowest positive
-    ``limit`` in the group; null elsewhere, where no row can be in breach."""
+def exposure_facts(df: DataFrame, key: str, amount: str, limit: str, name: str) -> Settled:
+    """Total of ``amount`` per group, for the groups where it passes the lowest
+    positive ``limit`` in them; in the others no row can be in breach."""
     positive = F.when(F.col(limit) > 0, F.col(limit))
     groups = (df.groupBy(quoted(key))
               .agg((F.rint(F.sum(amount) * 100) / 100).alias(name),
                    F.min(positive).alias("_least"), F.count(F.lit(1)).alias(GROUP_ROWS))
               .filter(F.col(name) > F.col("_least")).drop("_least"))
-    return attach(df, settle(groups, weight=GROUP_ROWS), [key], [name], order_by)
+    return settle(groups, weight=GROUP_ROWS)

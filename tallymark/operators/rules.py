@@ -14,6 +14,7 @@ import datetime as dt
 from pyspark.sql import Column, functions as F
 
 from ..constants import CRITICAL_FLAGS, FLAG_ORDER, RULES, Options
+from ..functions import text
 from ..functions.text import is_missing, strip
 
 NEVER = None
@@ -50,7 +51,7 @@ def _no_contact(ctx: Context) -> Column:
 def _bad_address(ctx: Context) -> Column:
     bad = F.lit(False)
     if "Postal_Code" in ctx.mapped:
-        code = F.regexp_replace(F.col("Postal_Code"), r"(?U)\s", "")
+        code = text.replace_space(F.col("Postal_Code"), "S", "")
         bad = bad | ~F.coalesce(code.rlike(r"^\d{4,10}$"), F.lit(False))
     if "Address" in ctx.mapped:
         bad = bad | (F.length(strip(F.coalesce(F.col("Address"), F.lit("")))) < 8)
@@ -58,7 +59,7 @@ def _bad_address(ctx: Context) -> Column:
 
 
 def _bad_tax_number(ctx: Context) -> Column:
-    number = F.regexp_replace(F.col("VAT_Number"), r"(?U)[\s-]", "")
+    number = F.regexp_replace(text.replace_space(F.col("VAT_Number"), "S", ""), "-", "")
     return ~is_missing(number) & ~number.rlike(r"^\d{9,15}$")
 
 

@@ -12,25 +12,27 @@ from ..constants import (CANONICAL, HELPER_COLUMNS, LEADING_COLUMNS, RECON_NO, R
 from ..functions import dates, numbers, text
 from ..functions.text import quoted
 from ..operators import report, rules
-from ..operators.keyed import group_exposure, mark_repeats
+from ..operators.keyed import attach, exposure_facts, mark_repeats, repeat_facts
 from ..operators.schema import MappedTable, map_columns
+from ..operators.staging import settle
 
 TYPED_DATES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def scrub(df: DataFrame, o: Options) -> DataFrame:
     """R01 on every column but Amount; a typed date keeps its type."""
-    out = []
+    cells, final = [], []
     for f in df.schema.fields:
         c = quoted(f.name)
-        if f.name in (o.order_by, "Amount"):
-            out.append(c)
-        elif f.name == "Date" and isinstance(f.dataType, TYPED_DATES):
-            out.append(c)
+        typed_date = f.name == "Date" and isinstance(f.dataType, TYPED_DATES)
+        if f.name in (o.order_by, "Amount") or typed_date:
+            cells.append(c)
+            final.append(c)
         else:
             cell = text.as_text(c, f.dataType)
-            out.append((text.clean_text(cell) if o.on("R01") else cell).alias(f.name))
-    return df.select(*out)
+            cells.append((text.tidy(cell) if o.on("R01") else cell).alias(f.name))
+            final.append((text.null_words(c) if o.on("R01") else c).alias(f.name))
+    return df.select(*cells).select(*final)
 
 
 def not_blank(df: DataFrame, o: Options) -> DataFrame:
@@ -95,8 +97,7 @@ def cross_row(df: DataFrame, mapped: frozenset[str], o: Options, local_only=Fals
     stream) the columns exist and never fire."""
     ctx = rules.Context(o, mapped)
     no = F.lit(False)
-    blank_client = F.coalesce(F.col("Client_ID"), F.lit(""))
-    df = df.withColumn("_client", blank_client)
+    df = df.withColumn("_client", F.coalesce(F.col("Client_ID"), F.lit("")))
     wants = {"_duplicate": ctx.runs("R12") and (o.drop_duplicates or o.flag_duplicates),
              "_same_day": ctx.runs("R17"), "_exposure": ctx.runs("R15")}
     if local_only:
@@ -104,21 +105,31 @@ def cross_row(df: DataFrame, mapped: frozenset[str], o: Options, local_only=Fals
     if (wants["_duplicate"] or wants["_same_day"]) and o.order_by is None:
         raise ValueError("duplicate rules need Options.order_by: a unique column that says "
                          "which of several equal rows came first")
+    # Group facts need few columns: parse those once, into a narrow table.
+    entry, day = ["Date", "Client_ID", "Amount", "Reference"], ["_date", "_client", "Amount"]
+    names = {"_duplicate": entry, "_same_day": day, "_exposure": ["_client", "Amount", "_limit"]}
+    needed = {c for k, on in wants.items() if on for c in names[k]}
+    narrow = df.select(*sorted(needed), *([quoted(o.order_by)] if o.order_by else []))
+    if sum(wants.values()) > 1:
+        narrow = settle(narrow).df
+    df = df.withColumns({"_duplicate": no, "_same_day": no})
     if wants["_duplicate"]:
-        df = mark_repeats(df, ["Date", "Client_ID", "Amount", "Reference"], o.order_by,
-                          "_duplicate")
+        facts = repeat_facts(narrow, entry, o.order_by)
+        df = mark_repeats(df, entry, o.order_by, "_duplicate", facts)
         if o.drop_duplicates:
             df = df.filter(~F.col("_duplicate"))
-    else:
-        df = df.withColumn("_duplicate", no)
+            narrow = mark_repeats(narrow, entry, o.order_by, "_duplicate", facts)
+            narrow = narrow.filter(~F.col("_duplicate")).drop("_duplicate")
     if wants["_exposure"]:
         spread = quoted(o.order_by) if o.order_by else F.xxhash64(*[quoted(c) for c in df.columns])
-        df = group_exposure(df, "_client", "Amount", "_limit", spread, "_exposure")
+        facts = exposure_facts(narrow, "_client", "Amount", "_limit", "_exposure")
+        df = attach(df, facts, ["_client"], ["_exposure"], spread)
     else:
         df = df.withColumn("_exposure", F.lit(None).cast("double"))
     if wants["_same_day"]:
-        return mark_repeats(df, ["_date", "_client", "Amount"], o.order_by, "_same_day")
-    return df.withColumn("_same_day", no)
+        df = mark_repeats(df, day, o.order_by, "_same_day",
+                          repeat_facts(narrow, day, o.order_by))
+    return df
 
 
 def judge(df: DataFrame, mapped: frozenset[str], o: Options) -> DataFrame:
