@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallymark.operators.staging import settle
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
 
@@ -73,7 +75,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_STAGED: dict[tuple[str, str], DataFrame] = {}
+
+
 def ledger_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    for name in ("orders", "customer"):
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
-    return spark.sql(f"WITH {LEDGER_CTE} SELECT * FROM ledger_raw".replace('"', "`"))
+    """The dirty ledger, derived once per session and folder."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _STAGED:
+        for name in ("orders", "customer"):
+            table(spark, sf_dir, name).createOrReplaceTempView(name)
+        rows = spark.sql(f"WITH {LEDGER_CTE} SELECT * FROM ledger_raw".replace('"', "`"))
+        _STAGED[at] = settle(rows).df
+    return _STAGED[at]

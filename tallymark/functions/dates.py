@@ -11,7 +11,7 @@ import datetime as dt
 
 from pyspark.sql import Column, functions as F, types as T
 
-from .text import strip
+from .text import bind, strip
 
 CLOCK = r"(?:(?:T| +)(?:[01]?\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:\.\d+)?)?)?"
 YEAR_FIRST = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})" + CLOCK + "$"
@@ -50,26 +50,31 @@ def parse_date(c: Column, dtype: T.DataType = T.StringType(), dayfirst: bool = T
     this_year = this_year or dt.date.today().year
     s = strip(c)
 
-    # Numeric shapes: the day part, one separator, cut at its dashes.
-    day = F.translate(F.substring_index(F.substring_index(s, " ", 1), "T", 1), "/.", "--")
-    first = F.substring_index(day, "-", 1)
-    second = F.substring_index(F.substring_index(day, "-", 2), "-", -1)
-    year = _full_year(F.substring_index(day, "-", -1), this_year)
-    as_day_month, as_month_day = _ymd(year, second, first), _ymd(year, first, second)
-    either = (as_day_month, as_month_day) if dayfirst else (as_month_day, as_day_month)
-
-    def named(pattern, y, m, d):
-        short = F.lower(F.substring(F.regexp_extract(s, pattern, m), 1, 3))
-        month = F.array_position(F.array(*[F.lit(x) for x in MONTHS]), short).cast("string")
-        return _ymd(_full_year(F.regexp_extract(s, pattern, y), this_year), month,
-                    F.regexp_extract(s, pattern, d))
-
+    def numeric_day(t):
+        # one separator: the day part is cut at its dashes
+        day = F.translate(F.substring_index(F.substring_index(t, " ", 1), "T", 1), "/.", "--")
+        first = F.substring_index(day, "-", 1)
+        second = F.substring_index(F.substring_index(day, "-", 2), "-", -1)
+        year = _full_year(F.substring_index(day, "-", -1), this_year)
+        ways = (_ymd(year, second, first), _ymd(year, first, second))
+        return F.coalesce(*(ways if dayfirst else reversed(ways)))
+
+    def named_day(t):
+        def build(pattern, y, m, d):
+            short = F.lower(F.substring(F.regexp_extract(t, pattern, m), 1, 3))
+            month = F.array_position(F.array(*[F.lit(x) for x in MONTHS]), short)
+            return _ymd(_full_year(F.regexp_extract(t, pattern, y), this_year),
+                        month.cast("string"), F.regexp_extract(t, pattern, d))
+        return (F.when(t.rlike(DAY_NAME), build(DAY_NAME, y=3, m=2, d=1))
+                .when(t.rlike(NAME_DAY), build(NAME_DAY, y=3, m=1, d=2)))
+
+    year_first = F.translate(F.substring_index(F.substring_index(s, " ", 1), "T", 1), "/.", "--")
     return (
-        F.when(s.rlike(YEAR_FIRST), day.try_cast("date"))
-        .when(s.rlike(NUMBERS), F.coalesce(*either))
+        F.when(s.rlike(YEAR_FIRST), year_first.try_cast("date"))
+        .when(s.rlike(NUMBERS), bind(s, numeric_day))
         .when(s.rlike(COMPACT), F.regexp_replace(s, COMPACT, "$1-$2-$3").try_cast("date"))
-        .when(s.rlike(DAY_NAME), named(DAY_NAME, y=3, m=2, d=1))
-        .when(s.rlike(NAME_DAY), named(NAME_DAY, y=3, m=1, d=2))
+        .when(s.rlike("(?i)jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"),
+              bind(s, named_day))
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F, types as T
 
-from .text import strip
+from .text import bind, strip
 
 # --- fixed value: what looks like a number once the symbol is ignored --------
 NUMERIC_GATE = (r"(?iU)^\s*[-+(]?\s*(?:ZAR|US\$|R|\$|€|£|¥)?\s*"
@@ -26,16 +26,24 @@ def parse_amount(c: Column, dtype: T.DataType = T.StringType()) -> Column:
         value = c.cast("double")
         return F.when(~F.isnan(value), value)
     plain = strip(c.cast("string"))
-    bracketed = plain.startswith("(") & plain.endswith(")")
-    text = F.regexp_replace(plain, r"^[()]+|[()]+$", "")
-    text = F.regexp_replace(text, r"(?iU)\b(?:zar|rand)\b", "")
-    text = F.regexp_replace(text, r"[Rr \u00a0]", "")
-    # commas are decimal only without a dot and before one or two last digits
-    text = (F.when(text.rlike(r"^[^.]*,\d{1,2}$"), F.translate(text, ",", "."))
-            .otherwise(F.translate(text, ",", "")))
-    number = F.regexp_replace(text, r"[^0-9.\-]", "").try_cast("double")
+
+    def from_text(t):
+        t = F.regexp_replace(t, r"^[()]+|[()]+$", "")
+        t = F.regexp_replace(t, r"(?iU)\b(?:zar|rand)\b", "")
+        return F.regexp_replace(t, r"[Rr \u00a0]", "")
+
+    def number(t):
+        # commas are decimal only without a dot and before one or two last digits
+        t = (F.when(t.rlike(r"^[^.]*,\d{1,2}$"), F.translate(t, ",", "."))
+             .otherwise(F.translate(t, ",", "")))
+        return F.regexp_replace(t, r"[^0-9.\-]", "").try_cast("double")
+
+    def signed(t):
+        sign = F.when(t.startswith("(") & t.endswith(")"), -1.0).otherwise(1.0)
+        return bind(from_text(t), number) * sign
+
     return (F.when(plain.rlike(r"^-?[0-9]+(?:\.[0-9]+)?$"), plain.try_cast("double"))
-            .when(bracketed, -number).otherwise(number))
+            .otherwise(bind(plain, signed)))
 
 
 def money_text(c: Column, symbol: str = "R", decimals: int = 0) -> Column:

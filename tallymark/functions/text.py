@@ -31,6 +31,12 @@ def as_text(c: Column, dtype: T.DataType) -> Column:
     return c.cast("string")
 
 
+def bind(c: Column, then) -> Column:
+    """``then`` of a value computed once. For the rarer shapes of a value: it is
+    evaluated out of line, which keeps the generated code of the rest small."""
+    return F.get(F.transform(F.array(c), then), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Trim any Unicode white space at both ends; looks at the ends only."""
     return F.btrim(c, F.lit(WHITE))
@@ -52,10 +58,8 @@ def tidy(c: Column) -> Column:
     tidy already costs a few byte scans and is passed on as it is."""
     as_is = is_ascii(c) & ~(c.rlike(CONTROL) | c.contains("  ") | c.startswith(" ")
                             | c.endswith(" "))
-    bare = F.regexp_replace(c, CONTROL, "")
-    bare = F.trim(F.regexp_replace(bare, SPACE + "+", " "))
-    tidy_ascii = F.trim(F.regexp_replace(F.regexp_replace(c, CONTROL, ""), "  +", " "))
-    return F.when(as_is, c).when(is_ascii(c), tidy_ascii).otherwise(bare)
+    bare = F.regexp_replace(F.regexp_replace(c, CONTROL, ""), SPACE + "+", " ")
+    return F.when(as_is, c).otherwise(F.trim(bare))
 
 
 def null_words(c: Column) -> Column:
