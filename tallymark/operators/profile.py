@@ -176,8 +176,8 @@ def _number_stats(freq, census, names, spark) -> dict[str, dict]:
 
 
 def _top_values(freq, names, n=TOP_VALUES) -> dict[str, list]:
-    """The most frequent values; each task keeps ``n`` per column before the
-    shuffle, so no column gathers in one task."""
+    """The most frequent values, ties by value (long texts by digest); each task
+    keeps ``n`` per column before the shuffle, so no column gathers in one."""
     rank = Window.partitionBy("column").orderBy(F.desc("n"), "key")
     rows = (freq.filter(F.col("column").isin(names) & F.col("key").isNotNull())
             .withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= n)
@@ -202,8 +202,7 @@ def _spell_out(df, columns, top, o) -> dict[str, list]:
         hits = (hits.withColumn("d", F.sha2("t", 256)).filter(F.col("d").isin(digests))
                 .groupBy("d").agg(F.min("t").alias("t")).collect())
         full = {r["d"]: r["t"] for r in hits}
-        values = [(full.get(k, k) if long else k, n, long) for k, n, long in values]
-        top[c] = sorted(values, key=lambda v: (-v[1], v[0]))
+        top[c] = [(full.get(k, k) if long else k, n, long) for k, n, long in values]
     return {c: [(k, n) for k, n, _ in v] for c, v in top.items()}
 
 
