@@ -41,7 +41,8 @@ _RUNS: dict[tuple, LedgerRun] = {}
 def query(name: str, sql: str | None = None):
     def register(fn):
         def call(spark, sf_dir):
-            return fn(tune(spark), sf_dir)
+            tune(spark).conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(spark, sf_dir)
         QUERIES[name] = call
         if sql is not None:
             SQL[name] = sql

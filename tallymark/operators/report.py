@@ -12,7 +12,10 @@ from ..functions.numbers import cents, share
 from ..functions.text import as_text, is_blank, quoted, status_rank
 
 MONEY = ("Amount", "VAT_15", "Total_Inc_VAT")
-ROWS = F.count(F.lit(1))
+
+
+def _rows() -> Column:
+    return F.count(F.lit(1))
 
 
 def _one_row(*parts: DataFrame) -> DataFrame:
@@ -38,7 +41,7 @@ def status_pivot(clean: DataFrame, total: bool = False) -> DataFrame:
     """Per status: rows, three sums, flagged rows; cancelled rows included.
     ``total`` adds the sums of the rounded groups as a last row."""
     pivot = clean.groupBy("Status").agg(
-        ROWS.alias("Transactions"),
+        _rows().alias("Transactions"),
         cents(_total(F.col("Amount"))).alias("Revenue_Excl_VAT"),
         cents(_total(F.col("VAT_15"))).alias("VAT_15"),
         cents(_total(F.col("Total_Inc_VAT"))).alias("Total_Inc_VAT"),
@@ -57,7 +60,7 @@ def status_pivot(clean: DataFrame, total: bool = False) -> DataFrame:
 def flag_breakdown(rows: DataFrame, labels: str = "flags") -> DataFrame:
     """Rows per label, most frequent first."""
     return (rows.select(F.explode(labels).alias("Exception"))
-            .groupBy("Exception").agg(ROWS.alias("Rows"))
+            .groupBy("Exception").agg(_rows().alias("Rows"))
             .orderBy(F.desc("Rows"), "Exception"))
 
 
@@ -66,7 +69,7 @@ def breakdown_share(rows: DataFrame, labels: str = "flags") -> DataFrame:
     counts the rows in the same pass; it cannot occur among the labels."""
     marked = rows.select(F.explode(F.concat(F.col(labels), F.array(F.lit("\u0000rows"))))
                          .alias("Exception"))
-    counts = marked.groupBy("Exception").agg(ROWS.alias("Rows"))
+    counts = marked.groupBy("Exception").agg(_rows().alias("Rows"))
     whole = F.max(F.when(F.col("Exception") == "\u0000rows", F.col("Rows")))
     listed = counts.agg(whole.alias("_all"),
                         F.collect_list(F.struct("Exception", "Rows")).alias("_each"))
@@ -78,10 +81,10 @@ def breakdown_share(rows: DataFrame, labels: str = "flags") -> DataFrame:
 
 def health(clean: DataFrame) -> DataFrame:
     """Percent of rows without a flag, and its band."""
-    pct = (F.count_if(~F.col("Flagged")) * 100.0 / F.greatest(ROWS, F.lit(1)))
+    pct = (F.count_if(~F.col("Flagged")) * 100.0 / F.greatest(_rows(), F.lit(1)))
     band = (F.when(F.col("Health") >= 90, "good").when(F.col("Health") >= 70, "fair")
             .otherwise("poor"))
-    return clean.agg(ROWS.alias("Rows"), F.count_if("Flagged").alias("Flagged"),
+    return clean.agg(_rows().alias("Rows"), F.count_if("Flagged").alias("Flagged"),
                      pct.alias("Health")).select(
         "Rows", "Flagged", F.rint(F.col("Health") * 10000).alias("h"), band.alias("Band")
     ).select("Rows", "Flagged", (F.col("h") / 10000).alias("Health"), "Band")
@@ -94,7 +97,7 @@ def cell_counts(display: DataFrame) -> DataFrame:
         F.when(is_blank(quoted(f.name), f.dataType), 1).otherwise(0) for f in fields])
     return display.agg(
         F.lit(len(fields)).cast("bigint").alias("columns"),
-        (ROWS * len(fields)).alias("total_cells"),
+        (_rows() * len(fields)).alias("total_cells"),
         F.coalesce(F.sum(missing), F.lit(0)).alias("missing_cells"))
 
 
@@ -102,9 +105,9 @@ def ledger_metrics(raw: DataFrame, filled: DataFrame, clean: DataFrame, o: Optio
                    rule_count: int) -> DataFrame:
     """The run's numbers as one row. Without a duplicate drop the rows that
     are not blank are the rows that come out, and are counted once."""
-    parts = [raw.agg(ROWS.alias("rows_in"))]
+    parts = [raw.agg(_rows().alias("rows_in"))]
     if o.drop_duplicates:
-        parts.append(filled.agg(ROWS.alias("_filled")))
+        parts.append(filled.agg(_rows().alias("_filled")))
     counts = F.col("Status") != "CANCELLED" if o.exclude_cancelled else F.lit(True)
     money = [cents(_total(F.when(counts, F.col(c)))).alias(n)
              for c, n in zip(MONEY, ("revenue", "vat_total", "inc_vat_total"))]
@@ -114,7 +117,7 @@ def ledger_metrics(raw: DataFrame, filled: DataFrame, clean: DataFrame, o: Optio
     missing = reduce(lambda a, b: a + b, [
         F.when(is_blank(quoted(f.name), f.dataType), 1).otherwise(0) for f in shown])
     parts.append(clean.agg(
-        ROWS.alias("rows_out"), F.count_if("Flagged").alias("flagged"),
+        _rows().alias("rows_out"), F.count_if("Flagged").alias("flagged"),
         F.count_if("Blocked").alias("blocked"), F.count_if("Needs_Review").alias("needs_review"),
         *money, F.coalesce(F.sum(missing), F.lit(0)).alias("missing_cells")))
     row = _one_row(*parts)
@@ -149,7 +152,7 @@ def daily_trend(clean: DataFrame) -> DataFrame:
 def top_clients(clean: DataFrame, n: int = TOP_CLIENTS) -> DataFrame:
     """The ``n`` identifiable clients with the most revenue."""
     return (clean.filter(F.col("Client_ID") != "").groupBy("Client_ID")
-            .agg(ROWS.alias("Transactions"), cents(F.sum("Amount")).alias("Revenue"),
+            .agg(_rows().alias("Transactions"), cents(F.sum("Amount")).alias("Revenue"),
                  cents(F.sum("VAT_15")).alias("VAT"), F.count_if("Flagged").alias("Flagged"))
             .orderBy(F.desc("Revenue"), "Client_ID").limit(n))
 
@@ -170,7 +173,7 @@ def value_share(df: DataFrame, column: str, n: int = TOP_VALUES) -> DataFrame:
     dtype = df.schema[column].dataType
     text = as_text(quoted(column), dtype)
     counts = df.groupBy(F.when(~is_blank(quoted(column), dtype), text).alias("Value")
-                        ).agg(ROWS.alias("Rows"))
+                        ).agg(_rows().alias("Rows"))
     top = (counts.filter(F.col("Value").isNotNull())
            .orderBy(F.desc("Rows"), "Value").limit(n))
     # n rows at most, next to the one-row total
@@ -212,10 +215,10 @@ def preserved_statuses(work: DataFrame, n: int = 6) -> DataFrame:
     from ..functions.text import known_status
 
     custom = (work.filter(known_status(F.col("_status")).isNull() & ~F.col("_status_blank"))
-              .groupBy("Status").agg(ROWS.alias("_rows")))
+              .groupBy("Status").agg(_rows().alias("_rows")))
     first = custom.orderBy("Status").limit(n).agg(
         F.array_sort(F.collect_list("Status")).alias("examples"))
-    return _one_row(custom.agg(ROWS.alias("preserved")), first)
+    return _one_row(custom.agg(_rows().alias("preserved")), first)
 
 
 # Flag labels raised by each rule, to show a rule's hits next to it.
@@ -250,13 +253,13 @@ def rules_applied(clean: DataFrame, applied: list[str], enabled=None,
 
 
 def severity_census(findings: DataFrame) -> DataFrame:
-    return findings.groupBy("Severity").agg(ROWS.alias("Findings"))
+    return findings.groupBy("Severity").agg(_rows().alias("Findings"))
 
 
 def history_metrics(history: DataFrame) -> DataFrame:
     """Runs, rows, errors and means over the run history."""
     return history.agg(
-        ROWS.alias("runs"), F.sum("Rows Out").alias("rows_processed"),
+        _rows().alias("runs"), F.sum("Rows Out").alias("rows_processed"),
         F.sum("Flagged").alias("errors_caught"),
         (F.rint(F.avg("Health %") * 10) / 10).alias("mean_health"),
         cents(F.avg("Seconds")).alias("mean_seconds"))
