@@ -130,7 +130,7 @@ def _(spark, sf):
                          "l_linenumber FROM lineitem")
 def _(spark, sf):
     ordered = delimited.read_ordered(spark, f"{sf}/lineitem.parquet")
-    return ordered.select(F.col("row_order.row").alias("row"), "l_orderkey", "l_linenumber")
+    return ordered.select(F.col("row_order").alias("row"), "l_orderkey", "l_linenumber")
 
 
 # The generator's dirt rules over the orders, so that its size follows the data.

@@ -106,30 +106,51 @@ def cross_row(df: DataFrame, mapped: frozenset[str], o: Options, local_only=Fals
         raise ValueError("duplicate rules need Options.order_by: a unique column that says "
                          "which of several equal rows came first")
     # Group facts need few columns: parse those once, into a narrow table.
+    if not any(wants.values()):
+        return df.withColumns({"_duplicate": no, "_same_day": no,
+                               "_exposure": F.lit(None).cast("double")})
     entry, day = ["Date", "Client_ID", "Amount", "Reference"], ["_date", "_client", "Amount"]
     names = {"_duplicate": entry, "_same_day": day, "_exposure": ["_client", "Amount", "_limit"]}
     needed = {c for k, on in wants.items() if on for c in names[k]}
     narrow = df.select(*sorted(needed), *([quoted(o.order_by)] if o.order_by else []))
     if sum(wants.values()) > 1:
         narrow = settle(narrow).df
-    df = df.withColumns({"_duplicate": no, "_same_day": no})
+    survivors, facts = narrow, {}
     if wants["_duplicate"]:
-        facts = repeat_facts(narrow, entry, o.order_by)
-        df = mark_repeats(df, entry, o.order_by, "_duplicate", facts)
+        facts["_duplicate"] = repeat_facts(narrow, entry, o.order_by)
         if o.drop_duplicates:
-            df = df.filter(~F.col("_duplicate"))
-            narrow = mark_repeats(narrow, entry, o.order_by, "_duplicate", facts)
-            narrow = narrow.filter(~F.col("_duplicate")).drop("_duplicate")
+            survivors = mark_repeats(narrow, entry, o.order_by, "_duplicate",
+                                     facts["_duplicate"]).filter(~F.col("_duplicate"))
     if wants["_exposure"]:
-        spread = quoted(o.order_by) if o.order_by else F.xxhash64(*[quoted(c) for c in df.columns])
-        facts = exposure_facts(narrow, "_client", "Amount", "_limit", "_exposure")
-        df = attach(df, facts, ["_client"], ["_exposure"], spread)
-    else:
-        df = df.withColumn("_exposure", F.lit(None).cast("double"))
+        facts["_exposure"] = exposure_facts(survivors, "_client", "Amount", "_limit", "_exposure")
     if wants["_same_day"]:
-        df = mark_repeats(df, day, o.order_by, "_same_day",
-                          repeat_facts(narrow, day, o.order_by))
-    return df
+        facts["_same_day"] = repeat_facts(survivors, day, o.order_by)
+
+    def mark(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumns({"_duplicate": no, "_same_day": no,
+                                 "_exposure": F.lit(None).cast("double")})
+        for name, keys in (("_duplicate", entry), ("_same_day", day)):
+            if name in facts:
+                rows = mark_repeats(rows, keys, o.order_by, name, facts[name])
+        if "_exposure" in facts:
+            spread = quoted(o.order_by) if o.order_by else F.xxhash64("_client", "Amount")
+            rows = attach(rows.drop("_exposure"), facts["_exposure"], ["_client"],
+                          ["_exposure"], spread)
+        return rows
+
+    if o.order_by is None or all(f.broadcastable for f in facts.values()):
+        df = mark(df)
+    else:
+        # Large facts meet the narrow rows; their marks then reach the wide rows
+        # by the unique order key, in one shuffle that no group can skew.
+        marked = mark(narrow).filter(F.col("_duplicate") | F.col("_same_day")
+                                     | F.col("_exposure").isNotNull())
+        marks = settle(marked.select(quoted(o.order_by).alias("_row"), "_duplicate", "_same_day",
+                                     "_exposure"))
+        side = F.broadcast(marks.df) if marks.broadcastable else marks.df
+        df = df.join(side, quoted(o.order_by) == F.col("_row"), "left").drop("_row")
+        df = df.withColumns({c: F.coalesce(F.col(c), no) for c in ("_duplicate", "_same_day")})
+    return df.filter(~F.col("_duplicate")) if o.drop_duplicates else df
 
 
 def judge(df: DataFrame, mapped: frozenset[str], o: Options) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..constants import CSV_NA_TOKENS
 from ..functions.text import quoted
+from ..operators.staging import BROADCAST_ROWS
 
+ROW_BITS = 40      # rows per file
 SEPARATORS = (",", ";", "\t", "|")
 
 
@@ -39,16 +41,25 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None,
                         for c in names])
 
 
-def file_order() -> Column:
-    """Row position in Parquet input: file, then row in it. Apply it right on
-    the scan; it orders rows the same however the scan is split."""
-    return F.struct(F.col("_metadata.file_path").alias("file"),
-                    F.col("_metadata.row_index").alias("row"))
-
-
 def read_ordered(spark: SparkSession, path: str, name: str = "row_order") -> DataFrame:
-    """Parquet rows with their position, for ``Options.order_by``."""
-    return spark.read.parquet(path).select("*", file_order().alias(name))
+    """Parquet rows with their position as one bigint, for ``Options.order_by``:
+    the file's place among the sorted paths, then the row in the file. It is the
+    same however the scan is split. One row per file passes through the driver,
+    read from the footers."""
+    df = spark.read.parquet(path)
+    seen = df.select(F.col("_metadata.file_path").alias("f")).distinct().collect()
+    files = sorted(r["f"] for r in seen)
+    if len(files) <= 1:
+        return df.select("*", F.col("_metadata.row_index").alias(name))
+    places = spark.createDataFrame([(f, i) for i, f in enumerate(files)],
+                                   "_file string, _place bigint")
+    if len(files) <= BROADCAST_ROWS:
+        places = F.broadcast(places)
+    rows = df.select("*", F.col("_metadata.file_path").alias("_path"),
+                     F.col("_metadata.row_index").alias("_row"))
+    return (rows.join(places, F.col("_path") == F.col("_file"))
+            .withColumn(name, F.shiftleft("_place", ROW_BITS).bitwiseOR(F.col("_row")))
+            .drop("_path", "_row", "_file", "_place"))
 
 
 def stage_delimited(spark: SparkSession, path: str, out: str, **options) -> DataFrame:

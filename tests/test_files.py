@@ -36,7 +36,17 @@ def test_file_order_gives_a_repeatable_first_row(spark, tmp_path):
     df = delimited.stage_delimited(spark, str(tmp_path / "d.csv"), str(tmp_path / "staged"))
     r = run(df, Options(order_by="row_order", as_of=dt.date(2001, 8, 1)))
     flagged = r.clean.filter("array_contains(flags, 'DUPLICATE ENTRY')")
-    assert sorted(x["row_order"]["row"] for x in flagged.collect()) == [1, 2]
+    assert sorted(x["row_order"] for x in flagged.collect()) == [1, 2]
+
+
+def test_order_over_many_files(spark, tmp_path):
+    for i, n in ((1, 3), (0, 2), (2, 4)):
+        spark.range(n).selectExpr(f"id + {i} * 10 AS v").coalesce(1).write.parquet(
+            str(tmp_path / "t" / f"part={i}"))
+    df = delimited.read_ordered(spark, str(tmp_path / "t"))
+    got = [r["v"] for r in df.orderBy("row_order").collect()]
+    assert got == [0, 1, 10, 11, 12, 20, 21, 22, 23]
+    assert df.select("row_order").distinct().count() == 9
 
 
 def test_export_and_history(spark, sf, tmp_path):

@@ -82,6 +82,21 @@ def test_dropping_duplicates_comes_before_exposure(spark):
     assert (m["rows_in"], m["dup_dropped"], m["rows_out"]) == (4, 1, 3)
 
 
+@pytest.mark.parametrize("drop", [False, True])
+def test_large_facts_give_the_same_rows(spark, sf, monkeypatch, drop):
+    from tallymark.operators import keyed
+    from tallymark.operators.staging import Settled
+    raw = ledger_raw(spark, sf)
+    o = Options(order_by="row_id", as_of=DAY, drop_duplicates=drop)
+    want = sorted(map(str, run_ledger(raw, o).clean.collect()))
+    monkeypatch.setattr(Settled, "broadcastable", property(lambda self: False))
+    monkeypatch.setattr(keyed, "HOT_ROWS", 20)
+    spread = run_ledger(raw, o).clean
+    plan = spread._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join ") == 1
+    assert sorted(map(str, spread.collect())) == want
+
+
 def test_options_and_toggles(spark, sf):
     raw = ledger_raw(spark, sf)
     base = Options(order_by="row_id", as_of=DAY)
