@@ -13,7 +13,7 @@ CONTROL = r"[\x00-\x1f\x7f]"
 # --- fixed value: the Unicode white space characters -------------------------
 WHITE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
          "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
-SPACE = "[" + WHITE + "]"
+SPACE = r"[\p{IsWhite_Space}\x1c-\x1f]"     # the same set, one property test per letter
 ASCII_SPACE = r"[\s\x1c-\x1f]"
 
 
@@ -42,6 +42,13 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITE))
 
 
+def holds_text(dtype: T.DataType) -> bool:
+    """Text or nested: the types whose text can need cleaning. The text of a
+    number, date or boolean is tidy as Spark writes it."""
+    return not isinstance(dtype, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType,
+                                  T.TimestampNTZType))
+
+
 def is_ascii(c: Column) -> Column:
     return F.octet_length(c) == F.char_length(c)
 

@@ -30,8 +30,11 @@ def scrub(df: DataFrame, o: Options) -> DataFrame:
             final.append(c)
         else:
             cell = text.as_text(c, f.dataType)
-            cells.append((text.tidy(cell) if o.on("R01") else cell).alias(f.name))
-            final.append((text.null_words(c) if o.on("R01") else c).alias(f.name))
+            wordy = o.on("R01") and text.holds_text(f.dataType)
+            if isinstance(f.dataType, T.FractionalType) and o.on("R01"):
+                cell = F.when(~text.is_blank(c, f.dataType), cell)
+            cells.append((text.tidy(cell) if wordy else cell).alias(f.name))
+            final.append((text.null_words(c) if wordy else c).alias(f.name))
     return df.select(*cells).select(*final)
 
 
