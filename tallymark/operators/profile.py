@@ -74,6 +74,13 @@ def _cell(c: Column, dtype: T.DataType, i: int) -> Column:
                     day.alias("day"))
 
 
+def _position(df: DataFrame, o: Options) -> Column:
+    """The order key where it is an integer: a place to find a long text again."""
+    if o.order_by and isinstance(df.schema[o.order_by].dataType, T.IntegralType):
+        return quoted(o.order_by).cast("bigint")
+    return F.lit(None).cast("bigint")
+
+
 def frequencies(df: DataFrame, columns: list[str], o: Options) -> DataFrame:
     """(column, key, ..., n): the one wide shuffle. Hot values collapse before
     it. Short values are parsed after it, once per distinct value. The cells
@@ -83,7 +90,8 @@ def frequencies(df: DataFrame, columns: list[str], o: Options) -> DataFrame:
     texts = [f"c{i}" for i, c in enumerate(columns)
              if not isinstance(types[c], (T.NumericType, *DATE_TYPES))]
     text = F.col("column").isin(texts)
-    cell = df.select(F.inline(cells)).withColumn(
+    at = _position(df, o)
+    cell = df.select(at.alias("at"), F.inline(cells)).withColumn(
         "cell", F.when(~is_blank(F.col("cell")), F.col("cell")))
     long = text & F.coalesce(F.length("cell") > LONG, F.lit(False))
     wide = cell.withColumn("long", long)
@@ -92,14 +100,15 @@ def frequencies(df: DataFrame, columns: list[str], o: Options) -> DataFrame:
         return F.when(F.col("long"), c)
 
     keyed = wide.select(
-        "column", "long", "day",
+        "column", "long", "day", if_long(F.col("at")).alias("at"),
         F.when(F.col("long"), F.sha2("cell", 256)).otherwise(F.col("cell")).alias("key"),
         if_long(F.sha2(F.lower(strip(F.col("cell"))), 256)).alias("fold"),
         if_long(numbers.looks_numeric(F.col("cell"))).alias("gate"),
         if_long(dates.looks_datelike(F.col("cell"))).alias("datelike"),
         F.when(F.col("long") & numbers.looks_numeric(F.col("cell")),
                numbers.parse_amount(F.col("cell"))).otherwise(F.col("num")).alias("num"))
-    grouped = keyed.groupBy(*keyed.columns).agg(F.count(F.lit(1)).alias("n"))
+    same = [c for c in keyed.columns if c != "at"]
+    grouped = keyed.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
     short = text & ~F.col("long") & F.col("key").isNotNull()
     gate = F.when(short, numbers.looks_numeric(F.col("key"))).otherwise(F.col("gate"))
     datelike = F.when(short, dates.looks_datelike(F.col("key"))).otherwise(F.col("datelike"))
@@ -181,29 +190,36 @@ def _top_values(freq, names, n=TOP_VALUES) -> dict[str, list]:
     rank = Window.partitionBy("column").orderBy(F.desc("n"), "key")
     rows = (freq.filter(F.col("column").isin(names) & F.col("key").isNotNull())
             .withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= n)
-            .select("column", "rank", "key", "long", "n").collect())
+            .select("column", "rank", "key", "long", "n", "at").collect())
     top: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r["column"], r["rank"])):
-        top.setdefault(r["column"], []).append((r["key"], r["n"], r["long"]))
+        top.setdefault(r["column"], []).append((r["key"], r["n"], r["long"], r["at"]))
     return top
 
 
 def _spell_out(df, columns, top, o) -> dict[str, list]:
-    """Replace digests among the top values by their texts: one pass that looks
-    for at most eight digests per column."""
+    """Replace digests among the top values by their texts: at most eight rows
+    per column, found by order key (a filter the scan can prune by), or by
+    digest where the order key is no integer."""
     types = {f.name: f.dataType for f in df.schema.fields}
+    out = {}
     for c, values in top.items():
-        digests = [k for k, _, long in values if long]
-        if not digests:
-            continue
         name = columns[int(c[1:])]
-        text = as_text(quoted(name), types[name])
-        hits = df.select(text.alias("t")).filter(F.length("t") > LONG)
-        hits = (hits.withColumn("d", F.sha2("t", 256)).filter(F.col("d").isin(digests))
-                .groupBy("d").agg(F.min("t").alias("t")).collect())
-        full = {r["d"]: r["t"] for r in hits}
-        top[c] = [(full.get(k, k) if long else k, n, long) for k, n, long in values]
-    return {c: [(k, n) for k, n, _ in v] for c, v in top.items()}
+        cell = as_text(quoted(name), types[name])
+        wanted = [(k, at) for k, _, long, at in values if long]
+        full = {}
+        if wanted and all(at is not None for _, at in wanted):
+            places = {at: k for k, at in wanted}
+            rows = (df.filter(quoted(o.order_by).isin(list(places)))
+                    .select(quoted(o.order_by).alias("at"), cell.alias("t")).collect())
+            full = {places[r["at"]]: r["t"] for r in rows}
+        elif wanted:
+            hits = (df.select(cell.alias("t")).select("t", F.sha2("t", 256).alias("d"))
+                    .filter(F.col("d").isin([k for k, _ in wanted]))
+                    .groupBy("d").agg(F.min("t").alias("t")).collect())
+            full = {r["d"]: r["t"] for r in hits}
+        out[c] = [(full.get(k, k) if long else k, n) for k, n, long, _ in values]
+    return out
 
 
 def _folded(freq, names) -> dict[str, int]:
