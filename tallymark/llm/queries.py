@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import circulant_minhash
+from . import circulant_minhash, entropy_mix, rule_ensemble
 from .common import table
 
 QUERIES: dict = {}
@@ -19,3 +19,17 @@ def query(fn):
 @query
 def op3_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return circulant_minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, threshold=0.85)
+
+
+@query
+def op6_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entropy_mix.mix(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = rule_ensemble.fit(docs, table(spark, sf_dir, "labels"))
+    score = rule_ensemble.scored(docs.select("doc_id", "text"), model)
+    return score.select("doc_id", rule_ensemble.held_out(F.col("doc_id")).alias("held_out"), "score",
+                        (F.col("score") >= rule_ensemble.CUTOFF).cast("int").alias("predicted"))
