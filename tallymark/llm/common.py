@@ -101,9 +101,19 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def not_space(data: np.ndarray) -> np.ndarray:
+    return ~((data == 32) | ((data >= 9) & (data <= 13)))
+
+
+def letters(data: np.ndarray) -> np.ndarray:
+    """ASCII letters and digits, and every byte of other characters."""
+    low = data | np.uint8(32)
+    return (data >= 128) | ((low >= 97) & (low <= 122)) | ((data >= 48) & (data <= 57))
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, inside=not_space) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, and the number of the text that each is in."""
-    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    inside = inside(data)
     before = np.zeros(len(data), dtype=bool)
     before[1:] = inside[:-1]
     edges = offsets[(offsets > 0) & (offsets < len(data))]
@@ -116,9 +126,9 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, inside=not_space) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash for each word, and the number of the text that it is in."""
-    starts, ends, owner = word_spans(data, offsets)
+    starts, ends, owner = word_spans(data, offsets, inside)
     if not len(starts):
         return np.zeros(0, dtype=np.uint64), owner
     return slice_hash(prefix_hash(data), starts, ends), owner

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import circulant_minhash, entropy_mix, rule_ensemble
+from . import bm25_wand, circulant_minhash, decode_scan, entropy_mix, rule_ensemble
 from .common import table
 
 QUERIES: dict = {}
@@ -33,3 +33,27 @@ def op7_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = rule_ensemble.scored(docs.select("doc_id", "text"), model)
     return score.select("doc_id", rule_ensemble.held_out(F.col("doc_id")).alias("held_out"), "score",
                         (F.col("score") >= rule_ensemble.CUTOFF).cast("int").alias("predicted"))
+
+
+@query
+def op8_decode_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decode_scan.find_secrets(table(spark, sf_dir, "documents"))
+
+    def listed(name: str):
+        return F.array_join(F.transform(name, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def number(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select("doc_id", *[number(k) for k in decode_scan.KINDS],
+                        F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"),
+                        F.col("layers").alias("n_layers"), F.col("skipped").alias("n_skipped"))
+
+
+@query
+def op4_bm25_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = bm25_wand.split_text(table(spark, sf_dir, "benchmark"))
+    found = bm25_wand.search(table(spark, sf_dir, "documents").select("doc_id", "text"), items)
+    return found.select("doc_id", F.col("leaks.passages").alias("n_passages"), F.col("leaks.retrieved").alias("n_retrieved"),
+                        F.col("leaks.best").alias("best_score"), F.col("leaks.items").alias("item_ids"),
+                        (F.size("leaks.items") > 0).alias("contaminated"))
