@@ -154,3 +154,12 @@ def shingle_sets(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndar
     new = np.ones(len(order), dtype=bool)
     new[1:] = (shingles[1:] != shingles[:-1]) | (texts[1:] != texts[:-1])
     return shingles[new], texts[new]
+
+
+#: Rows of a few short fields that are broadcast at most (some tens of MB).
+SMALL_ROWS = 500_000
+
+
+def small(settled: DataFrame) -> DataFrame:
+    """A settled narrow table, marked for a broadcast if its counted rows allow one."""
+    return F.broadcast(settled) if settled.count() <= SMALL_ROWS else settled

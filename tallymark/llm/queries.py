@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bm25_wand, circulant_minhash, decode_scan, entropy_mix, rule_ensemble
+from . import bm25_wand, circulant_minhash, decode_scan, entropy_mix, robust_outliers, rule_ensemble
 from .common import table
 
 QUERIES: dict = {}
@@ -57,3 +57,8 @@ def op4_bm25_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("leaks.passages").alias("n_passages"), F.col("leaks.retrieved").alias("n_retrieved"),
                         F.col("leaks.best").alias("best_score"), F.col("leaks.items").alias("item_ids"),
                         (F.size("leaks.items") > 0).alias("contaminated"))
+
+
+@query
+def op2_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return robust_outliers.judge(table(spark, sf_dir, "documents"))
