@@ -6,8 +6,8 @@ shifted by k positions around the circle. Bands of coordinates name candidates;
 every link is confirmed on the full shingle sets.
 
 Equal sets are one node, so copies cost one comparison at most. A bucket's nodes
-are compared with a centre (chosen by a hash of the round) instead of with each
-other. What is still apart after ROUNDS of these is compared pair by pair, but
+are compared with a centre (first the one that meets most others, then one chosen
+by a hash) instead of with each other. What is still apart after ROUNDS of these is compared pair by pair, but
 only where the pair can reach the threshold: with u shingles that no other
 candidate has, a node of n shingles overlaps a partner in n - u at most, which
 bounds the partner's size. Nothing is capped; the pairs left out cannot link.
@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import lower_ascii, mix64, settle, shingle_sets, steps, word_hashes
+from .common import lower_ascii, mix64, settle, shingle_sets, small, steps, word_hashes
 from .components import components
 
 BANDS, WIDTH = 30, 5
@@ -120,9 +120,10 @@ def _labelled(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
     return entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def _apart(entries: DataFrame, seed: int) -> DataFrame:
-    """The centre of each bucket whose nodes have several labels."""
-    pick = F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node", "label", "n"))
+def _apart(entries: DataFrame, turn: int) -> DataFrame:
+    """The centre of each bucket whose nodes have several labels: first the one that meets most others, then any."""
+    rank = -F.col("met") if turn == 0 else F.xxhash64("node", F.lit(turn))
+    pick = F.min(F.struct(rank.alias("h"), "node", "label", "n"))
     found = entries.groupBy("key").agg(pick.alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     return found.where("lo != hi").select("key", F.col("c.node").alias("b"), F.col("c.label").alias("c_label"),
                                           F.col("c.n").alias("c_n"))
@@ -131,7 +132,7 @@ def _apart(entries: DataFrame, seed: int) -> DataFrame:
 def _rest(entries: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     """Pairs of a bucket with different labels whose sizes and private shingles allow a link."""
     apart = _apart(entries, 0).select("key")
-    entries = settle(entries.join(apart, "key"), "rest")
+    entries = settle(entries.join(apart, "key").drop("met"), "rest")
     grams = sets.join(entries.select("node").distinct(), "node").select("node", F.explode("grams").alias("g"))
     private = (grams.groupBy("g").agg(F.count("*").alias("k"), F.min("node").alias("node")).where("k = 1")
                .groupBy("node").agg(F.count("*").alias("u")))
@@ -162,10 +163,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = settle(signed.where("n > 0 and id is not null").groupBy("node").agg(
         F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
     entries = nodes.select("node", "n", F.explode("bands").alias("key"))
-    shared = entries.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    entries = settle(entries.join(shared, "key"), "buckets")
-    wanted = entries.select("node").distinct().join(nodes.select("node", "id"), "node")
-    texts = docs.join(wanted, "id").select("id", "text", "node")
+    shared = entries.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
+    entries = settle(entries.join(shared, "key"), "shared")
+    # Edits change a node's keys to rare ones, so a family's least edited member meets most nodes in its buckets.
+    met = entries.groupBy("node").agg(F.sum("k").alias("met"))
+    entries = settle(entries.join(met, "node").select("key", "node", "n", "met"), "buckets")
+    wanted = settle(entries.select("node").distinct().join(nodes.select("node", "id"), "node"), "wanted")
+    texts = docs.join(small(wanted), "id").select("id", "text", "node")
     grams = texts.mapInArrow(_grams(words), "node binary, found binary, grams array<bigint>")
     sets = settle(grams.where("node = found").dropDuplicates(["node"]).select("node", "grams"), "sets")
 
