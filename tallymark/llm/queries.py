@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bm25_wand, circulant_minhash, decode_scan, entropy_mix, robust_outliers, rule_ensemble
+from . import bm25_wand, circulant_minhash, decode_scan, entropy_mix, link_trust, robust_outliers, rule_ensemble
 from .common import table
 
 QUERIES: dict = {}
@@ -62,3 +62,13 @@ def op4_bm25_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robust_outliers.judge(table(spark, sf_dir, "documents"))
+
+
+URL_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"),
+             ("net/es/", "block"), ("net/fr/", "block"))
+
+
+@query
+def op1_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(list(URL_RULES), "rule string, verdict string")
+    return link_trust.judge(table(spark, sf_dir, "pages"), rules)
