@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bm25_wand, circulant_minhash, decode_scan, entropy_mix, link_trust, robust_outliers, rule_ensemble
+from . import block_labeller, bm25_wand, circulant_minhash, decode_scan, entropy_mix, link_trust, robust_outliers, rule_ensemble
 from .common import table
 
 QUERIES: dict = {}
@@ -72,3 +72,10 @@ URL_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/
 def op1_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(list(URL_RULES), "rule string, verdict string")
     return link_trust.judge(table(spark, sf_dir, "pages"), rules)
+
+
+@query
+def op9_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = block_labeller.extract(pages, block_labeller.train(pages))
+    return found.withColumn("n_chars", F.char_length("text").cast("bigint"))
