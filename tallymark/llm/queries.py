@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import block_labeller, bm25_wand, circulant_minhash, decode_scan, entropy_mix, link_trust, robust_outliers, rule_ensemble
+from . import block_labeller, bm25_wand, circulant_minhash, decode_scan, entropy_mix, link_trust, robust_outliers, rule_ensemble, tool_links
 from .common import table
 
 QUERIES: dict = {}
@@ -79,3 +79,38 @@ def op9_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     found = block_labeller.extract(pages, block_labeller.train(pages))
     return found.withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
+@query
+def op10_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_links.chat_calls(table(spark, sf_dir, "conversations"))
+    schemas = spark.createDataFrame(list(tool_links.CHAT_SCHEMAS), "name string, field string, type string, required boolean")
+    found = tool_links.link(calls, results, schemas)
+    return found.withColumn("errors", F.array_join("errors", ","))
+
+
+SQL["op10_tool_links"] = """
+WITH RECURSIVE m AS (
+  SELECT conv_id, turn, min(struct_pack(r := role, t := text)) AS m FROM conversations
+  WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn
+), t AS (SELECT conv_id, turn, m.r AS role, m.t AS text FROM m),
+c AS (SELECT * FROM t WHERE role IN ('system', 'user')),
+d AS (
+  SELECT c.*, CASE WHEN p.turn IS NOT NULL THEN p.turn WHEN a.turn IS NOT NULL THEN q.turn END AS needs, a2.turn IS NOT NULL AS has_result, a2.text AS result
+  FROM c LEFT JOIN c p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1
+  LEFT JOIN t a ON a.conv_id = c.conv_id AND a.turn = c.turn - 1 AND a.role = 'assistant'
+  LEFT JOIN c q ON q.conv_id = c.conv_id AND q.turn = c.turn - 2
+  LEFT JOIN t a2 ON a2.conv_id = c.conv_id AND a2.turn = c.turn + 1 AND a2.role = 'assistant'
+), l AS (
+  SELECT conv_id, turn, 0 AS level FROM d WHERE needs IS NULL
+  UNION ALL SELECT d.conv_id, d.turn, l.level + 1 FROM d JOIN l ON l.conv_id = d.conv_id AND l.turn = d.needs
+), e AS (
+  SELECT d.*, l.level, 'call-' || d.conv_id || '-' || d.turn AS call_id, CASE role WHEN 'system' THEN 'configure' ELSE 'answer' END AS name,
+         concat_ws(',', CASE WHEN text IS NULL THEN 'missing:text' END, CASE WHEN NOT has_result THEN 'no result' END) AS errors
+  FROM d JOIN l USING (conv_id, turn)
+)
+SELECT conv_id, call_id, turn::BIGINT AS position, name, level, has_result, errors = '' AS valid, errors,
+       '{"arguments":{"role":' || to_json(role) || CASE WHEN text IS NULL THEN '' ELSE ',"text":' || to_json(text) END || ',"turn":' || turn || '},"id":"'
+       || call_id || '","level":' || level || ',"name":"' || name || '","result":' || to_json(coalesce(result, '')) || '}' AS json
+FROM e
+"""
