@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import block_labeller, bm25_wand, circulant_minhash, decode_scan, entropy_mix, link_trust, robust_outliers, rule_ensemble, tool_links
+from . import block_labeller, bm25_wand, circulant_minhash, decode_scan, entropy_mix, link_trust, robust_outliers, rule_ensemble, suffix_runs, tool_links
 from .common import table
 
 QUERIES: dict = {}
@@ -114,3 +114,8 @@ SELECT conv_id, call_id, turn::BIGINT AS position, name, level, has_result, erro
        || call_id || '","level":' || level || ',"name":"' || name || '","result":' || to_json(coalesce(result, '')) || '}' AS json
 FROM e
 """
+
+
+@query
+def op5_suffix_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_runs.remove_repeats(table(spark, sf_dir, "documents"))
