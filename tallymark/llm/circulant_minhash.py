@@ -8,9 +8,9 @@ every link is confirmed on the full shingle sets.
 Equal sets are one node, so copies cost one comparison at most. A bucket's nodes
 are compared with a centre (first the one that meets most others, then one chosen
 by a hash) instead of with each other. What is still apart after ROUNDS of these is compared pair by pair, but
-only where the pair can reach the threshold: with u shingles that no other
-candidate has, a node of n shingles overlaps a partner in n - u at most, which
-bounds the partner's size. Nothing is capped; the pairs left out cannot link.
+only where the pair can reach the threshold (see _rest): what both lack of a
+common centre, and the shingles that no other candidate has, bound what they
+share. Nothing is capped; the pairs left out cannot link.
 
 Nulls and texts without words have no shingles and link with nothing; fewer
 words than a shingle's are one shingle. Repeated rows and ids are judged by
@@ -20,7 +20,6 @@ input are not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +32,6 @@ from .components import components
 BANDS, WIDTH = 30, 5
 #: Rounds of comparisons with centres before the rest is compared pair by pair.
 ROUNDS = 2
-#: Ratio of neighbouring size classes in that comparison.
-SIZE_STEP = 1.04
 
 
 def _permute32(x: np.ndarray) -> np.ndarray:
@@ -104,14 +101,18 @@ def _grams(words: int):
     return run
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of nodes whose full sets reach the threshold."""
+def _joint(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes with i, the shingles in both full sets, and s, the sum of their sizes."""
     one = sets.select(F.col("node").alias("a"), F.col("grams").alias("x"))
     two = sets.select(F.col("node").alias("b"), F.col("grams").alias("y"))
     both = pairs.join(one, "a").join(two, "b")
     joint = F.size(F.array_intersect("x", "y"))
-    sized = both.select("a", "b", joint.alias("i"), (F.size("x") + F.size("y")).alias("s"))
-    return sized.where(1000 * F.col("i") >= round(1000 * threshold) * (F.col("s") - F.col("i"))).select("a", "b")
+    return both.select("a", "b", joint.alias("i"), (F.size("x") + F.size("y")).alias("s"))
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of nodes whose full sets reach the threshold."""
+    return _joint(pairs, sets).where(1000 * F.col("i") >= round(1000 * threshold) * (F.col("s") - F.col("i"))).select("a", "b")
 
 
 def _labelled(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -130,25 +131,37 @@ def _apart(entries: DataFrame, turn: int) -> DataFrame:
 
 
 def _rest(entries: DataFrame, sets: DataFrame, t: float) -> DataFrame:
-    """Pairs of a bucket with different labels whose sizes and private shingles allow a link."""
-    apart = _apart(entries, 0).select("key")
-    entries = settle(entries.join(apart, "key").drop("met"), "rest")
-    grams = sets.join(entries.select("node").distinct(), "node").select("node", F.explode("grams").alias("g"))
+    """Pairs with different labels whose shingles leave room for a link.
+
+    Nodes that meet in buckets form families, and each is compared with its family's centre c: r shingles
+    of c are not in it, p of its own are not in c, and u of these in no other node. Two nodes share at most
+    |c| - max(r) of c's shingles and min(p - u) of others.
+    """
+    centres = _apart(entries, 0).select("key", "b")
+    entries = settle(entries.join(centres, "key"), "rest")
+    family = components(entries.select(F.col("node").alias("a"), "b")).withColumnRenamed("label", "family")
+    nodes = settle(entries.select("node", "label", "n", "met").distinct().join(family, "node"), "families")
+    head = F.min(F.struct(-F.col("met"), "node", "n"))
+    middle = nodes.groupBy("family").agg(head.alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
+    middle = middle.select("family", F.col("c.node").alias("b"), F.col("c.n").alias("c_n"))
+    nodes = settle(nodes.join(middle, "family"), "centred")
+
+    grams = sets.join(nodes.select("node"), "node").select("node", F.explode("grams").alias("g"))
     private = (grams.groupBy("g").agg(F.count("*").alias("k"), F.min("node").alias("node")).where("k = 1")
                .groupBy("node").agg(F.count("*").alias("u")))
-    most = F.floor((F.col("n") - F.coalesce("u", F.lit(0))) * ((1 + t) / t) - F.col("n") + 1e-6)
-    sized = entries.join(private, "node", "left").select("key", "node", "label", "n", most.alias("most"))
-    step = math.log(SIZE_STEP)
-    small = (sized.where("most >= n").withColumn("class", F.floor(F.log("n") / step))
-             .select("key", "class", F.col("node").alias("b"), F.col("label").alias("b_label"),
-                     F.col("n").alias("b_n"), F.col("most").alias("b_most")))
-    low, high = F.ceil(F.col("n") * t - 1e-6), F.least("n", "most")
-    large = (sized.where(low <= high)
-             .withColumn("class", F.explode(F.sequence(F.floor(F.log(low) / step), F.floor(F.log(high) / step))))
-             .withColumnRenamed("node", "a"))
-    fits = ((F.col("label") != F.col("b_label")) & (F.col("b_n") <= F.col("n")) & (F.col("n") <= F.col("b_most"))
-            & (F.col("b_n") <= F.col("most")) & (F.col("b_n") >= F.col("n") * t - 1e-6))
-    return large.join(small, ["key", "class"]).where(fits).select("a", "b").distinct()
+    joint = _joint(nodes.select(F.col("node").alias("a"), "b"), sets).select(F.col("a").alias("node"), "i")
+    known = nodes.join(joint, "node").join(private, "node", "left").withColumn("u", F.coalesce("u", F.lit(0)))
+    of_others = F.greatest(F.col("n") - F.col("i") - F.col("u"), F.lit(0))
+    known = known.select("family", "node", "label", "n", F.col("i").alias("mid"), of_others.alias("rest"),
+                         (F.col("n") - F.col("u")).alias("most"))
+    known = settle(known.where(F.least(F.col("mid") + F.col("rest"), F.col("most")) >= F.col("n") * t - 1e-6), "known")
+
+    one = known.select("family", *[F.col(c).alias(f"a_{c}") for c in known.columns if c != "family"])
+    two = known.select("family", *[F.col(c).alias(f"b_{c}") for c in known.columns if c != "family"])
+    room = F.least(F.least("a_mid", "b_mid") + F.least("a_rest", "b_rest"), "a_most", "b_most")
+    fits = ((F.col("a_node") < F.col("b_node")) & (F.col("a_label") != F.col("b_label"))
+            & (room * (1 + t) >= (F.col("a_n") + F.col("b_n")) * t - 1e-6))
+    return one.join(two, "family").where(fits).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3,
