@@ -26,7 +26,7 @@ SELECT k * 10 AS row_id, k,
        WHEN k % 13 = 0 THEN substr(d, 9, 2) || '-' || substr(d, 6, 2) || '-' || substr(d, 1, 4)
        ELSE replace(d, '-', '/') END AS "  Date ",
   CASE WHEN k % 17 = 0 THEN '    '
-       ELSE '  mm - ' || CASE c % 3 WHEN 0 THEN 'jhb' WHEN 1 THEN 'CPT' ELSE 'Dbn' END
+       ELSE '  ac - ' || CASE c % 3 WHEN 0 THEN 'north' WHEN 1 THEN 'WEST' ELSE 'Hub' END
             || '_' || CAST(c AS STRING) || ' ' END AS "Client ID",
   CASE WHEN k % 23 = 0 THEN '' ELSE 'eft' || CAST(100000 + k AS STRING) END AS "Bank Ref",
   CASE k % 11 WHEN 0 THEN 'Paid' WHEN 1 THEN 'paid ' WHEN 2 THEN 'PENDING'
@@ -40,7 +40,7 @@ SELECT k * 10 AS row_id, k,
        WHEN k % 31 = 0 AND a < 0 THEN '(' || CAST(-a AS STRING) || ')'
        ELSE CAST(a AS STRING) END AS "Amount (ZAR)",
   CASE WHEN k % 5 = 0 THEN '' WHEN k % 19 = 0 THEN 'URGENT: customer query'
-       ELSE 'Monthly  sale' END AS "Remarks",
+       ELSE 'standing  order' END AS "Remarks",
   CASE WHEN k % 47 = 0 THEN '12-34' WHEN k % 3 = 0 THEN ''
        ELSE '4' || lpad(CAST(c AS STRING), 9, '0') END AS "VAT No",
   CASE WHEN bal > 0 THEN CAST(CAST(floor(bal * 100) AS BIGINT) AS STRING) ELSE '' END
@@ -52,7 +52,7 @@ SELECT k * 10 AS row_id, k,
   CASE WHEN k % 37 = 1 THEN '12' ELSE lpad(CAST(c % 10000 AS STRING), 4, '0') END AS "Postcode",
   CASE WHEN k % 53 = 1 THEN 'Town' ELSE CAST(c AS STRING) || ' Main Road, ' || p END
        AS "Delivery Address",
-  CASE c % 3 WHEN 0 THEN 'JHB' WHEN 1 THEN 'CPT' ELSE 'DBN' END AS "Branch"
+  CASE c % 3 WHEN 0 THEN 'NORTH' WHEN 1 THEN 'WEST' ELSE 'HUB' END AS "Branch"
 FROM source_rows"""
 
 HEADERS = ("  Date ", "Client ID", "Bank Ref", "Status", "Amount (ZAR)", "Remarks", "VAT No",

@@ -3,6 +3,7 @@ lineitem, with the equivalent SQL."""
 
 from __future__ import annotations
 
+import dataclasses
 import datetime as dt
 from collections.abc import Callable
 
@@ -23,7 +24,7 @@ from .fixture import HEADERS, LEDGER_CTE, TABLES, ledger_raw, table
 # Options under which every rule finds something in the dirty ledger.
 AS_OF = dt.date(2000, 6, 30)
 OPTIONS = Options(order_by="row_id", as_of=AS_OF, min_amount=50000.0,
-                  blacklist="mm-jhb-330; MM-CPT-769,\n MM-DBN-605 ,")
+                  blacklist="ac-north-330; AC-WEST-769,\n AC-HUB-605 ,")
 DROPPING = Options(order_by="row_id", as_of=AS_OF, drop_duplicates=True)
 
 MAPPING = {"Date": "  Date ", "Client_ID": "Client ID", "Reference": "Bank Ref",
@@ -41,7 +42,9 @@ _RUNS: dict[tuple, LedgerRun] = {}
 def query(name: str, sql: str | None = None):
     def register(fn):
         def call(spark, sf_dir):
-            tune(spark).conf.set("spark.sql.session.timeZone", "UTC")
+            local = spark.sparkContext.master.startswith("local[")
+            tune(spark, "/tmp/checkpoints" if local and not spark.sparkContext.getCheckpointDir()
+                 else None).conf.set("spark.sql.session.timeZone", "UTC")
             return fn(spark, sf_dir)
         QUERIES[name] = call
         if sql is not None:
@@ -133,7 +136,7 @@ judged AS (SELECT row_id, coalesce(Date, '') AS Date, coalesce(Client_ID, '') AS
   len(flags) > 0 AS Flagged, CAST(len(flags) AS INTEGER) AS Flag_Count,
   {q.review('Status', 'Notes')} AS Needs_Review,
   list_has_any(flags, [{", ".join(f"'{f}'" for f in CRITICAL_FLAGS)}]) AS Blocked,
-  flags AS flag_list, array_to_string(flags, '|') AS flags, _date, _amount, _status,
+  flags AS flag_list, array_to_string(flags, '|') AS flags, Notes AS _source_notes, _date, _amount, _status,
   _status_blank, _email, _phone, _company, _limit
   FROM flagged)
 {final}"""
@@ -361,14 +364,33 @@ for _label in FLAG_ORDER:
 
 
 @query("flag_restricted_table", ledger_sql("""SELECT row_id, Client_ID FROM judged
-  WHERE Client_ID IN (SELECT 'MM-' || CASE c_custkey % 3 WHEN 0 THEN 'JHB' WHEN 1 THEN 'CPT'
-    ELSE 'DBN' END || '-' || CAST(c_custkey AS VARCHAR) FROM customer WHERE c_acctbal < 0)"""))
+  WHERE Client_ID IN (SELECT 'AC-' || CASE c_custkey % 3 WHEN 0 THEN 'NORTH' WHEN 1 THEN 'WEST'
+    ELSE 'HUB' END || '-' || CAST(c_custkey AS VARCHAR) FROM customer WHERE c_acctbal < 0)"""))
 def _(spark, sf):
-    place = (F.when(F.col("c_custkey") % 3 == 0, "jhb").when(F.col("c_custkey") % 3 == 1, "cpt")
-             .otherwise("dbn"))
+    place = (F.when(F.col("c_custkey") % 3 == 0, "north").when(F.col("c_custkey") % 3 == 1, "west")
+             .otherwise("hub"))
     listed = table(spark, sf, "customer").filter("c_acctbal < 0").select(
-        F.concat(F.lit(" mm-"), place, F.lit("-"), F.col("c_custkey").cast("string")).alias("id"))
-    return rules.restricted_entities(clean(spark, sf), listed).select("row_id", "Client_ID")
+        F.concat(F.lit(" ac-"), place, F.lit("-"), F.col("c_custkey").cast("string")).alias("id"))
+    blanks = spark.createDataFrame([(" ",), (None,)], "id string")
+    listing = dataclasses.replace(OPTIONS, blacklist="", blocklist=listed.union(blanks))
+    found = run_ledger(ledger_raw(spark, sf), listing).clean
+    return (found.filter(F.array_contains("flags", "RESTRICTED ENTITY") & F.col("Blocked"))
+            .select("row_id", "Client_ID"))
+
+
+_SHAPES = ("date_format(d, 'dd/MM/yyyy hh:mm a')", "date_format(d, 'yyyy-MM-dd') || ' 10:00 AM'",
+           "date_format(d, 'E d MMM yyyy')", "date_format(d, 'd') || 'th ' || date_format(d, 'MMM yyyy')",
+           "date_format(d, 'yyyy-MM-dd') || 'T10:00:00Z'", "date_format(d, 'MMMM d, yyyy')",
+           "date_format(d, 'd-MMM-yy')", "date_format(d, 'yyyy/MM/dd')")
+
+
+@query("parse_date_shapes", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS parsed FROM orders")
+def _(spark, sf):
+    cases = " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_SHAPES))
+    written = table(spark, sf, "orders").selectExpr("o_orderkey", "CAST(o_orderdate AS TIMESTAMP) AS d")
+    written = written.selectExpr("o_orderkey", f"CASE o_orderkey % {len(_SHAPES)} {cases} END AS t")
+    parsed = dates.parse_date(F.col("t"), this_year=AS_OF.year)
+    return written.select("o_orderkey", parsed.cast("string").alias("parsed"))
 
 
 @query("recon_status", ledger_sql("SELECT row_id, Recon_Status FROM judged"))
@@ -612,9 +634,9 @@ def _(spark, sf):
 
 
 @query("search_any", ledger_sql("""SELECT row_id FROM judged WHERE contains(lower(concat_ws(chr(1),
-  Date, Client_ID, Status, Recon_Status, Notes, Reference)), 'jhb-33')"""))
+  Date, Client_ID, Status, Recon_Status, Notes, Reference)), 'north-33')"""))
 def _(spark, sf):
-    return explore.search(clean(spark, sf), " JHB-33 ").select("row_id")
+    return explore.search(clean(spark, sf), " NORTH-33 ").select("row_id")
 
 
 @query("preview", ledger_sql("SELECT Date, Client_ID, Status, Recon_Status, Amount, Notes "

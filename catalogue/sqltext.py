@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tallymark.constants import (BLANK_TOKENS, NULL_TOKENS, REVIEW_WORDS, STATUS_ORDER,
-                                 STATUS_WORDS)
+from tallymark.constants import (BLANK_TOKENS, NULL_TOKENS, REVIEW_WORDS, STATUS_FOLD,
+                                 STATUS_ORDER)
 
 SPACE = (r"[\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}"
          r"\x{205F}\x{3000}]")
@@ -72,8 +72,8 @@ def status_key(x: str) -> str:
 
 def known_status(x: str) -> str:
     k = status_key(x)
-    cases = " ".join(f"WHEN {k} IN {words(v.split())} THEN '{s}'"
-                     for s, v in STATUS_WORDS.items())
+    cases = " ".join(f"WHEN {k} IN {words(w for w, to in STATUS_FOLD.items() if to == s)} "
+                     f"THEN '{s}'" for s in STATUS_ORDER if s in STATUS_FOLD.values())
     return f"CASE {cases} END"
 
 

@@ -10,12 +10,13 @@ from tallymark.constants import Options
 from tallymark.functions.text import quoted
 from tallymark.operators import explore, report
 from tallymark.operators.profile import Profile, profile, standardise
+from tallymark.operators.quantiles import exact_quantiles
 from tallymark.operators.schema import clean_headers
 from tallymark.plans.universal import UniversalRun, run_universal, sanitise
 
 from . import sqltext as q
 from .fixture import HEADERS, LEDGER_CTE, ledger_raw, table
-from .ledger import AS_OF, QUERIES, SQL, query  # noqa: F401
+from .ledger import AS_OF, QUERIES, SQL, ledger_run, ledger_sql, query  # noqa: F401
 
 
 @dataclass(frozen=True)
@@ -26,6 +27,7 @@ class Source:
     key: str
     columns: tuple[tuple[str, str], ...]
     base: str            # SQL of the sanitised table
+    detected: tuple[tuple[str, str], ...] = ()   # types found in its texts
 
     @property
     def options(self) -> Options:
@@ -100,7 +102,7 @@ def profile_sql(s: Source, final: str) -> str:
     return f"""
 WITH {ledger}{sparse}base AS ({s.base}),
 cells0 AS ({" UNION ALL ".join(parts)}),
-cells AS (SELECT *, CASE WHEN length(v) > 200 THEN sha256(v) ELSE v END AS key,
+cells AS (SELECT *, v AS key,
   v IS NOT NULL OR num0 IS NOT NULL AS filled,
   decl = 'text' AND coalesce({q.gate('v')}, false) AS gated,
   decl = 'text' AND coalesce({q.datelike('v')}, false) AS dateish,
@@ -167,14 +169,15 @@ DETECTED = {"Date": "Datetime", "Amount (ZAR)": "Numeric", "VAT No": "Numeric",
             "Credit Limit": "Numeric", "Postcode": "Numeric", "spend": "Numeric"}
 
 
-def _kind(c: str, declared: str) -> str:
-    return {"num": "Numeric", "ts": "Datetime"}.get(declared, DETECTED.get(c, "text"))
+def _kind(c: str, declared: str, s: Source) -> str:
+    found = dict(s.detected) or DETECTED
+    return {"num": "Numeric", "ts": "Datetime"}.get(declared, found.get(c, "text"))
 
 
 def _value(c: str, declared: str, s: Source) -> str:
     """The parsed and the standardised cell of a column."""
     x = f'"{c}"'
-    kind = _kind(c, declared)
+    kind = _kind(c, declared, s)
     if declared == "num":
         return f'CAST({x} AS DOUBLE) AS "val {c}", {x} AS "std {c}"'
     if declared == "ts":
@@ -191,7 +194,7 @@ def _value(c: str, declared: str, s: Source) -> str:
 def _issues_sql(s: Source) -> str:
     slots = []
     for c, declared in s.columns:
-        kind = _kind(c, declared)
+        kind = _kind(c, declared, s)
         blank = q.blank(f'"{c}"') if declared == "text" else f'"{c}" IS NULL'
         if c != "region":
             slots.append(f"CASE WHEN {blank} THEN 'NULL: {c}' END")
@@ -394,7 +397,7 @@ def _(spark, sf):
 
 
 @query("universal_run_documents", profile_sql(DOCUMENTS, f"""SELECT doc_id, text, lang, source,
-  "val n_chars" AS n_chars, array_to_string(issues, ' | ') AS "Notes",
+  "std n_chars" AS n_chars, array_to_string(issues, ' | ') AS "Notes",
   {q.review('text', 'lang', 'source')} AS "Needs_Review" FROM issues"""))
 def _(spark, sf):
     return universal(spark, sf, DOCUMENTS).clean.select(
@@ -420,3 +423,99 @@ def _(spark, sf):
     run = universal(spark, sf, EVENTS)
     column = explore.category_column(run.clean, run.profile.types)
     return explore.filter_category(run.clean, column, "click").select("event_id", column)
+
+
+@query("search_universal", profile_sql(EVENTS, """SELECT event_id, event_type FROM issues
+  WHERE contains(lower(concat_ws(chr(1), event_type, props, array_to_string(issues, ' | '))),
+    'click')"""))
+def _(spark, sf):
+    return universal(spark, sf, EVENTS).search("click").select("event_id", "event_type")
+
+
+for _s in (EVENTS, DOCUMENTS):
+    _shown = ", ".join(f'"std {c}" AS "{c}"' for c, _ in _s.columns)
+
+    @query("preview_universal_" + _s.name, profile_sql(_s, f"""SELECT {_shown},
+  array_to_string(issues, ' | ') AS "Notes" FROM issues ORDER BY {_s.key} LIMIT 250"""))
+    def _(spark, sf, s=_s):
+        return universal(spark, sf, s).preview()
+
+
+# Texts of every length, and dates padded beyond any of them.
+_MIXED = """SELECT doc_id, text, rpad(concat('2001-02-', lpad(CAST(doc_id % 28 + 1 AS STRING), 2,
+  '0')), CAST(10 + doc_id % 3 * 120 AS INT), ' ') AS padded FROM documents"""
+MIXED = Source("mixed", "doc_id", (("text", "text"), ("padded", "text")), "SELECT * FROM mixed",
+               (("padded", "Datetime"),))
+
+
+@query("profile_mixed_lengths", profile_sql(MIXED, _table).replace(
+    "WITH base", f"WITH mixed AS ({_MIXED.replace('AS STRING', 'AS VARCHAR')}), base", 1))
+def _(spark, sf):
+    table(spark, sf, "documents").createOrReplaceTempView("documents")
+    return profile(spark.sql(_MIXED), MIXED.options).table()
+
+
+@query("quantiles_wide", """SELECT quantile_cont(l_extendedprice, 0.25) AS q1,
+  quantile_cont(l_extendedprice, 0.5) AS q2, quantile_cont(l_extendedprice, 0.75) AS q3
+  FROM lineitem""")
+def _(spark, sf):
+    values = table(spark, sf, "lineitem").groupBy(F.col("l_extendedprice").alias("num")).agg(
+        F.count(F.lit(1)).alias("n")).withColumn("column", F.lit("price"))
+    total = values.agg(F.sum("n")).first()[0]
+    q = exact_quantiles(values, {"price": total}, [0.25, 0.5, 0.75])["price"]
+    return spark.createDataFrame([(q[0.25], q[0.5], q[0.75])], "q1 double, q2 double, q3 double")
+
+
+_BIG = 2 ** 53
+
+
+@query("large_ids", f"""SELECT o_orderkey, o_orderkey + {_BIG} AS big, false AS "Flagged",
+  (SELECT count(*) FROM orders) AS uniq FROM orders""")
+def _(spark, sf):
+    rows = table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") + _BIG).alias("big"))
+    r = run_universal(rows, Options(order_by="o_orderkey", as_of=AS_OF))
+    return r.clean.select("o_orderkey", "big", "Flagged",
+                          F.lit(r.profile["big"].unique).cast("bigint").alias("uniq"))
+
+
+# --- the ledger's own audit ------------------------------------------------------
+_audited = ("Date", "Client_ID", "Reference", "Recon_Status", "Status", "Amount", "VAT_15",
+            "Total_Inc_VAT", "Notes", "VAT_Number", "Credit_Limit", "Email", "Phone", "Company",
+            "Postal_Code", "Address", "EXTRA_Branch")
+_cells = ", ".join("_source_notes AS Notes" if c == "Notes" else c for c in _audited)
+AUDITED = Source(
+    "audited", "row_id",
+    tuple((c, "num" if c in ("Amount", "VAT_15", "Total_Inc_VAT") else "text") for c in _audited),
+    "SELECT * FROM (" + ledger_sql(f"SELECT row_id, {_cells} FROM judged") + ")",
+    (("Date", "Datetime"), ("VAT_Number", "Numeric"), ("Credit_Limit", "Numeric"),
+     ("Phone", "Numeric"), ("Postal_Code", "Numeric")))
+
+
+def _audit(spark, sf):
+    at = (spark.sparkContext.applicationId, sf, "audited")
+    if at not in _AUDITS:
+        _AUDITS[at] = ledger_run(spark, sf).audit()
+    return _AUDITS[at]
+
+
+_AUDITS: dict = {}
+
+
+@query("ledger_audit", profile_sql(AUDITED, "SELECT * FROM findings"))
+def _(spark, sf):
+    return _audit(spark, sf).findings
+
+
+@query("ledger_audit_totals", profile_sql(AUDITED, """SELECT count(*) AS rows,
+  (SELECT count(*) FROM findings) AS issue_count, count(*) FILTER (len(issues) > 0)
+  AS rows_affected, count(*) FILTER (copy > 1) AS duplicate_rows FROM issues"""))
+def _(spark, sf):
+    return _audit(spark, sf).totals.select("rows", "issue_count", "rows_affected", "duplicate_rows")
+
+
+@query("run_metrics_full", profile_sql(AUDITED, f"""SELECT 'sales' AS mode, count(*) AS rows_out,
+  (SELECT count(*) FROM ({ledger_sql("SELECT * FROM judged WHERE Flagged")})) AS flagged,
+  count(*) FILTER (copy > 1) AS duplicate_rows FROM issues"""))
+def _(spark, sf):
+    return ledger_run(spark, sf).full_metrics(1.5).select("mode", "rows_out", "flagged",
+                                                          "duplicate_rows")

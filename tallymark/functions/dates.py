@@ -1,8 +1,8 @@
 """Mixed-format date parsing as a bounded list of shapes.
 
 Each shape is recognised by one pattern and rewritten to ``y-M-d``, so a value
-meets one cast and no formatter. An optional time of day is accepted and
-dropped. A value whose month cannot be one is read the other way round.
+meets one cast and no formatter. An optional time of day (24 hours, or 12 with
+AM or PM, with or without a zone) and the weekday are accepted and dropped. A value whose month cannot be one is read the other way round.
 """
 
 from __future__ import annotations
@@ -13,15 +13,23 @@ from pyspark.sql import Column, functions as F, types as T
 
 from .text import bind, strip
 
-CLOCK = r"(?:(?:T| +)(?:[01]?\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:\.\d+)?)?)?"
+_MINUTES = r":[0-5]\d(?::[0-5]\d(?:\.\d+)?)?"
+_ZONE = r"(?: ?(?:Z|UTC|GMT|[-+]\d{2}:?\d{2}))?"
+CLOCK = (r"(?:(?:T|,? +)(?:(?:0?[1-9]|1[0-2])(?:" + _MINUTES + r")? ?(?i:[ap]m)|(?:[01]?\d|2[0-3])"
+         + _MINUTES + r")" + _ZONE + r")?")
 YEAR_FIRST = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})" + CLOCK + "$"
 NUMBERS = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})" + CLOCK + "$"
 COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 MONTH_NAME = (r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?"
               r"|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)")
-DAY_NAME = r"(?i)^(\d{1,2})[\s\-/.]+" + MONTH_NAME + r"\.?,?[\s\-/.]+(\d{4}|\d{2})" + CLOCK + "$"
-NAME_DAY = r"(?i)^" + MONTH_NAME + r"\.?[\s\-/.]+(\d{1,2}),?[\s\-/.]+(\d{4}|\d{2})" + CLOCK + "$"
+WEEKDAY = (r"(?:(?:mon|tue(?:s)?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?\.?,?\s+)?")
+_ORDINAL = r"(?:st|nd|rd|th)?"
+DAY_NAME = (r"(?i)^" + WEEKDAY + r"(\d{1,2})" + _ORDINAL + r"(?:\s+of\b)?[\s\-/.]+" + MONTH_NAME
+            + r"\.?,?[\s\-/.]+(\d{4}|\d{2})" + CLOCK + "$")
+NAME_DAY = (r"(?i)^" + WEEKDAY + MONTH_NAME + r"\.?[\s\-/.]+(\d{1,2})" + _ORDINAL
+            + r",?[\s\-/.]+(\d{4}|\d{2})" + CLOCK + "$")
+# --- fixed value: what the profile takes for a possible date --------------------
 DATE_ISH = r"(?i)[-/.:]|\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
 
 
@@ -52,7 +60,7 @@ def parse_date(c: Column, dtype: T.DataType = T.StringType(), dayfirst: bool = T
 
     def numeric_day(t):
         # one separator: the day part is cut at its dashes
-        day = F.translate(F.substring_index(F.substring_index(t, " ", 1), "T", 1), "/.", "--")
+        day = F.translate(F.regexp_extract(t, r"^[\d/.-]+", 0), "/.", "--")
         first = F.substring_index(day, "-", 1)
         second = F.substring_index(F.substring_index(day, "-", 2), "-", -1)
         year = _full_year(F.substring_index(day, "-", -1), this_year)
@@ -68,7 +76,7 @@ def parse_date(c: Column, dtype: T.DataType = T.StringType(), dayfirst: bool = T
         return (F.when(t.rlike(DAY_NAME), build(DAY_NAME, y=3, m=2, d=1))
                 .when(t.rlike(NAME_DAY), build(NAME_DAY, y=3, m=1, d=2)))
 
-    year_first = F.translate(F.substring_index(F.substring_index(s, " ", 1), "T", 1), "/.", "--")
+    year_first = F.translate(F.regexp_extract(s, r"^[\d/.-]+", 0), "/.", "--")
     return (
         F.when(s.rlike(YEAR_FIRST), year_first.try_cast("date"))
         .when(s.rlike(NUMBERS), bind(s, numeric_day))

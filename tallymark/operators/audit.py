@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..constants import (CATEGORICAL, DATETIME, EMPTY, HIGH, LOW, MEDIUM, NUMERIC,
                          OUTLIER_MIN_VALUES, TEXT, Options)
 from ..functions.text import is_blank, quoted
-from .keyed import mark_repeats, repeat_facts, row_digest
+from .keyed import check_order, mark_repeats, repeat_facts, row_digest
 from .profile import VALUE, ColumnProfile, Profile, standard_cell, with_values
 from .staging import settle
 
@@ -91,6 +91,7 @@ def mark_later_copies(valued: DataFrame, prof: Profile, o: Options) -> DataFrame
         return valued.withColumn("_repeat", F.lit(False))
     later = mark_repeats(narrow, ["_digest"], o.order_by, "_repeat", facts).filter("_repeat")
     settled = settle(later.select(key.alias("_later")))
+    check_order({"_repeat": settled.rows}, {"_repeat": facts}, 0)
     side = F.broadcast(settled.df) if settled.broadcastable else settled.df
     out = valued.join(side, key == F.col("_later"), "left")
     return out.withColumn("_repeat", F.col("_later").isNotNull()).drop("_later")

@@ -35,11 +35,18 @@ def filter_view(df: DataFrame, view: str = "all") -> DataFrame:
     return {"all": df, "flagged": df.filter("Flagged"), "clean": df.filter("NOT Flagged")}[view]
 
 
+def _shown(df: DataFrame, ledger: list[str]) -> list[str]:
+    """The ledger's columns where the table is one (it has flags), else all data columns."""
+    if "flags" in df.columns:
+        return ledger
+    return [c for c in df.columns if c not in BOOKKEEPING]
+
+
 def search(df: DataFrame, needle: str, columns: list[str] | None = None) -> DataFrame:
-    """Rows holding the text, whatever its case, in any searched column."""
-    wanted = columns if columns is not None else [*PREVIEW_COLUMNS, "Reference"]
+    """Rows holding the text, whatever its case, in any searched column; by
+    default those of the ledger preview, or all data columns of another table."""
+    wanted = columns if columns is not None else _shown(df, [*PREVIEW_COLUMNS, "Reference"])
     found = [c for c in wanted if c in df.columns]
-    found = found or [c for c in df.columns if c not in BOOKKEEPING]
     needle = needle.strip().lower()
     types = {f.name: f.dataType for f in df.schema.fields}
     hits = [F.lower(as_text(quoted(c), types[c])).contains(needle) for c in found]
@@ -54,10 +61,11 @@ def highlight(df: DataFrame) -> Column:
 
 def preview(df: DataFrame, order_by: str, limit: int = PREVIEW_ROWS,
             columns: list[str] | None = None, bank_recon: bool = True) -> DataFrame:
-    """The first rows in ``order_by``, preview columns only (a top-k, not a sort)."""
-    wanted = columns or [c for c in PREVIEW_COLUMNS if c != "Recon_Status" or bank_recon]
+    """The first rows in ``order_by``, preview columns only (a top-k, not a sort);
+    of a table that is no ledger, all data columns."""
+    ledger = [c for c in PREVIEW_COLUMNS if c != "Recon_Status" or bank_recon]
+    wanted = columns or [c for c in _shown(df, ledger) if c != order_by]
     shown = [c for c in wanted if c in df.columns]
-    shown = shown or [c for c in df.columns if c not in BOOKKEEPING][:12]
     keys = list(dict.fromkeys([order_by, *shown]))
     return (df.select(*[quoted(c) for c in keys]).orderBy(quoted(order_by)).limit(limit)
             .select(*[quoted(c) for c in shown]))

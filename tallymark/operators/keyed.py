@@ -72,6 +72,22 @@ def repeat_facts(df: DataFrame, keys: list[str], order_by: str) -> Settled:
     return settle(groups, weight=GROUP_ROWS)
 
 
+def rolled_facts(groups: DataFrame, keys: list[str]) -> Settled:
+    """``repeat_facts`` of coarser keys from groups (keys, _first, _rows)."""
+    coarse = groups.groupBy(*[quoted(k) for k in keys]).agg(
+        F.min("_first").alias("_first"), F.sum(GROUP_ROWS).alias(GROUP_ROWS))
+    return settle(coarse.filter(F.col(GROUP_ROWS) > 1), weight=GROUP_ROWS)
+
+
+def check_order(found: dict[str, int], facts: dict[str, Settled], nulls: int) -> None:
+    """Each group has one first row. Fewer marked rows than that leaves mean
+    that order keys repeat; a null key orders nothing."""
+    expected = {name: f.weight - f.rows for name, f in facts.items()}
+    if nulls or found != expected:
+        raise ValueError(f"Options.order_by must be unique and not null: {nulls} null keys, "
+                         f"{found} later copies where there must be {expected}")
+
+
 def mark_repeats(df: DataFrame, keys: list[str], order_by: str, name: str,
                  facts: Settled | None = None) -> DataFrame:
     """Boolean ``name``: an equal row (null equals null) stands earlier in
@@ -104,12 +120,13 @@ def drop_or_flag_duplicates(df: DataFrame, keys: list[str], order_by: str, drop:
     return marked.filter(~F.col(name)).drop(name) if drop else marked
 
 
-def exposure_facts(df: DataFrame, key: str, amount: str, limit: str, name: str) -> Settled:
-    """Total of ``amount`` per group, for the groups where it passes the lowest
-    positive ``limit`` in them; in the others no row can be in breach."""
-    positive = F.when(F.col(limit) > 0, F.col(limit))
-    groups = (df.groupBy(quoted(key))
-              .agg((F.rint(F.sum(amount) * 100) / 100).alias(name),
-                   F.min(positive).alias("_least"), F.count(F.lit(1)).alias(GROUP_ROWS))
+def exposure_facts(groups: DataFrame, key: str, amount: str, least: str, name: str) -> Settled:
+    """Total of ``amount`` (whole cents) per key over groups of equal rows, for
+    the keys where it passes their ``least`` positive limit; elsewhere no row
+    can be in breach."""
+    each = F.rint(quoted(amount) * 100).try_cast("decimal(20,0)") * F.col(GROUP_ROWS)
+    totals = (groups.groupBy(quoted(key))
+              .agg((F.sum(each).cast("double") / 100).alias(name), F.min(least).alias("_least"),
+                   F.sum(GROUP_ROWS).alias(GROUP_ROWS))
               .filter(F.col(name) > F.col("_least")).drop("_least"))
-    return settle(groups, weight=GROUP_ROWS)
+    return settle(totals, weight=GROUP_ROWS)

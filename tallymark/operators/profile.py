@@ -3,9 +3,9 @@
 Every cell becomes (column, value), values collapse to (column, value, n) with
 partial aggregation before the one wide shuffle, and types, counts, statistics
 and top values are small aggregates of that table. Parsing runs once per
-distinct value. Long texts are keyed by digest, so a shuffle never carries a
-document; the texts of the few top values are looked up at the end. What
-reaches the driver is a row or a handful of values per column.
+distinct value. Texts of every length are keyed by themselves, declared numbers
+by their exact value, so a column of distinct texts costs one shuffle of its
+size. What reaches the driver is a row or a handful of values per column.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from .quantiles import exact_quantiles
 from .schema import norm_header
 from .staging import settle
 
-LONG = 200
 DATE_TYPES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
@@ -61,65 +60,42 @@ class ColumnProfile:
 
 
 def _cell(c: Column, dtype: T.DataType, i: int) -> Column:
-    """One cell as (column, cell, num, day); a blank one has none of the three."""
-    text, num, day = F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("date")
-    if isinstance(dtype, T.NumericType):
-        num = F.nanvl(c.cast("double"), num) if "float" in dtype.typeName() or \
-            "double" in dtype.typeName() else c.cast("double")
+    """One cell as (column, cell, day). A number's cell is its exact value as
+    text, and null for NaN; minus zero is zero."""
+    day = F.lit(None).cast("date")
+    if isinstance(dtype, T.FractionalType) and not isinstance(dtype, T.DecimalType):
+        value = c.cast("double") + 0.0
+        text = F.when(~F.isnan(value), value.cast("string"))
     elif isinstance(dtype, DATE_TYPES):
         text, day = c.cast("string"), c.cast("date")
     else:
-        text = as_text(c, dtype)
-    return F.struct(F.lit(f"c{i}").alias("column"), text.alias("cell"), num.alias("num"),
-                    day.alias("day"))
-
-
-def _position(df: DataFrame, o: Options) -> Column:
-    """The order key where it is an integer: a place to find a long text again."""
-    if o.order_by and isinstance(df.schema[o.order_by].dataType, T.IntegralType):
-        return quoted(o.order_by).cast("bigint")
-    return F.lit(None).cast("bigint")
+        text = c.cast("string") if isinstance(dtype, T.NumericType) else as_text(c, dtype)
+    return F.struct(F.lit(f"c{i}").alias("column"), text.alias("cell"), day.alias("day"))
 
 
 def frequencies(df: DataFrame, columns: list[str], o: Options) -> DataFrame:
-    """(column, key, ..., n): the one wide shuffle. Hot values collapse before
-    it. Short values are parsed after it, once per distinct value. The cells
-    are laid out long first, so the expressions do not grow with the columns."""
+    """(column, key, day, n, gate, datelike, num, fold): the one wide shuffle.
+    Hot values collapse before it, and values are parsed after it, once each.
+    The cells are laid out long first, so the expressions do not grow with the
+    columns."""
     types = {f.name: f.dataType for f in df.schema.fields}
     cells = F.array(*[_cell(quoted(c), types[c], i) for i, c in enumerate(columns)])
-    texts = [f"c{i}" for i, c in enumerate(columns)
-             if not isinstance(types[c], (T.NumericType, *DATE_TYPES))]
-    text = F.col("column").isin(texts)
-    at = _position(df, o)
-    cell = df.select(at.alias("at"), F.inline(cells)).withColumn(
-        "cell", F.when(~is_blank(F.col("cell")), F.col("cell")))
-    long = text & F.coalesce(F.length("cell") > LONG, F.lit(False))
-    wide = cell.withColumn("long", long)
-
-    def if_long(c):
-        return F.when(F.col("long"), c)
-
-    keyed = wide.select(
-        "column", "long", "day", if_long(F.col("at")).alias("at"),
-        F.when(F.col("long"), F.sha2("cell", 256)).otherwise(F.col("cell")).alias("key"),
-        if_long(F.sha2(F.lower(strip(F.col("cell"))), 256)).alias("fold"),
-        if_long(numbers.looks_numeric(F.col("cell"))).alias("gate"),
-        if_long(dates.looks_datelike(F.col("cell"))).alias("datelike"),
-        F.when(F.col("long") & numbers.looks_numeric(F.col("cell")),
-               numbers.parse_amount(F.col("cell"))).otherwise(F.col("num")).alias("num"))
-    same = [c for c in keyed.columns if c != "at"]
-    grouped = keyed.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
-    short = text & ~F.col("long") & F.col("key").isNotNull()
-    gate = F.when(short, numbers.looks_numeric(F.col("key"))).otherwise(F.col("gate"))
-    datelike = F.when(short, dates.looks_datelike(F.col("key"))).otherwise(F.col("datelike"))
-    staged = grouped.withColumns({"gate": gate, "datelike": datelike, "short": short})
+    numeric = [f"c{i}" for i, c in enumerate(columns) if isinstance(types[c], T.NumericType)]
+    days = [f"c{i}" for i, c in enumerate(columns) if isinstance(types[c], DATE_TYPES)]
+    key = F.when(F.col("column").isin(numeric) | ~is_blank(F.col("cell")), F.col("cell"))
+    cell = df.select(F.inline(cells)).select("column", key.alias("key"), "day")
+    grouped = cell.groupBy("column", "key", "day").agg(F.count(F.lit(1)).alias("n"))
+    text = ~F.col("column").isin(numeric + days) & F.col("key").isNotNull()
+    staged = grouped.withColumns({
+        "text": text, "gate": F.when(text, numbers.looks_numeric(F.col("key"))),
+        "datelike": F.when(text, dates.looks_datelike(F.col("key")))})
     return staged.withColumns({
-        "num": F.when(F.col("short") & F.col("gate"), numbers.parse_amount(F.col("key")))
-               .otherwise(F.col("num")),
-        "day": F.when(F.col("short"), dates.parse_date(F.col("key"), T.StringType(), o.dayfirst,
-                                                       o.as_of.year)).otherwise(F.col("day")),
-        "fold": F.when(F.col("short"), F.lower(strip(F.col("key")))).otherwise(F.col("fold")),
-    }).drop("short")
+        "num": F.when(F.col("column").isin(numeric), F.col("key").try_cast("double"))
+                .when(F.col("gate"), numbers.parse_amount(F.col("key"))),
+        "day": F.when(F.col("text"), dates.parse_date(F.col("key"), T.StringType(), o.dayfirst,
+                                                      o.today().year)).otherwise(F.col("day")),
+        "fold": F.when(F.col("text"), F.sha2(F.lower(strip(F.col("key"))), 256)),
+    }).drop("text")
 
 
 def _decide(r, dtype: T.DataType) -> str:
@@ -151,8 +127,6 @@ def _census(freq: DataFrame) -> dict:
              "days": F.col("day").isNotNull()}
     aggs = [F.coalesce(F.sum(F.when(cond, n)), F.lit(0)).alias(k) for k, cond in total.items()]
     aggs += [F.count(F.when(filled, one)).alias("unique"),
-             F.count(F.when(F.col("num").isNotNull(), one)).alias("num_values"),
-             F.count_if("long").alias("long_values"),
              F.sum(F.col("num") * n).alias("sum"), F.min("num").alias("min"),
              F.max("num").alias("max"), F.min("day").alias("min_date"),
              F.max("day").alias("max_date")]
@@ -177,7 +151,7 @@ def _number_stats(freq, census, names, spark) -> dict[str, dict]:
     for r in numeric.groupBy("column").agg(F.sum(off * off * F.col("n")).alias("ss")).collect():
         total = census[r["column"]]["numbers"]
         out[r["column"]]["std"] = math.sqrt(r["ss"] / (total - 1)) if total > 1 else 0.0
-    counts = {c: (census[c]["numbers"], census[c]["num_values"]) for c in live}
+    counts = {c: census[c]["numbers"] for c in live}
     for c, q in exact_quantiles(numeric.select("column", "num", "n"), counts,
                                 [0.25, 0.5, 0.75]).items():
         out[c] |= {"q1": q[0.25], "median": q[0.5], "q3": q[0.75]}
@@ -185,43 +159,18 @@ def _number_stats(freq, census, names, spark) -> dict[str, dict]:
 
 
 def _top_values(freq, names, n=TOP_VALUES) -> dict[str, list]:
-    """The most frequent values, ties by value (long texts by digest); each task
-    keeps ``n`` per column before the shuffle, so no column gathers in one."""
+    """The most frequent values, ties by value; each task keeps ``n`` per
+    column before the shuffle, so no column gathers in one."""
     rank = Window.partitionBy("column").orderBy(F.desc("n"), "key")
     rows = (freq.filter(F.col("column").isin(names) & F.col("key").isNotNull())
             .withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= n)
-            .select("column", "rank", "key", "long", "n", "at").collect())
+            .select("column", "rank", "key", "n").collect())
     top: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r["column"], r["rank"])):
-        top.setdefault(r["column"], []).append((r["key"], r["n"], r["long"], r["at"]))
+        top.setdefault(r["column"], []).append((r["key"], r["n"]))
     return top
 
 
-def _spell_out(df, columns, top, o) -> dict[str, list]:
-    """Replace digests among the top values by their texts: at most eight rows
-    per column, found by order key (a filter the scan can prune by), or by
-    digest where the order key is no integer."""
-    types = {f.name: f.dataType for f in df.schema.fields}
-    out = {}
-    for c, values in top.items():
-        name = columns[int(c[1:])]
-        cell = as_text(quoted(name), types[name])
-        wanted = [(k, at) for k, _, long, at in values if long]
-        full = {}
-        if wanted and all(at is not None for _, at in wanted):
-            places = {at: k for k, at in wanted}
-            rows = (df.filter(quoted(o.order_by).isin(list(places)))
-                    .select(quoted(o.order_by).alias("at"), cell.alias("t")).collect())
-            full = {places[r["at"]]: r["t"] for r in rows}
-        elif wanted:
-            hits = (df.select(cell.alias("t")).select("t", F.sha2("t", 256).alias("d"))
-                    .filter(F.col("d").isin([k for k, _ in wanted]))
-                    .groupBy("d").agg(F.min("t").alias("t")).collect())
-            full = {r["d"]: r["t"] for r in hits}
-        out[c] = [(full.get(k, k) if long else k, n) for k, n, long, _ in values]
-    return out
-
-
 def _folded(freq, names) -> dict[str, int]:
     """Distinct values once case and outer space are ignored."""
     if not names:
@@ -315,8 +264,9 @@ class Profile:
         return float(sum(self[c].stats["sum"] for c in self.key_numeric()))
 
 
-def profile(df: DataFrame, o: Options = Options()) -> Profile:
+def profile(df: DataFrame, o: Options | None = None) -> Profile:
     """Profile every column but the order key."""
+    o = (o or Options()).resolved()
     columns = [c for c in df.columns if c != o.order_by]
     types = {f.name: f.dataType for f in df.schema.fields}
     freq = settle(frequencies(df, columns, o)).df
@@ -327,7 +277,7 @@ def profile(df: DataFrame, o: Options = Options()) -> Profile:
     numeric = [c for c, k in kinds.items() if k == NUMERIC]
     worded = [c for c, k in kinds.items() if k in (CATEGORICAL, TEXT)]
     stats = _number_stats(freq, census, numeric, df.sparkSession)
-    top = _spell_out(df, columns, _top_values(freq, worded), o) if worded else {}
+    top = _top_values(freq, worded) if worded else {}
     folded = _folded(freq, worded)
     out = []
     for i, name in enumerate(columns):
@@ -346,19 +296,20 @@ def profile(df: DataFrame, o: Options = Options()) -> Profile:
     return Profile(df.sparkSession, out)
 
 
-def infer_types(df: DataFrame, o: Options = Options()) -> DataFrame:
+def infer_types(df: DataFrame, o: Options | None = None) -> DataFrame:
     return profile(df, o).type_table()
 
 
 def coerced(c: Column, dtype: T.DataType, kind: str, o: Options) -> Column:
-    """A cell as its column's detected type: double, date, or unchanged."""
+    """A cell as its column's detected type: its own numeric type or double,
+    date, or unchanged."""
     if kind == NUMERIC:
         if isinstance(dtype, T.NumericType):
-            return F.when(~is_blank(c, dtype), c.cast("double"))
+            return F.when(~is_blank(c, dtype), c)
         return F.when(numbers.looks_numeric(c) & ~is_blank(c, dtype),
                       numbers.parse_amount(c, dtype))
     if kind == DATETIME:
-        return dates.parse_date(c, dtype, o.dayfirst, o.as_of.year)
+        return dates.parse_date(c, dtype, o.dayfirst, o.today().year)
     return c
 
 
@@ -375,13 +326,14 @@ def with_values(df: DataFrame, kinds: dict[str, str], o: Options) -> DataFrame:
 
 def standard_cell(name: str, kind: str) -> Column:
     """The published cell: a date as YYYY-MM-DD ('' when unreadable), a number
-    as double, anything else as it is. Needs ``with_values``."""
+    in its declared type (a parsed one as double), anything else as it is.
+    Needs ``with_values``."""
     if kind == DATETIME:
         return F.coalesce(dates.iso_text(quoted(VALUE + name)), F.lit("")).alias(name)
     return (quoted(VALUE + name) if kind == NUMERIC else quoted(name)).alias(name)
 
 
 def standardise(df: DataFrame, kinds: dict[str, str], o: Options) -> DataFrame:
-    """Detected dates as YYYY-MM-DD, detected numbers as double."""
+    """Detected dates as YYYY-MM-DD, numbers found in texts as double."""
     return with_values(df, kinds, o).select(*[standard_cell(c, kinds.get(c))
                                               for c in df.columns])

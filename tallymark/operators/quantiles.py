@@ -1,9 +1,10 @@
 """Exact quantiles of a weighted value table, without gathering a column.
 
-Each target rank starts with the whole value range and is narrowed by equal
-slices: one histogram per round, of which only the slice holding the rank comes
-back to the driver (one row per target). Ranges shrink about a thousandfold per
-round and a target is done when its slice holds one distinct value.
+The values are range-partitioned once, so a place in the order is the sum of
+the partitions before plus a running sum within one. Partition totals are one
+row per column and partition; of the rows themselves only those whose partition holds a
+wanted rank are looked at, each partition by one task, and one value per rank
+comes back. Infinities are values like others, and nothing iterates.
 """
 
 from __future__ import annotations
@@ -12,73 +13,46 @@ import math
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-SLICES = 1024
-INLINE_VALUES = 200_000
+from .staging import settle
 
 
 def _pick(low: float, high: float, position: float) -> float:
-    return low + (high - low) * (position - math.floor(position))
+    part = position - math.floor(position)
+    return low if part == 0 or low == high else low + (high - low) * part
 
 
-def exact_quantiles(freq: DataFrame, counts: dict[str, tuple[int, int]], probs: list[float],
-                    inline: int = INLINE_VALUES) -> dict[str, dict[float, float]]:
+def exact_quantiles(freq: DataFrame, counts: dict[str, int],
+                    probs: list[float]) -> dict[str, dict[float, float]]:
     """Linear-interpolated quantiles per column of ``freq`` (column, num, n).
-    ``counts`` gives each column's total weight and its distinct values."""
-    small = [c for c, (_, distinct) in counts.items() if distinct <= inline]
-    large = {c: total for c, (total, distinct) in counts.items() if distinct > inline}
+    ``counts`` gives each column's total weight."""
+    ranks = {(c, p): p * (total - 1) for c, total in counts.items() for p in probs}
+    wanted = sorted({(c, k) for (c, _), at in ranks.items()
+                     for k in (math.floor(at), math.ceil(at))})
+    found = _select_ranks(freq.filter(F.col("column").isin(list(counts))), wanted)
     out: dict[str, dict[float, float]] = {}
-    if small:
-        # at most `inline` distinct values per group, checked above
-        rows = (freq.filter(F.col("column").isin(small)).groupBy("column")
-                .agg(F.percentile("num", F.array(*[F.lit(p) for p in probs]), F.col("n"))
-                     .alias("q")).collect())
-        out = {r["column"]: dict(zip(probs, r["q"])) for r in rows}
-    if large:
-        ranks = {}
-        for c, total in large.items():
-            for p in probs:
-                at = p * (total - 1)
-                ranks[c, p] = (math.floor(at), math.ceil(at), at)
-        wanted = {(c, k) for (c, _), (lo, hi, _) in ranks.items() for k in (lo, hi)}
-        found = _select_ranks(freq.filter(F.col("column").isin(list(large))), wanted)
-        for (c, p), (lo, hi, at) in ranks.items():
-            out.setdefault(c, {})[p] = _pick(found[c, lo], found[c, hi], at)
+    for (c, p), at in ranks.items():
+        out.setdefault(c, {})[p] = _pick(found[c, math.floor(at)], found[c, math.ceil(at)], at)
     return out
 
 
-def _select_ranks(freq: DataFrame, wanted: set[tuple[str, int]]) -> dict:
+def _select_ranks(freq: DataFrame, wanted: list[tuple[str, int]]) -> dict[tuple[str, int], float]:
+    """The value at each (column, rank)."""
+    if not wanted:
+        return {}
     spark = freq.sparkSession
-    ends = {r["column"]: (r["lo"], r["hi"]) for r in freq.groupBy("column").agg(
-        F.min("num").alias("lo"), F.max("num").alias("hi")).collect()}
-    found, open_ = {}, {(c, k): (*ends[c], 0) for c, k in wanted}
-    logarithmic = True
-    while open_:
-        for key, (lo, hi, _) in list(open_.items()):
-            if lo == hi:
-                found[key] = lo
-                del open_[key]
-        if not open_:
-            break
-        # one row per open target: two ranks per column and probability
-        targets = spark.createDataFrame(
-            [(c, k, lo, hi, below) for (c, k), (lo, hi, below) in open_.items()],
-            "column string, rank bigint, lo double, hi double, below bigint")
-
-        def scale(x):
-            return F.signum(x) * F.log1p(F.abs(x)) if logarithmic else x
-
-        inside = (freq.join(F.broadcast(targets), "column")
-                  .filter(F.col("num").between(F.col("lo"), F.col("hi"))))
-        a, b, x = scale(F.col("lo")), scale(F.col("hi")), scale(F.col("num"))
-        slice_ = F.when(b > a, F.floor((x - a) / (b - a) * SLICES)).otherwise(F.lit(0))
-        hist = (inside.withColumn("slice", slice_).groupBy("column", "rank", "below", "slice")
-                .agg(F.sum("n").alias("w"), F.min("num").alias("lo"), F.max("num").alias("hi")))
-        # at most SLICES + 1 rows per window
-        upto = F.sum("w").over(Window.partitionBy("column", "rank").orderBy("slice"))
-        hit = (hist.withColumn("upto", upto + F.col("below"))
-               .filter((F.col("upto") > F.col("rank"))
-                       & (F.col("upto") - F.col("w") <= F.col("rank"))))
-        for r in hit.collect():
-            open_[r["column"], r["rank"]] = (r["lo"], r["hi"], r["upto"] - r["w"])
-        logarithmic = not logarithmic
-    return found
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = settle(freq.repartitionByRange(parts, "column", "num")
+                     .select("column", "num", "n", F.spark_partition_id().alias("part"))).df
+    totals = ordered.groupBy("column", "part").agg(F.sum("n").alias("w"))
+    upto = F.sum("w").over(Window.partitionBy("column").orderBy("part"))
+    places = totals.select("column", "part", (upto - F.col("w")).alias("below"), upto.alias("end"))
+    # two ranks per column and probability
+    ranks = spark.createDataFrame(wanted, "column string, rank bigint")
+    held = places.join(F.broadcast(ranks), "column").filter("rank >= below AND rank < end")
+    inside = ordered.join(F.broadcast(held.select("column", "part", "below").distinct()),
+                          ["column", "part"])
+    run = F.sum("n").over(Window.partitionBy("column", "part").orderBy("num")
+                          .rowsBetween(Window.unboundedPreceding, 0)) + F.col("below")
+    hit = (inside.select("column", "num", "n", run.alias("end"))
+           .join(F.broadcast(ranks), "column").filter("rank >= end - n AND rank < end"))
+    return {(r["column"], r["rank"]): r["num"] for r in hit.collect()}

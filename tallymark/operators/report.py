@@ -3,9 +3,10 @@ before its shuffle, every total is one row."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..constants import FLAG_ORDER, RULES, TOP_CLIENTS, TOP_VALUES, Options
 from ..functions.numbers import cents, share
@@ -25,15 +26,25 @@ def _one_row(*parts: DataFrame) -> DataFrame:
     return stacked.agg(*[F.max(quoted(c)).alias(c) for c in names])
 
 
-def _total(value: Column) -> Column:
-    return F.coalesce(F.sum(value), F.lit(0.0))
+def money(value: Column) -> Column:
+    """The sum of amounts that are whole cents: exact, whatever the order."""
+    exact = F.sum(F.rint(value * 100).try_cast("decimal(38,0)"))
+    return F.coalesce(exact.cast("double") / 100, F.lit(0.0))
+
+
+def _total(value: Column, dtype: T.DataType) -> Column:
+    """A sum to cents; exact for whole numbers and decimals."""
+    if isinstance(dtype, T.IntegralType):
+        value = value.cast("decimal(38,0)")
+    total = F.sum(value if isinstance(dtype, T.NumericType) else value.cast("double"))
+    return cents(F.coalesce(total.cast("double"), F.lit(0.0)))
 
 
 def revenue_totals(clean: DataFrame, exclude_cancelled: bool = True) -> DataFrame:
     """Sums over the rows that count as revenue."""
     counts = F.col("Status") != "CANCELLED" if exclude_cancelled else F.lit(True)
     names = ("revenue", "vat_total", "inc_vat_total")
-    return clean.agg(*[cents(_total(F.when(counts, F.col(c)))).alias(n)
+    return clean.agg(*[money(F.when(counts, F.col(c))).alias(n)
                        for c, n in zip(MONEY, names)])
 
 
@@ -42,14 +53,14 @@ def status_pivot(clean: DataFrame, total: bool = False) -> DataFrame:
     ``total`` adds the sums of the rounded groups as a last row."""
     pivot = clean.groupBy("Status").agg(
         _rows().alias("Transactions"),
-        cents(_total(F.col("Amount"))).alias("Revenue_Excl_VAT"),
-        cents(_total(F.col("VAT_15"))).alias("VAT_15"),
-        cents(_total(F.col("Total_Inc_VAT"))).alias("Total_Inc_VAT"),
+        money(F.col("Amount")).alias("Revenue_Excl_VAT"),
+        money(F.col("VAT_15")).alias("VAT_15"),
+        money(F.col("Total_Inc_VAT")).alias("Total_Inc_VAT"),
         F.count_if("Flagged").alias("Flagged_Rows"))
     if not total:
         return pivot.orderBy(status_rank(F.col("Status")), "Status")
     sums = [F.sum("Transactions").alias("Transactions")]
-    sums += [cents(_total(F.col(c))).alias(c)
+    sums += [money(F.col(c)).alias(c)
              for c in ("Revenue_Excl_VAT", "VAT_15", "Total_Inc_VAT")]
     sums.append(F.sum("Flagged_Rows").alias("Flagged_Rows"))
     grand = pivot.agg(*sums).select(F.lit("GRAND TOTAL").alias("Status"), "*")
@@ -70,11 +81,10 @@ def breakdown_share(rows: DataFrame, labels: str = "flags") -> DataFrame:
     marked = rows.select(F.explode(F.concat(F.col(labels), F.array(F.lit("\u0000rows"))))
                          .alias("Exception"))
     counts = marked.groupBy("Exception").agg(_rows().alias("Rows"))
-    whole = F.max(F.when(F.col("Exception") == "\u0000rows", F.col("Rows")))
-    listed = counts.agg(whole.alias("_all"),
-                        F.collect_list(F.struct("Exception", "Rows")).alias("_each"))
-    return (listed.select("_all", F.inline("_each"))
-            .filter(F.col("Exception") != "\u0000rows")
+    # one row per label from here on: a window over all of them is small
+    everything = Window.partitionBy(F.lit(1))
+    whole = F.max(F.when(F.col("Exception") == "\u0000rows", F.col("Rows"))).over(everything)
+    return (counts.withColumn("_all", whole).filter(F.col("Exception") != "\u0000rows")
             .select("Exception", "Rows", share(F.col("Rows"), F.col("_all")).alias("% of File"))
             .orderBy(F.desc("Rows"), "Exception"))
 
@@ -90,17 +100,6 @@ def health(clean: DataFrame) -> DataFrame:
     ).select("Rows", "Flagged", (F.col("h") / 10000).alias("Health"), "Band")
 
 
-def cell_counts(display: DataFrame) -> DataFrame:
-    """rows, columns, total_cells, missing_cells in one pass, no shuffle of data."""
-    fields = display.schema.fields
-    missing = reduce(lambda a, b: a + b, [
-        F.when(is_blank(quoted(f.name), f.dataType), 1).otherwise(0) for f in fields])
-    return display.agg(
-        F.lit(len(fields)).cast("bigint").alias("columns"),
-        (_rows() * len(fields)).alias("total_cells"),
-        F.coalesce(F.sum(missing), F.lit(0)).alias("missing_cells"))
-
-
 def ledger_metrics(raw: DataFrame, filled: DataFrame, clean: DataFrame, o: Options,
                    rule_count: int) -> DataFrame:
     """The run's numbers as one row. Without a duplicate drop the rows that
@@ -109,8 +108,8 @@ def ledger_metrics(raw: DataFrame, filled: DataFrame, clean: DataFrame, o: Optio
     if o.drop_duplicates:
         parts.append(filled.agg(_rows().alias("_filled")))
     counts = F.col("Status") != "CANCELLED" if o.exclude_cancelled else F.lit(True)
-    money = [cents(_total(F.when(counts, F.col(c)))).alias(n)
-             for c, n in zip(MONEY, ("revenue", "vat_total", "inc_vat_total"))]
+    sums = [money(F.when(counts, F.col(c))).alias(n)
+            for c, n in zip(MONEY, ("revenue", "vat_total", "inc_vat_total"))]
     bookkeeping = ["flags", "Flagged", "Flag_Count", "Needs_Review", "Blocked"]
     bookkeeping += [o.order_by] if o.order_by else []
     shown = [f for f in clean.schema.fields if f.name not in bookkeeping]
@@ -119,7 +118,7 @@ def ledger_metrics(raw: DataFrame, filled: DataFrame, clean: DataFrame, o: Optio
     parts.append(clean.agg(
         _rows().alias("rows_out"), F.count_if("Flagged").alias("flagged"),
         F.count_if("Blocked").alias("blocked"), F.count_if("Needs_Review").alias("needs_review"),
-        *money, F.coalesce(F.sum(missing), F.lit(0)).alias("missing_cells")))
+        *sums, F.coalesce(F.sum(missing), F.lit(0)).alias("missing_cells")))
     row = _one_row(*parts)
     filled_rows = F.col("_filled") if o.drop_duplicates else F.col("rows_out")
     return row.select(
@@ -137,23 +136,25 @@ def ledger_metrics(raw: DataFrame, filled: DataFrame, clean: DataFrame, o: Optio
         (F.col("rows_out") * len(shown)).alias("total_cells"), "missing_cells")
 
 
-def trend(df: DataFrame, date_col: str, value_col: str, name: str = "total") -> DataFrame:
+def trend(df: DataFrame, date_col: str, value_col: str, name: str = "total",
+          total: Callable[[Column], Column] | None = None) -> DataFrame:
     """Sum of a numeric column per ISO date; other texts are left out."""
+    total = total or (lambda v: _total(v, df.schema[value_col].dataType))
     return (df.filter(F.length(quoted(date_col).cast("string")) == 10)
             .groupBy(quoted(date_col).alias(date_col))
-            .agg(cents(_total(quoted(value_col))).alias(name))
+            .agg(total(quoted(value_col)).alias(name))
             .orderBy(quoted(date_col)))
 
 
 def daily_trend(clean: DataFrame) -> DataFrame:
-    return trend(clean, "Date", "Amount", "Revenue")
+    return trend(clean, "Date", "Amount", "Revenue", money)
 
 
 def top_clients(clean: DataFrame, n: int = TOP_CLIENTS) -> DataFrame:
     """The ``n`` identifiable clients with the most revenue."""
     return (clean.filter(F.col("Client_ID") != "").groupBy("Client_ID")
-            .agg(_rows().alias("Transactions"), cents(F.sum("Amount")).alias("Revenue"),
-                 cents(F.sum("VAT_15")).alias("VAT"), F.count_if("Flagged").alias("Flagged"))
+            .agg(_rows().alias("Transactions"), money(F.col("Amount")).alias("Revenue"),
+                 money(F.col("VAT_15")).alias("VAT"), F.count_if("Flagged").alias("Flagged"))
             .orderBy(F.desc("Revenue"), "Client_ID").limit(n))
 
 
@@ -161,7 +162,7 @@ def column_totals(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row per numeric column: its sum."""
     names = columns or [f.name for f in df.schema.fields
                         if isinstance(f.dataType, T.NumericType)]
-    sums = df.agg(*[cents(_total(quoted(c).cast("double"))).alias(f"s{i}")
+    sums = df.agg(*[_total(quoted(c), df.schema[c].dataType).alias(f"s{i}")
                     for i, c in enumerate(names)])
     return sums.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("Column"), F.col(f"s{i}").alias("Total"))

@@ -64,7 +64,7 @@ def _bad_tax_number(ctx: Context) -> Column:
 
 
 def _day(ctx: Context, days: int) -> Column:
-    return F.lit(ctx.options.as_of + dt.timedelta(days=days))
+    return F.lit(ctx.options.today() + dt.timedelta(days=days))
 
 
 # Label -> predicate. Columns starting with "_" are prepared by the ledger plan.
@@ -97,8 +97,8 @@ PREDICATES: dict[str, Predicate] = {
     "SAME-DAY DUPLICATE": _when(lambda c: c.runs("R17"), lambda c: F.col("_same_day")),
     "NO CONTACT DETAILS": _when(lambda c: c.runs("R19"), _no_contact),
     "RESTRICTED ENTITY": _when(
-        lambda c: c.runs("R20") and bool(c.options.blocked_ids()),
-        lambda c: F.upper(F.col("Client_ID")).isin(*c.options.blocked_ids())),
+        lambda c: c.runs("R20") and c.options.restricts(),
+        lambda c: F.upper(F.col("Client_ID")).isin(*c.options.blocked_ids()) | F.col("_listed")),
     "INCOMPLETE ADDRESS": _when(lambda c: c.runs("R21"), _bad_address),
     "FUTURE DATE": _when(lambda c: c.runs("R22"),
                          lambda c: F.col("_date") > _day(c, c.options.date_horizon)),
@@ -121,15 +121,21 @@ def is_blocked(flags: Column) -> Column:
 
 
 def restricted_entities(df, blocked, key: str = "Client_ID"):
-    """R20 against a blocklist table (one text column, trimmed and upper-cased)
-    of any size: rows whose client is listed. A semi join keeps rows whole."""
-    listed = blocked.select(F.upper(strip(F.col(blocked.columns[0]))).alias("_blocked")).distinct()
-    return df.join(listed, F.upper(F.col(key)) == F.col("_blocked"), "left_semi")
+    """Rows whose client is in a blocklist table of any size."""
+    known = df.filter(F.col(key) != "")
+    return known.join(listed_ids(blocked), F.upper(F.col(key)) == F.col("_listed_id"), "left_semi")
+
+
+def listed_ids(blocked):
+    """The ids of a blocklist table (its first column), trimmed and upper-cased;
+    blank lines list nobody."""
+    ids = blocked.select(F.upper(strip(F.col(blocked.columns[0]))).alias("_listed_id"))
+    return ids.filter("_listed_id != ''").distinct()
 
 
 def applied_rules(ctx: Context) -> list[str]:
     """Codes that ran, by the options' and the file's leave."""
     o = ctx.options
     gate = {"R04": o.flag_bad_dates, "R06": o.flag_missing_id, "R08": o.flag_missing_status,
-            "R10": o.flag_nonpositive, "R14": o.high_value > 0, "R20": bool(o.blocked_ids())}
+            "R10": o.flag_nonpositive, "R14": o.high_value > 0, "R20": o.restricts()}
     return [r.code for r in RULES if ctx.runs(r.code) and gate.get(r.code, True)]

@@ -7,8 +7,10 @@ what every broadcast decision in this package rests on.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
@@ -30,22 +32,43 @@ class Settled:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a private one where unset."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    """The folder named by spark.checkpoint.dir, or by ``tune(work_dir=...)``."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tallymark-"))
-        folder = sc.getCheckpointDir()
+        raise ValueError("set spark.checkpoint.dir, or tune(spark, work_dir=...), to a folder "
+                         "every executor can reach")
     return folder.rstrip("/")
 
 
+_OPEN: ContextVar[list | None] = ContextVar("settled tables of the plan being built", default=None)
+
+
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The folders of all tables settled inside, for ``discard`` later."""
+    paths: list[str] = []
+    token = _OPEN.set(paths)
+    try:
+        yield paths
+    finally:
+        _OPEN.reset(token)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete settled tables. What reads them can no longer run."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while paths:
+        place = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        place.getFileSystem(conf).delete(place, True)
+
+
 def settle(df: DataFrame, weight: str | None = None) -> Settled:
     """Write ``df`` to the shared folder and read it back, with its measured
     size. ``weight`` names a column to add up on the way (source rows)."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tallymark-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    if (paths := _OPEN.get()) is not None:
+        paths.append(path)
     size = F.lit(8 * len(df.columns)).cast("bigint")
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.StringType, T.BinaryType)):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -12,9 +12,12 @@ from ..constants import (CANONICAL, HELPER_COLUMNS, LEADING_COLUMNS, RECON_NO, R
 from ..functions import dates, numbers, text
 from ..functions.text import quoted
 from ..operators import report, rules
-from ..operators.keyed import attach, exposure_facts, mark_repeats, repeat_facts
+from ..operators.audit import AuditResult, audit
+from ..operators.keyed import (GROUP_ROWS, attach, check_order, exposure_facts, mark_repeats,
+                               rolled_facts)
+from ..operators.profile import Profile, profile
 from ..operators.schema import MappedTable, map_columns
-from ..operators.staging import settle
+from ..operators.staging import Settled, collected, discard, settle
 
 TYPED_DATES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -55,7 +58,7 @@ def not_blank(df: DataFrame, o: Options) -> DataFrame:
 def repair(df: DataFrame, mapped: frozenset[str], o: Options) -> DataFrame:
     """Row-local repairs. Working columns start with '_'."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    parsed_date = dates.parse_date(F.col("Date"), types["Date"], o.dayfirst, o.as_of.year)
+    parsed_date = dates.parse_date(F.col("Date"), types["Date"], o.dayfirst, o.today().year)
     parsed = df.withColumns({
         "_date": parsed_date,
         "_amount": numbers.parse_amount(F.col("Amount"), types["Amount"]),
@@ -95,70 +98,133 @@ def repair(df: DataFrame, mapped: frozenset[str], o: Options) -> DataFrame:
     return out.withColumn("Recon_Status", recon)
 
 
+ENTRY = ["Date", "Client_ID", "Amount", "Reference"]
+DAY = ["_date", "_client", "Amount"]
+MARKS = ("_duplicate", "_same_day", "_exposure")
+
+
+def _wants(ctx: rules.Context) -> dict[str, bool]:
+    o = ctx.options
+    return {"_duplicate": ctx.runs("R12") and (o.drop_duplicates or o.flag_duplicates),
+            "_same_day": ctx.runs("R17"), "_exposure": ctx.runs("R15")}
+
+
+def cross_groups(rows: DataFrame, o: Options) -> DataFrame:
+    """Equal entries as one row each: first order key, rows, least positive
+    limit. The keys of R17 and R15 are coarser, so their facts follow from it:
+    this is the one shuffle of the rows."""
+    first = F.min(quoted(o.order_by)) if o.order_by else F.lit(None).cast("bigint")
+    limit = F.min(F.when(F.col("_limit") > 0, F.col("_limit")))
+    return rows.groupBy(*ENTRY, "_date", "_client").agg(
+        first.alias("_first"), F.count(F.lit(1)).alias(GROUP_ROWS), limit.alias("_least"))
+
+
+def merged_groups(groups: DataFrame) -> DataFrame:
+    """The groups of several batches as one."""
+    return groups.groupBy(*ENTRY, "_date", "_client").agg(
+        F.min("_first").alias("_first"), F.sum(GROUP_ROWS).alias(GROUP_ROWS),
+        F.min("_least").alias("_least"))
+
+
+def cross_facts(groups: DataFrame, wants: dict[str, bool], o: Options) -> dict[str, Settled]:
+    """Facts of R12b, R17 and R15 from ``cross_groups`` (settled)."""
+    facts = {}
+    if wants["_duplicate"]:
+        facts["_duplicate"] = settle(groups.select(*ENTRY, "_first", GROUP_ROWS)
+                                     .filter(F.col(GROUP_ROWS) > 1), weight=GROUP_ROWS)
+    left = groups.withColumn(GROUP_ROWS, F.lit(1).cast("bigint")) if o.drop_duplicates else groups
+    if wants["_same_day"]:
+        facts["_same_day"] = rolled_facts(left, DAY)
+    if wants["_exposure"]:
+        facts["_exposure"] = exposure_facts(left, "_client", "Amount", "_least", "_exposure")
+    return facts
+
+
+def add_marks(rows: DataFrame, facts: dict[str, Settled], o: Options) -> DataFrame:
+    """_duplicate, _same_day and _exposure of every row."""
+    rows = rows.withColumns({"_duplicate": F.lit(False), "_same_day": F.lit(False),
+                             "_exposure": F.lit(None).cast("double")})
+    for name, keys in (("_duplicate", ENTRY), ("_same_day", DAY)):
+        if name in facts:
+            rows = mark_repeats(rows, keys, o.order_by, name, facts[name])
+    if "_exposure" in facts:
+        spread = quoted(o.order_by) if o.order_by else F.xxhash64("_client", "Amount")
+        rows = attach(rows.drop("_exposure"), facts["_exposure"], ["_client"],
+                      ["_exposure"], spread)
+    return rows
+
+
+def mark_rows(df: DataFrame, narrow: DataFrame, facts: dict[str, Settled],
+              o: Options) -> DataFrame:
+    """``add_marks`` to the wide rows; ``narrow`` has what the marks need.
+    Raises where the order key does not order the rows."""
+    if o.order_by is None:
+        return add_marks(df, facts, o)
+    marked = add_marks(narrow, facts, o)
+    repeats = {k: f for k, f in facts.items() if k == "_duplicate"
+               or k == "_same_day" and not o.drop_duplicates}
+    counts = [F.count_if(name).alias(name) for name in repeats]
+    nulls = F.count_if(quoted(o.order_by).isNull()).alias("nulls")
+    if all(f.broadcastable for f in facts.values()):
+        seen = marked.agg(nulls, *counts).first()
+        check_order({k: seen[k] for k in repeats}, repeats, seen["nulls"])
+        return add_marks(df, facts, o)
+    # Large facts meet the narrow rows; their marks then reach the wide rows
+    # by the unique order key, in one shuffle that no group can skew.
+    some = F.col("_duplicate") | F.col("_same_day") | F.col("_exposure").isNotNull()
+    marks = settle(marked.filter(some | quoted(o.order_by).isNull())
+                   .select(quoted(o.order_by).alias("_row"), *MARKS))
+    seen = marks.df.agg(F.count_if(F.col("_row").isNull()).alias("nulls"), *counts).first()
+    check_order({k: seen[k] for k in repeats}, repeats, seen["nulls"])
+    side = F.broadcast(marks.df) if marks.broadcastable else marks.df
+    df = df.join(side, quoted(o.order_by) == F.col("_row"), "left").drop("_row")
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in MARKS[:2]})
+
+
+def mark_listed(df: DataFrame, narrow: DataFrame, o: Options) -> DataFrame:
+    """_listed: the client is in the blocklist table."""
+    if o.blocklist is None:
+        return df.withColumn("_listed", F.lit(False))
+    upper = F.upper("_client")
+    clients = narrow.filter("_client != ''").groupBy(upper.alias("_id")).agg(
+        F.count(F.lit(1)).alias(GROUP_ROWS))
+    listed = clients.join(rules.listed_ids(o.blocklist), F.col("_id") == F.col("_listed_id"))
+    facts = settle(listed.select("_id", F.lit(True).alias("_listed"), GROUP_ROWS), GROUP_ROWS)
+    spread = quoted(o.order_by) if o.order_by else F.xxhash64("_client", "Amount")
+    out = attach(df.withColumn("_id", upper), facts, ["_id"], ["_listed"], spread)
+    return out.withColumn("_listed", F.coalesce("_listed", F.lit(False))).drop("_id")
+
+
 def cross_row(df: DataFrame, mapped: frozenset[str], o: Options, local_only=False) -> DataFrame:
-    """Facts about a row's group. With ``local_only`` (a plain
-    stream) the columns exist and never fire."""
+    """Facts about a row's group or client. With
+    ``local_only`` (a plain stream) the columns exist and never fire."""
     ctx = rules.Context(o, mapped)
-    no = F.lit(False)
     df = df.withColumn("_client", F.coalesce(F.col("Client_ID"), F.lit("")))
-    wants = {"_duplicate": ctx.runs("R12") and (o.drop_duplicates or o.flag_duplicates),
-             "_same_day": ctx.runs("R17"), "_exposure": ctx.runs("R15")}
+    wants = _wants(ctx)
     if local_only:
-        wants = dict.fromkeys(wants, False)
+        return add_marks(df, {}, o).withColumn("_listed", F.lit(False))
     if (wants["_duplicate"] or wants["_same_day"]) and o.order_by is None:
         raise ValueError("duplicate rules need Options.order_by: a unique column that says "
                          "which of several equal rows came first")
+    if not any(wants.values()) and o.blocklist is None:
+        return add_marks(df, {}, o).withColumn("_listed", F.lit(False))
     # Group facts need few columns: parse those once, into a narrow table.
-    if not any(wants.values()):
-        return df.withColumns({"_duplicate": no, "_same_day": no,
-                               "_exposure": F.lit(None).cast("double")})
-    entry, day = ["Date", "Client_ID", "Amount", "Reference"], ["_date", "_client", "Amount"]
-    names = {"_duplicate": entry, "_same_day": day, "_exposure": ["_client", "Amount", "_limit"]}
-    needed = {c for k, on in wants.items() if on for c in names[k]}
-    narrow = df.select(*sorted(needed), *([quoted(o.order_by)] if o.order_by else []))
-    if sum(wants.values()) > 1:
-        narrow = settle(narrow).df
-    survivors, facts = narrow, {}
-    if wants["_duplicate"]:
-        facts["_duplicate"] = repeat_facts(narrow, entry, o.order_by)
-        if o.drop_duplicates:
-            survivors = mark_repeats(narrow, entry, o.order_by, "_duplicate",
-                                     facts["_duplicate"]).filter(~F.col("_duplicate"))
-    if wants["_exposure"]:
-        facts["_exposure"] = exposure_facts(survivors, "_client", "Amount", "_limit", "_exposure")
-    if wants["_same_day"]:
-        facts["_same_day"] = repeat_facts(survivors, day, o.order_by)
-
-    def mark(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumns({"_duplicate": no, "_same_day": no,
-                                 "_exposure": F.lit(None).cast("double")})
-        for name, keys in (("_duplicate", entry), ("_same_day", day)):
-            if name in facts:
-                rows = mark_repeats(rows, keys, o.order_by, name, facts[name])
-        if "_exposure" in facts:
-            spread = quoted(o.order_by) if o.order_by else F.xxhash64("_client", "Amount")
-            rows = attach(rows.drop("_exposure"), facts["_exposure"], ["_client"],
-                          ["_exposure"], spread)
-        return rows
-
-    if o.order_by is None or all(f.broadcastable for f in facts.values()):
-        df = mark(df)
-    else:
-        # Large facts meet the narrow rows; their marks then reach the wide rows
-        # by the unique order key, in one shuffle that no group can skew.
-        marked = mark(narrow).filter(F.col("_duplicate") | F.col("_same_day")
-                                     | F.col("_exposure").isNotNull())
-        marks = settle(marked.select(quoted(o.order_by).alias("_row"), "_duplicate", "_same_day",
-                                     "_exposure"))
-        side = F.broadcast(marks.df) if marks.broadcastable else marks.df
-        df = df.join(side, quoted(o.order_by) == F.col("_row"), "left").drop("_row")
-        df = df.withColumns({c: F.coalesce(F.col(c), no) for c in ("_duplicate", "_same_day")})
+    order = [quoted(o.order_by)] if o.order_by else []
+    narrow = settle(df.select(*ENTRY, "_date", "_client", "_limit", *order)).df
+    facts = {}
+    if any(wants.values()):
+        facts = cross_facts(settle(cross_groups(narrow, o)).df, wants, o)
+    df = mark_listed(mark_rows(df, narrow, facts, o), narrow, o)
     return df.filter(~F.col("_duplicate")) if o.drop_duplicates else df
 
 
 def judge(df: DataFrame, mapped: frozenset[str], o: Options) -> DataFrame:
     """Attach the flags and the verdict columns, blank out the null texts."""
-    flagged = df.withColumn("flags", rules.flags_column(rules.Context(o, mapped)))
+    return judge_rows(df.withColumn("flags", rules.flags_column(rules.Context(o, mapped))))
+
+
+def judge_rows(flagged: DataFrame) -> DataFrame:
+    """The verdict columns of rows that have their flags."""
     return flagged.withColumns({
         "Needs_Review": text.needs_review(F.col("Status"), F.col("Notes")),
         "Notes": text.compose_notes(F.col("flags"), F.col("Notes")),
@@ -180,7 +246,7 @@ def published(df: DataFrame, o: Options) -> DataFrame:
 @dataclass(frozen=True)
 class LedgerRun:
     """A finished plan. Every table is a DataFrame; nothing has run but the
-    small lookups of the cross-row rules."""
+    small lookups of the cross-row rules. ``close`` drops their tables."""
 
     options: Options
     mapped: MappedTable
@@ -188,6 +254,7 @@ class LedgerRun:
     work: DataFrame        # judged rows with the working columns
     clean: DataFrame
     mode: str = "sales"
+    staged: list[str] = field(default_factory=list, repr=False)
 
     @property
     def context(self) -> rules.Context:
@@ -204,6 +271,36 @@ class LedgerRun:
         drop += [self.options.order_by] if self.options.order_by else []
         return self.clean.drop(*drop)
 
+    def settled(self) -> LedgerRun:
+        """The run with its clean table written once; exports, metrics and
+        history of it read that instead of cleaning again."""
+        with collected() as paths:
+            done = settle(self.clean).df
+        self.staged.extend(paths)
+        return replace(self, clean=done)
+
+    def close(self) -> None:
+        discard(self.clean.sparkSession, self.staged)
+
+    def __enter__(self) -> LedgerRun:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def profile(self) -> Profile:
+        return profile(self.auditable(), self.options)
+
+    def audit(self, prof: Profile | None = None) -> AuditResult:
+        return audit(self.auditable(), prof or self.profile(), self.options)
+
+    def full_metrics(self, seconds: float = 0.0) -> DataFrame:
+        """``metrics`` with duplicate_rows of the audited table, time and duration."""
+        extra = self.audit().totals.select(
+            "duplicate_rows", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
+            .alias("finished"), F.lit(round(float(seconds), 2)).alias("seconds"))
+        return report._one_row(self.metrics(), extra)
+
     def rules_applied(self) -> list[str]:
         return rules.applied_rules(self.context)
 
@@ -232,14 +329,16 @@ class LedgerRun:
 
 
 def run_ledger(df: DataFrame, o: Options) -> LedgerRun:
+    o = o.resolved()
     mapped = map_columns(df, o.mapping, o.order_by)
     have = frozenset(mapped.mapping)
     filled = scrub(not_blank(mapped.df, o), o)
     if filled.isEmpty():
         raise ValueError("no data rows: the table is empty, or every row is blank")
     repaired = repair(filled, have, o).withColumn("_notes", F.col("Notes"))
-    work = judge(cross_row(repaired, have, o), have, o)
-    return LedgerRun(o, mapped, filled, work, published(work, o))
+    with collected() as paths:
+        work = judge(cross_row(repaired, have, o), have, o)
+    return LedgerRun(o, mapped, filled, work, published(work, o), staged=paths)
 
 
 def clean_ledger(df: DataFrame, o: Options) -> DataFrame:
@@ -249,8 +348,26 @@ def clean_ledger(df: DataFrame, o: Options) -> DataFrame:
 def flag_rows_locally(df: DataFrame, o: Options) -> DataFrame:
     """The ledger without the rules that compare rows: no shuffle, so it runs
     on a stream as it is."""
+    o = o.resolved()
     mapped = map_columns(df, o.mapping, o.order_by)
     have = frozenset(mapped.mapping)
     rows = scrub(not_blank(mapped.df, o), o)
     work = judge(cross_row(repair(rows, have, o), have, o, local_only=True), have, o)
     return published(work, o)
+
+
+def stored_rows(df: DataFrame, o: Options) -> tuple[LedgerRun, DataFrame]:
+    """A batch's run without the rules that compare rows, and its rows as they
+    are stored: repaired, with the local flags (_local) and which of the
+    comparing rules the batch's columns allow (_rules_12, _15, _17)."""
+    o = o.resolved()
+    mapped = map_columns(df, o.mapping, o.order_by)
+    have = frozenset(mapped.mapping)
+    filled = scrub(not_blank(mapped.df, o), o)
+    rows = repair(filled, have, o).withColumn("_client", F.coalesce(F.col("Client_ID"), F.lit("")))
+    local = mark_listed(rows, rows, o)
+    ctx, marks = rules.Context(o, have), {"_duplicate": F.lit(False), "_same_day": F.lit(False),
+                                          "_exposure": F.lit(None).cast("double")}
+    local = local.withColumns(marks).withColumn("_local", rules.flags_column(ctx)).drop(*MARKS)
+    local = local.withColumns({f"_rules_{n}": F.lit(ctx.runs(f"R{n}")) for n in (12, 15, 17)})
+    return LedgerRun(o, mapped, filled, local, local), local.drop("_listed")

@@ -10,8 +10,9 @@ from .ledger import LedgerRun, run_ledger
 from .universal import UniversalRun, run_universal
 
 
-def run(df: DataFrame, options: Options = Options()) -> LedgerRun | UniversalRun:
+def run(df: DataFrame, options: Options | None = None) -> LedgerRun | UniversalRun:
     """The ledger rules where the headers make a ledger, the profiler elsewhere."""
+    options = (options or Options()).resolved()
     mapping = options.mapping
     if mapping is None:
         mapping = detect_mapping([c for c in df.columns if c != options.order_by])

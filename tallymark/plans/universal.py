@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..constants import Options
+from ..constants import PREVIEW_ROWS, Options
 from ..functions import text
 from ..functions.text import quoted
-from ..operators import report
+from ..operators import explore, report
 from ..operators.audit import AuditResult, audit
 from ..operators.profile import Profile, profile, standard_cell, standardise
 from ..operators.schema import clean_headers
+from ..operators.staging import collected, discard, settle
 from .ledger import not_blank
 
 
@@ -39,6 +40,7 @@ class UniversalRun:
     notes_column: str
     mode: str = "universal"
     mapping: dict | None = None
+    staged: list[str] = field(default_factory=list, repr=False)
 
     def breakdown(self) -> DataFrame:
         return report.flag_breakdown(self.clean, "issues")
@@ -56,6 +58,28 @@ class UniversalRun:
             F.col("issue_count").alias("rule_count"),
             F.lit(float(o.vat_rate)).alias("vat_rate"))
 
+    def settled(self) -> UniversalRun:
+        """The run with its clean table written once, for exports."""
+        with collected() as paths:
+            done = settle(self.clean).df
+        self.staged.extend(paths)
+        return replace(self, clean=done)
+
+    def close(self) -> None:
+        """Drop the tables that the run has settled."""
+        discard(self.clean.sparkSession, self.staged)
+
+    def _data(self) -> list[str]:
+        return [c for c in self.display.columns if c != self.notes_column] + [self.notes_column]
+
+    def search(self, needle: str) -> DataFrame:
+        """Rows that hold the text in a data column or the notes."""
+        return explore.search(self.clean, needle, self._data())
+
+    def preview(self, limit: int = PREVIEW_ROWS) -> DataFrame:
+        """The first rows: all data columns and the notes."""
+        return explore.preview(self.clean, self.options.order_by, limit, self._data())
+
     @property
     def display(self) -> DataFrame:
         drop = ["Flagged", "Flag_Count", "Needs_Review", "issues"]
@@ -67,15 +91,17 @@ def run_universal(df: DataFrame, o: Options) -> UniversalRun:
     """Clean, profile, standardise and audit. The audit looks at the cells as
     cleaned, so bad dates and numbers show; ``strict_compat`` audits the
     standardised table, where they already count as missing."""
+    o = o.resolved()
     filled = sanitise(df, o)
     if filled.isEmpty():
         raise ValueError("no data rows: the table is empty, or every row is blank")
-    prof = profile(filled, o)
-    subject = filled
-    if o.strict_compat:
-        subject = standardise(filled, prof.types, o)
-        prof = profile(subject, o)
-    result = audit(subject, prof, o)
+    with collected() as paths:
+        prof = profile(filled, o)
+        subject = filled
+        if o.strict_compat:
+            subject = standardise(filled, prof.types, o)
+            prof = profile(subject, o)
+        result = audit(subject, prof, o)
     rows = result.rows
     # Review words are looked for in the source's own texts.
     texts = [c for c in ("Status", "Notes") if c in filled.columns] or [
@@ -95,4 +121,5 @@ def run_universal(df: DataFrame, o: Options) -> UniversalRun:
     final = [*[standard_cell(c, kinds.get(c)) for c in data], F.col("_note").alias(notes),
              "Flagged", "Flag_Count", F.col("_review").alias("Needs_Review"), "issues"]
     final += [quoted(o.order_by)] if o.order_by else []
-    return UniversalRun(o, df, filled, prof, result, verdicts.select(*final), notes)
+    return UniversalRun(o, df, filled, prof, result, verdicts.select(*final), notes,
+                        staged=paths)

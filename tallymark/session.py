@@ -14,7 +14,11 @@ SETTINGS = {
 }
 
 
-def tune(spark: SparkSession) -> SparkSession:
+def tune(spark: SparkSession, work_dir: str | None = None) -> SparkSession:
+    """``work_dir``: a folder every executor reaches, for intermediate tables,
+    where the session has no spark.checkpoint.dir."""
+    if work_dir and not spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir(work_dir)
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark

@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
+import csv
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..constants import CSV_NA_TOKENS
 from ..functions.text import quoted
-from ..operators.staging import BROADCAST_ROWS
 
-ROW_BITS = 40      # rows per file
 SEPARATORS = (",", ";", "\t", "|")
 
 
 def sniff_separator(spark: SparkSession, path: str) -> str:
-    """The candidate seen most often in the first line that is not empty."""
+    """The first candidate that parts the header, quotes respected, into more
+    than one column; a header of one plain word is one column."""
     line = spark.read.text(path).filter(F.trim("value") != "").limit(1).first()
     if line is None:
         raise ValueError(f"no lines in {path}")
-    return max(SEPARATORS, key=lambda s: line["value"].count(s))
+    header = line["value"].removeprefix("\ufeff")
+    for sep in SEPARATORS:
+        if len(next(csv.reader([header], delimiter=sep))) > 1:
+            return sep
+    if re.fullmatch(r'"[^"]*"|[\w .-]+', header.strip()):
+        return SEPARATORS[0]
+    raise ValueError(f"none of the separators {SEPARATORS} fits the header {header[:200]!r}")
 
 
 def sniff_encoding(spark: SparkSession, path: str) -> str:
@@ -27,46 +35,42 @@ def sniff_encoding(spark: SparkSession, path: str) -> str:
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None,
-                   encoding: str | None = None, multiline: bool = False) -> DataFrame:
+                   encoding: str | None = None, multiline: bool = False,
+                   order: str | None = None) -> DataFrame:
     """All cells as text, blank lines skipped, the usual missing-value
-    spellings null. ``multiline`` allows line breaks inside quotes, at the price
-    of files that cannot be split."""
+    spellings null. Name the ``encoding`` of large files: to find it costs a
+    pass over them. ``multiline`` allows line breaks inside quotes, at the price
+    of files that cannot be split. ``order`` names a column for the place of each row:
+    its file, the start of its split, and a number that grows within the split.
+    The order of these is the order of the lines, however files are split or packed."""
     sep = sep or sniff_separator(spark, path)
     encoding = encoding or sniff_encoding(spark, path)
     raw = spark.read.csv(path, header=True, inferSchema=False, sep=sep, encoding=encoding,
                          quote='"', escape='"', multiLine=multiline, mode="PERMISSIVE")
-    names = [c.removeprefix("﻿") for c in raw.columns]
-    raw = raw.toDF(*names)
-    return raw.select(*[F.when(~quoted(c).isin(*CSV_NA_TOKENS), quoted(c)).alias(c)
-                        for c in names])
+    cells = [F.when(~quoted(c).isin(*CSV_NA_TOKENS), quoted(c)).alias(c.removeprefix("\ufeff"))
+             for c in raw.columns]
+    if order:
+        place = F.struct(F.col("_metadata.file_path").alias("file"),
+                         F.col("_metadata.file_block_start").alias("start"),
+                         F.monotonically_increasing_id().alias("row"))
+        cells.append(place.alias(order))
+    return raw.select(*cells)
 
 
 def read_ordered(spark: SparkSession, path: str, name: str = "row_order") -> DataFrame:
-    """Parquet rows with their position as one bigint, for ``Options.order_by``:
-    the file's place among the sorted paths, then the row in the file. It is the
-    same however the scan is split. One row per file passes through the driver,
-    read from the footers."""
-    df = spark.read.parquet(path)
-    seen = df.select(F.col("_metadata.file_path").alias("f")).distinct().collect()
-    files = sorted(r["f"] for r in seen)
-    if len(files) <= 1:
-        return df.select("*", F.col("_metadata.row_index").alias(name))
-    places = spark.createDataFrame([(f, i) for i, f in enumerate(files)],
-                                   "_file string, _place bigint")
-    if len(files) <= BROADCAST_ROWS:
-        places = F.broadcast(places)
-    rows = df.select("*", F.col("_metadata.file_path").alias("_path"),
-                     F.col("_metadata.row_index").alias("_row"))
-    return (rows.join(places, F.col("_path") == F.col("_file"))
-            .withColumn(name, F.shiftleft("_place", ROW_BITS).bitwiseOR(F.col("_row")))
-            .drop("_path", "_row", "_file", "_place"))
-
-
-def stage_delimited(spark: SparkSession, path: str, out: str, **options) -> DataFrame:
-    """Parse once into Parquet and read that with row positions. The rows of a
-    split are written in order, so positions follow the file."""
-    read_delimited(spark, path, **options).write.mode("overwrite").parquet(out)
-    return read_ordered(spark, out)
+    """Parquet rows with their place, for ``Options.order_by``: a struct of the
+    file's path and the row in the file. It is the same however the scan is
+    split."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"),
+                     F.col("_metadata.row_index").alias("row"))
+    return spark.read.parquet(path).select("*", place.alias(name))
+
+
+def stage_delimited(spark: SparkSession, path: str, out: str, name: str = "row_order",
+                    **options) -> DataFrame:
+    """Parse once into Parquet, with the place of each row in its file."""
+    read_delimited(spark, path, order=name, **options).write.mode("overwrite").parquet(out)
+    return spark.read.parquet(out)
 
 
 def source_metadata(df: DataFrame, name: str) -> DataFrame:

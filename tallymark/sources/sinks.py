@@ -30,7 +30,9 @@ def report_tables(run) -> dict[str, DataFrame]:
 
 
 def export_report(run, path: str) -> dict[str, str]:
-    """Write every report table to ``<path>/<table>``; returns where."""
+    """Write every report table to ``<path>/<table>``; returns where. The rows
+    are cleaned once: the other tables read what that wrote."""
+    run = run.settled()
     places = {}
     for name, df in report_tables(run).items():
         places[name] = f"{path.rstrip('/')}/{name}"

@@ -8,32 +8,37 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..constants import Options
-from ..plans.ledger import flag_rows_locally, run_ledger
+from ..constants import FLAG_ORDER, Options
+from ..operators.staging import settle
+from ..plans.ledger import (add_marks, cross_facts, cross_groups, flag_rows_locally, judge_rows,
+                            merged_groups, published, stored_rows)
 from ..sources.sinks import history_row
 
-
 def ingest_stream(spark: SparkSession, in_path: str, schema: T.StructType, out_path: str,
                   checkpoint: str, o: Options, fmt: str = "parquet", **read_options):
     """Process what has arrived and stop; run it again for the next drop.
 
-    The duplicate and credit rules look at the rows of one batch. Copies that
-    arrive in different batches are not compared; ``dropDuplicatesWithinWatermark``
-    is the operator for that, with its weaker, time-bounded meaning. A batch
-    repeated after a failure overwrites its own folder, so nothing doubles."""
+    A batch stores its rows with the flags of the row-local rules, and its group facts
+    (equal entries as one row each) beside them. The duplicate and credit rules are judged by
+    ``ingested`` over the facts of all batches, so what they say doesn't
+    depend on how rows were split into batches. A batch repeated after a failure
+    overwrites its own folders, so nothing doubles. The date rules look at the day on which
+    a batch arrived, unless ``as_of`` is given."""
     if o.order_by is None:
         raise ValueError("ingestion needs Options.order_by")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        started = time.perf_counter()
-        run = run_ledger(batch, dataclasses.replace(o, as_of=o.as_of))
-        run.clean.write.mode("overwrite").parquet(f"{out_path}/clean/batch={batch_id}")
-        written = dataclasses.replace(run, clean=spark.read.parquet(
-            f"{out_path}/clean/batch={batch_id}"))
-        row = history_row(written, f"batch {batch_id}", time.perf_counter() - started,
-                          dt.datetime.now())
+        started, today = time.perf_counter(), o.resolved()
+        run, rows = stored_rows(batch, today)
+        rows.write.mode("overwrite").parquet(f"{out_path}/rows/batch={batch_id}")
+        rows = spark.read.parquet(f"{out_path}/rows/batch={batch_id}")
+        cross_groups(rows, today).write.mode("overwrite").parquet(
+            f"{out_path}/groups/batch={batch_id}")
+        clean = settle(_judged(rows, spark.read.parquet(f"{out_path}/groups"), today)).df
+        row = history_row(dataclasses.replace(run, clean=clean), f"batch {batch_id}",
+                          time.perf_counter() - started, dt.datetime.now())
         row.write.mode("overwrite").parquet(f"{out_path}/history/batch={batch_id}")
 
     stream = spark.readStream.schema(schema).format(fmt).options(**read_options).load(in_path)
@@ -41,9 +46,30 @@ def ingest_stream(spark: SparkSession, in_path: str, schema: T.StructType, out_p
             .trigger(availableNow=True).start())
 
 
-def ingested(spark: SparkSession, out_path: str) -> tuple[DataFrame, DataFrame]:
-    """(clean rows, history newest first) of every batch so far."""
-    clean = spark.read.parquet(f"{out_path}/clean")
+def _judged(rows: DataFrame, groups: DataFrame, o: Options) -> DataFrame:
+    """Stored rows with the labels of the cross-row rules among the local ones."""
+    merged = settle(merged_groups(groups)).df
+    wants = {"_duplicate": o.on("R12") and (o.drop_duplicates or o.flag_duplicates),
+             "_same_day": o.on("R17"), "_exposure": o.on("R15")}
+    marked = add_marks(rows, cross_facts(merged, wants, o), o)
+    if o.drop_duplicates:
+        marked = marked.filter(~F.col("_duplicate"))
+    breach = (F.col("_limit") > 0) & (F.col("_exposure") > F.col("_limit"))
+    found = {"SAME-DAY DUPLICATE": F.col("_same_day") & F.col("_rules_17"),
+             "CREDIT LIMIT BREACH": breach & F.col("_rules_15")}
+    if o.flag_duplicates and not o.drop_duplicates:
+        found["DUPLICATE ENTRY"] = F.col("_duplicate") & F.col("_rules_12")
+    slots = [F.when(F.array_contains("_local", label)
+                    | F.coalesce(found.get(label, F.lit(False)), F.lit(False)), F.lit(label))
+             for label in FLAG_ORDER]
+    return published(judge_rows(marked.withColumn("flags", F.array_compact(F.array(*slots)))), o)
+
+
+def ingested(spark: SparkSession, out_path: str, o: Options) -> tuple[DataFrame, DataFrame]:
+    """(clean rows, history newest first) of every batch so far, by the
+    options they were ingested with."""
+    clean = _judged(spark.read.parquet(f"{out_path}/rows"),
+                    spark.read.parquet(f"{out_path}/groups"), o)
     return clean, spark.read.parquet(f"{out_path}/history").orderBy(F.desc("Run"), F.desc("batch"))
 
 

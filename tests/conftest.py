@@ -18,6 +18,7 @@ def spark():
                .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")
                .config("spark.sql.session.timeZone", "UTC")
+               .config("spark.checkpoint.dir", "/tmp/checkpoints")
                .config("spark.driver.memory", "6g").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield tune(session)

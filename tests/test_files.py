@@ -36,7 +36,39 @@ def test_file_order_gives_a_repeatable_first_row(spark, tmp_path):
     df = delimited.stage_delimited(spark, str(tmp_path / "d.csv"), str(tmp_path / "staged"))
     r = run(df, Options(order_by="row_order", as_of=dt.date(2001, 8, 1)))
     flagged = r.clean.filter("array_contains(flags, 'DUPLICATE ENTRY')")
-    assert sorted(x["row_order"] for x in flagged.collect()) == [1, 2]
+    rows = sorted(x["row_order"]["row"] for x in df.collect())
+    assert sorted(x["row_order"]["row"] for x in flagged.collect()) == rows[1:]
+
+
+def test_folders_of_unequal_files_keep_their_lines_in_order(spark, tmp_path):
+    for name, n in (("a", 3), ("b", 50), ("c", 7)):
+        lines = "".join(f"{name},{i}\n" for i in range(n))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{name}.csv").write_text("file,line\n" + lines)
+    want = [(name, str(i)) for name, n in (("a", 3), ("b", 50), ("c", 7)) for i in range(n)]
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for i, width in enumerate(("128m", "64")):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", width)
+        df = delimited.stage_delimited(spark, str(tmp_path / "in"), str(tmp_path / f"out{i}"))
+        got = [(r["file"], r["line"]) for r in df.orderBy("row_order").collect()]
+        assert got == want
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_quoted_headers_and_no_separator(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('"Amount, net";Date\n1;2001-01-01\n')
+    assert delimited.read_delimited(spark, str(tmp_path / "q.csv")).columns == ["Amount, net", "Date"]
+    (tmp_path / "n.csv").write_text("a~b~c\n1~2~3\n")
+    with pytest.raises(ValueError, match="separators"):
+        delimited.read_delimited(spark, str(tmp_path / "n.csv"))
+
+
+def test_order_keys_must_order(spark):
+    rows = [(1, "2001-01-01", "c", "Paid", 5.0), (1, "2001-01-01", "c", "Paid", 5.0)]
+    schema = "i int, date string, client string, status string, amount double"
+    for broken in (rows, [(None, *rows[0][1:]), rows[1]]):
+        with pytest.raises(ValueError, match="unique and not null"):
+            run(spark.createDataFrame(broken, schema), Options(order_by="i"))
 
 
 def test_order_over_many_files(spark, tmp_path):
@@ -74,8 +106,10 @@ def test_stream_picks_up_each_drop_once(spark, sf, tmp_path):
     rest = raw.filter("row_id % 20 >= 10")
     rest.coalesce(1).write.mode("append").parquet(drop)
     ingest_stream(spark, drop, raw.schema, out, mark, O).awaitTermination()
-    clean, history = ingested(spark, out)
+    clean, history = ingested(spark, out, O)
     blank = run(half, O).metrics().first()["blank_dropped"]
     blank += run(rest, O).metrics().first()["blank_dropped"]
     assert clean.count() == raw.count() - blank
+    whole = {r["row_id"]: r["flags"] for r in run(raw, O).clean.collect()}
+    assert {r["row_id"]: r["flags"] for r in clean.collect()} == whole
     assert history.count() == 2 and clean.select("row_id").distinct().count() == clean.count()

@@ -109,7 +109,7 @@ def test_options_and_toggles(spark, sf):
                               flag_duplicates=False, bank_recon=False, high_value=0.0,
                               rules={"R13": False, "R15": False, "R17": False, "R22": False})
     assert labels(off) == {"INVALID AMOUNT", "NO CONTACT DETAILS", "INCOMPLETE ADDRESS"}
-    some = labels(dataclasses.replace(base, min_amount=1e5, blacklist="mm-jhb-3;MM-CPT-1"))
+    some = labels(dataclasses.replace(base, min_amount=1e5, blacklist="ac-north-3;AC-WEST-1"))
     assert {"BELOW THRESHOLD", "RESTRICTED ENTITY"} <= some
     applied = run_ledger(raw, off).rules_applied()
     assert not {"R04", "R06", "R08", "R10", "R13", "R14", "R20"} & set(applied)

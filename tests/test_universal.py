@@ -52,6 +52,35 @@ def test_long_texts_are_counted_whole(spark):
     assert {v for v, _ in p.top} == {base + "1", base + "2", " short "}
 
 
+def test_length_changes_nothing(spark):
+    short = ["2001-02-%02d" % (i % 6 + 1) for i in range(12)]
+    df = frame(spark, a=short, b=[x.ljust(215) for x in short],
+               t=["a" * 250, "b" * 150, "c" * 250, "d" * 10] * 3)
+    p = profile(df, O)
+    assert p.types["a"] == p.types["b"] == "Datetime"
+    assert [v[0] for v, _ in p["t"].top] == ["a", "b", "c", "d"]
+
+
+def test_infinity_and_large_numbers(spark):
+    big = 2 ** 53
+    df = spark.sql(f"SELECT CAST(id AS INT) AS id, {big} + id AS big, CAST({big} + id AS DECIMAL(30,4))"
+                   " + 0.0001 AS dec, IF(id = 3, double('Infinity'), double(id)) AS d FROM range(4)")
+    p = profile(df, O)
+    assert (p["big"].unique, p["dec"].unique, p["d"].unique) == (4, 4, 4)
+    assert p["d"].stats["median"] == 1.5 and p["d"].stats["max"] == float("inf")
+    r = run_universal(df, Options(order_by="id", as_of=O.as_of, flag_outliers=False))
+    assert [x["big"] for x in r.clean.orderBy("id").collect()] == [big + i for i in range(4)]
+    assert r.clean.filter("Flagged").isEmpty()
+
+
+def test_universal_search_and_preview(spark):
+    df = frame(spark, kind=["Click", "view", "view"], n=["1", "2", "2"])
+    r = run_universal(df, O)
+    assert [x["id"] for x in r.search("click").collect()] == [0]
+    assert [x["id"] for x in r.search("duplicate").collect()] == [2]
+    assert r.preview(2).columns == ["kind", "n", "Notes"] and r.preview(2).count() == 2
+
+
 def test_findings_and_row_issues(spark):
     n = 30
     df = frame(spark, qty=[str(5 + i % 2) for i in range(n - 2)] + ["oops", "9000"],
