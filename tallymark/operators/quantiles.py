@@ -18,7 +18,7 @@ from .staging import settle
 
 def _pick(low: float, high: float, position: float) -> float:
     part = position - math.floor(position)
-    return low if part == 0 or low == high else low + (high - low) * part
+    return low if part == 0 or low == high else (1 - part) * low + part * high
 
 
 def exact_quantiles(freq: DataFrame, counts: dict[str, int],

@@ -7,6 +7,7 @@ from decimal import Decimal
 import pytest
 
 import __spark_entry__ as entry
+from catalogue import ledger
 from catalogue.fixture import TABLES
 
 duckdb = pytest.importorskip("duckdb")
@@ -46,7 +47,7 @@ def test_matches_sql(spark, duck, sf, name):
 
 
 def test_every_query_has_a_twin():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(ledger.QUERIES) == set(ledger.SQL)
 
 
 def test_entry(spark):
