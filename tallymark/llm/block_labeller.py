@@ -22,6 +22,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -151,12 +152,16 @@ def marked(block: Block) -> bool:
     return inside
 
 
+@lru_cache(maxsize=4096)
+def _path_counts(path: tuple[str, ...]) -> np.ndarray:
+    marks = [zlib.crc32(mark.encode("utf-8", "replace")) % PATHS for element in path for mark in element.split(" ")]
+    return np.bincount(marks, minlength=PATHS)
+
+
 def features(blocks: list[Block]) -> np.ndarray:
     out = np.zeros((len(blocks), PATHS + WORDS + NUMBERS), dtype=np.float32)
     for i, block in enumerate(blocks):
-        for element in block.path:
-            for mark in element.split(" "):
-                out[i, zlib.crc32(mark.encode()) % PATHS] += 1
+        out[i, :PATHS] = _path_counts(block.path) if block.path else 0
         words = block.text.split(" ")
         hashed = np.array([zlib.crc32(w.encode("utf-8", "replace")) for w in words], dtype=np.uint32) % WORDS
         out[i, PATHS:PATHS + WORDS] = np.bincount(hashed, minlength=WORDS) / np.sqrt(len(words)) / 4
