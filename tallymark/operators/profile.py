@@ -181,6 +181,11 @@ def _folded(freq, names) -> dict[str, int]:
             folds.groupBy("column").agg(F.count(F.lit(1)).alias("folded")).collect()}
 
 
+def _cents(x: float) -> float:
+    """``numbers.cents`` of a value on the driver."""
+    return round(x * 100) / 100 if math.isfinite(x) else x
+
+
 @dataclass
 class Profile:
     """A profile and its tables. Each table is a row per column."""
@@ -213,7 +218,7 @@ class Profile:
             "`Missing %` double, `Unique` bigint, `Detail` string")
 
     def numeric(self) -> DataFrame:
-        rows = [(c.name, c.non_null, *[float(round(c.stats[k], 2)) for k in
+        rows = [(c.name, c.non_null, *[_cents(c.stats[k]) for k in
                  ("sum", "mean", "median", "min", "max", "std")], c.nulls)
                 for c in self.of(NUMERIC)]
         return self._table(rows, "`Column` string, `Count` bigint, `Sum` double, `Mean` double, "
@@ -252,7 +257,7 @@ class Profile:
 
     def key_numeric_table(self, limit: int = 3) -> DataFrame:
         names = self.key_numeric(limit)
-        rows = [(i, c, float(round(self[c].stats["sum"], 2))) for i, c in enumerate(names, 1)]
+        rows = [(i, c, _cents(self[c].stats["sum"])) for i, c in enumerate(names, 1)]
         return self._table(rows, "`Rank` int, `Column` string, `Sum` double")
 
     def type_census(self) -> DataFrame:
