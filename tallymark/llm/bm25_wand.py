@@ -2,9 +2,9 @@
 
 The index is an inverted one with block maxima, and each passage retrieves every
 item whose score reaches RATIO of the item's own score against itself. Impacts are
-stored as shares of that, so one threshold serves all items. A first bound, the
-sum of the maxima of a superblock over a passage's words, is taken for whole
-batches of texts; passages that pass go through block-max WAND. A retrieved item
+stored as shares of that, so one threshold serves all items. The bound of a block, the
+sum of its maxima over a passage's words, is taken for whole batches of texts; blocks
+below the threshold are skipped, and WAND pivots run in the others. A retrieved item
 counts when its question's and its answer's word shingles are each found in the
 passage to CONTAINED or more.
 
@@ -36,7 +36,8 @@ RATIO = 0.6
 SHINGLE, CONTAINED = 5, 0.8
 #: Bound on the postings of a shard, and so on what is broadcast at a time.
 SHARD = 2_000_000
-SUPERBLOCKS, BLOCK = 32, 8
+#: Blocks of items that have maxima of their own.
+BLOCKS = 32
 SHORTEST = 32
 
 
@@ -55,6 +56,10 @@ def _hashes(text: str) -> np.ndarray:
     return word_hashes(data, np.array([0, len(data)]), letters)[0]
 
 
+def _item(entry: list) -> int:
+    return entry[0]
+
+
 def _part(hashes: np.ndarray) -> tuple[int, np.ndarray]:
     """Shingle length and sorted shingles of a part of an item."""
     size = min(SHINGLE, len(hashes))
@@ -69,47 +74,40 @@ class Index:
     parts: list[list[tuple[int, np.ndarray]]]
     length: int
     terms: np.ndarray
-    postings: list[tuple[list[int], list[float]]]
-    tops: list[float]
-    blocks: list[dict[int, float]]
-    supers: np.ndarray
-
-    def search(self, terms: list[int]) -> list[tuple[int, float]]:
-        """Items that reach RATIO, by block-max WAND."""
-        lists = [[self.postings[t][0][0], 0, t] for t in terms]
+    postings: list[dict[int, tuple[list[int], list[float], float]]]
+    tops: np.ndarray
+
+    def search(self, terms: list[int], blocks: list[int]) -> list[tuple[int, float]]:
+        """Items of these blocks that reach RATIO, by WAND with the block's maxima; other blocks are skipped whole."""
         out = []
-        while lists:
-            lists.sort()
-            bound, pivot = 0.0, -1
-            for i, (_, _, t) in enumerate(lists):
-                bound += self.tops[t]
-                if bound >= RATIO:
-                    pivot = i
+        for block in blocks:
+            found = [own[block] for own in map(self.postings.__getitem__, terms) if block in own]
+            lists = [[items[0], 0, items, shares, top] for items, shares, top in found]
+            while lists:
+                lists.sort(key=_item)
+                bound, pivot = 0.0, -1
+                for i, entry in enumerate(lists):
+                    bound += entry[4]
+                    if bound >= RATIO:
+                        pivot = i
+                        break
+                if pivot < 0:
                     break
-            if pivot < 0:
-                break
-            item = lists[pivot][0]
-            while pivot + 1 < len(lists) and lists[pivot + 1][0] == item:
-                pivot += 1
-            block = item // BLOCK
-            if sum(self.blocks[t].get(block, 0.0) for _, _, t in lists[: pivot + 1]) < RATIO:
-                goal = (block + 1) * BLOCK
-                if pivot + 1 < len(lists):
-                    goal = min(goal, lists[pivot + 1][0])
-                moving = lists[: pivot + 1]
-            elif lists[0][0] == item:
-                score = sum(self.postings[t][1][at] for _, at, t in lists[: pivot + 1])
-                if score >= RATIO:
-                    out.append((item, score))
-                goal, moving = item + 1, lists[: pivot + 1]
-            else:
-                goal, moving = item, [x for x in lists[:pivot] if x[0] < item]
-            for entry in moving:
-                own = self.postings[entry[2]][0]
-                while entry[1] < len(own) and own[entry[1]] < goal:
-                    entry[1] += 1
-                entry[0] = own[entry[1]] if entry[1] < len(own) else -1
-            lists = [x for x in lists if x[0] >= 0]
+                item = lists[pivot][0]
+                if lists[0][0] == item:
+                    moving = [x for x in lists if x[0] == item]
+                    score = sum(x[3][x[1]] for x in moving)
+                    if score >= RATIO:
+                        out.append((item, score))
+                    goal = item + 1
+                else:
+                    goal, moving = item, [x for x in lists[:pivot] if x[0] < item]
+                for entry in moving:
+                    at, items = entry[1], entry[2]
+                    while at < len(items) and items[at] < goal:
+                        at += 1
+                    entry[1], entry[0] = at, items[at] if at < len(items) else -1
+                lists = [x for x in lists if x[0] >= 0]
         return out
 
     def verified(self, item: int, hashes: np.ndarray) -> bool:
@@ -135,10 +133,10 @@ class Index:
             known = np.flatnonzero(self.terms[at] == hashes)
             at, text = at[known], owner[known]
             chunk = base[text] + (known - begin[text]) // self.length
-            sums = np.zeros((base[-1] + 1, self.supers.shape[1]), dtype=np.float32)
+            sums = np.zeros((base[-1] + 1, self.tops.shape[1]), dtype=np.float32)
             if len(at):
                 edge = np.flatnonzero(np.concatenate(([True], chunk[1:] != chunk[:-1])))
-                sums[chunk[edge]] = np.add.reduceat(self.supers[at], edge, axis=0)
+                sums[chunk[edge]] = np.add.reduceat(self.tops[at], edge, axis=0)
             bound = (sums[:-1] + sums[1:]).max(axis=1) if base[-1] else np.zeros(0)
             hot = np.flatnonzero(bound >= RATIO - 1e-4)
             found: dict[int, tuple[set, set, float]] = {}
@@ -150,9 +148,8 @@ class Index:
                 end = min(start + 2 * self.length, begin[row + 1])
                 lo, hi = np.searchsorted(known, (start, end))
                 own = np.unique(at[lo:hi])
-                if self.supers[own].sum(axis=0).max() < RATIO - 1e-4:
-                    continue
-                hits = self.search(own.tolist())
+                blocks = np.flatnonzero(self.tops[own].sum(axis=0) >= RATIO - 1e-4)
+                hits = self.search(own.tolist(), blocks.tolist()) if len(blocks) else []
                 if hits:
                     seen, sure, best = found.get(row, (set(), set(), 0.0))
                     for item, score in hits:
@@ -214,19 +211,15 @@ def _shard(rows, texts, schema: T.StructType) -> Index:
     rows = rows.assign(number=rows["item"].map(number), key=rows["term"].to_numpy().view(np.uint64)).sort_values(["key", "number"])
     terms, starts = np.unique(rows["key"].to_numpy(), return_index=True)
     numbers, shares = rows["number"].to_numpy(), rows["share"].to_numpy()
-    width = -(-len(texts) // SUPERBLOCKS)
-    supers = np.zeros((len(terms), -(-len(texts) // width)), dtype=np.float32)
+    width = -(-len(texts) // BLOCKS)
+    tops = np.zeros((len(terms), -(-len(texts) // width)), dtype=np.float32)
     which = np.repeat(np.arange(len(terms)), np.diff(np.append(starts, len(rows))))
-    np.maximum.at(supers, (which, numbers // width), shares)
-    postings, blocks = [], []
-    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True):
-        postings.append((numbers[s:e].tolist(), shares[s:e].tolist()))
-        most: dict[int, float] = {}
-        for n, x in zip(*postings[-1], strict=True):
-            most[n // BLOCK] = max(most.get(n // BLOCK, 0.0), x)
-        blocks.append(most)
-    ids = pa.array(texts["id"].tolist())
-    return Index(ids, parts, length, terms, postings, [max(x) for _, x in postings], blocks, supers)
+    np.maximum.at(tops, (which, numbers // width), shares)
+    postings: list[dict] = [{} for _ in terms]
+    for term, number, share in zip(which.tolist(), numbers.tolist(), shares.tolist(), strict=True):
+        items, own, top = postings[term].get(number // width, ([], [], 0.0))
+        postings[term][number // width] = ([*items, number], [*own, share], max(top, share))
+    return Index(pa.array(texts["id"].tolist()), parts, length, terms, postings, tops)
 
 
 def search(docs: DataFrame, items: DataFrame, text_col: str = "text", into: str = "leaks") -> DataFrame:

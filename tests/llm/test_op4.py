@@ -43,15 +43,17 @@ def test_wand_equals_full_scores(spark):
     items = split_text(spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet"))
     (index,) = build(items)
     by_item = {}
-    for t, (own, shares) in enumerate(index.postings):
-        for i, s in zip(own, shares):
-            by_item.setdefault(i, {})[t] = s
+    for t, blocks in enumerate(index.postings):
+        for own, shares, top in blocks.values():
+            assert top == max(shares)
+            for i, s in zip(own, shares):
+                by_item.setdefault(i, {})[t] = s
     for i in by_item:
         assert abs(sum(by_item[i].values()) - 1) < 1e-9
     for i in range(len(by_item)):
         query = sorted(set(by_item[i]) | set(list(by_item[(i + 7) % len(by_item)])[::2]))
         want = {j for j, own in by_item.items() if sum(own.get(t, 0) for t in query) >= RATIO}
-        assert {j for j, _ in index.search(query)} == want
+        assert {j for j, _ in index.search(query, list(range(index.tops.shape[1])))} == want
 
 
 def test_odd_rows(spark):
