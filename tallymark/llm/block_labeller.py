@@ -324,8 +324,10 @@ def _variant(blocks: list[Block], pool: list[str], rng: random.Random) -> list[t
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> Labeller | None:
     """A model from the SAMPLE pages with the least hashes of their id and html (of up to SAMPLE_CHARS, with an article)."""
     html = F.col(html_col)
-    chosen = (pages.select(F.xxhash64(F.col(id_col), html).alias("h"), html.alias("html"))
-              .where(F.length("html").between(1, SAMPLE_CHARS)).orderBy("h", "html").limit(SAMPLE).collect())
+    hashed = pages.select(F.xxhash64(F.col(id_col), html).alias("h"), html.alias("html")).where(F.length("html").between(1, SAMPLE_CHARS))
+    # Only hashes meet first: a task sends SAMPLE numbers to the driver, not SAMPLE pages.
+    least = [r["h"] for r in hashed.select("h").orderBy("h").limit(SAMPLE).collect()]
+    chosen = hashed.where(F.col("h") <= least[-1]).groupBy("h").agg(F.min("html").alias("html")).orderBy("h").collect() if least else []
     parsed = [b for b in (blocks_of(r["html"]) for r in chosen) if any(map(marked, b))]
     if not parsed:
         return None
