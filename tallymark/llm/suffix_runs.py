@@ -337,9 +337,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = settle(runs.where("not hot").groupBy("target").applyInPandas(_merge(length, gram), _SPAN), "spans")
     hot = runs.where("hot")
     windows = hot.groupBy("target").applyInPandas(_count(length, gram), "target bigint, windows array<bigint>, counts array<bigint>")
-    windows = settle(windows, "windows").select("target", F.explode(F.arrays_zip("windows", "counts")).alias("w"))
-    twice = settle(windows.groupBy(F.col("w.windows").alias("w2")).agg(F.sum("w.counts").alias("n")).where("n > 1").select("w2"), "twice")
-    known = windows.select("target", F.col("w.windows").alias("w")).join(small(twice), F.col("w") == F.col("w2")).select("target", "w")
+    windows = windows.select("target", F.explode(F.arrays_zip("windows", "counts")).alias("w"))
+    windows = settle(windows.select("target", F.col("w.windows").alias("w"), F.col("w.counts").alias("n")), "windows")
+    twice = settle(windows.groupBy(F.col("w").alias("w2")).agg(F.sum("n").alias("n")).where("n > 1").select("w2"), "twice")
+    known = windows.join(small(twice), F.col("w") == F.col("w2")).select("target", "w")
     more = hot.groupBy("target").cogroup(known.groupBy("target")).applyInPandas(_settle_hot(length, gram), _SPAN)
     spans = spans.union(settle(more, "hot-spans")).groupBy("digest").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
 
