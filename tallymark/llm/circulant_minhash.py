@@ -6,8 +6,8 @@ shifted by k positions around the circle. Bands of coordinates name candidates;
 every link is confirmed on the full shingle sets.
 
 Equal sets are one node, so copies cost one comparison at most. A bucket's nodes
-are compared with a centre (first the one that meets most others, then one chosen
-by a hash) instead of with each other. What is still apart after ROUNDS of these is compared pair by pair, but
+are compared with a centre, the one that meets most others, instead of with each
+other. What is then still apart is compared pair by pair, but
 only where the pair can reach the threshold (see _rest): what both lack of a
 common centre, and the shingles that no other candidate has, bound what they
 share. Nothing is capped; the pairs left out cannot link.
@@ -30,8 +30,6 @@ from .common import lower_ascii, mix64, settle, shingle_sets, small, steps, word
 from .components import components
 
 BANDS, WIDTH = 30, 5
-#: Rounds of comparisons with centres before the rest is compared pair by pair.
-ROUNDS = 2
 
 
 def _permute32(x: np.ndarray) -> np.ndarray:
@@ -121,10 +119,9 @@ def _labelled(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
     return entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def _apart(entries: DataFrame, turn: int) -> DataFrame:
-    """The centre of each bucket whose nodes have several labels: first the one that meets most others, then any."""
-    rank = -F.col("met") if turn == 0 else F.xxhash64("node", F.lit(turn))
-    pick = F.min(F.struct(rank.alias("h"), "node", "label", "n"))
+def _apart(entries: DataFrame) -> DataFrame:
+    """The centre, the node that meets most others, of each bucket whose nodes have several labels."""
+    pick = F.min(F.struct((-F.col("met")).alias("h"), "node", "label", "n"))
     found = entries.groupBy("key").agg(pick.alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     return found.where("lo != hi").select("key", F.col("c.node").alias("b"), F.col("c.label").alias("c_label"),
                                           F.col("c.n").alias("c_n"))
@@ -137,7 +134,7 @@ def _rest(entries: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     of c are not in it, p of its own are not in c, and u of these in no other node. Two nodes share at most
     |c| - max(r) of c's shingles and min(p - u) of others.
     """
-    centres = _apart(entries, 0).select("key", "b")
+    centres = _apart(entries).select("key", "b")
     entries = settle(entries.join(centres, "key"), "rest")
     family = components(entries.select(F.col("node").alias("a"), "b")).withColumnRenamed("label", "family")
     nodes = settle(entries.select("node", "label", "n", "met").distinct().join(family, "node"), "families")
@@ -186,18 +183,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     grams = texts.mapInArrow(_grams(words), "node binary, found binary, grams array<bigint>")
     sets = settle(grams.where("node = found").dropDuplicates(["node"]).select("node", "grams"), "sets")
 
-    links, labels = None, None
-    for turn in range(ROUNDS + 1):
-        now = _labelled(entries, labels)
-        if turn < ROUNDS:
-            near = (F.col("n") >= F.col("c_n") * threshold - 1e-6) & (F.col("c_n") >= F.col("n") * threshold - 1e-6)
-            pairs = (now.join(_apart(now, turn), "key").where((F.col("label") != F.col("c_label")) & near)
-                     .select(F.col("node").alias("a"), "b").distinct())
-        else:
-            pairs = _rest(now, sets, threshold)
-        fresh = settle(_linked(pairs, sets, threshold), "links")
-        links = fresh if links is None else links.union(fresh)
-        labels = settle(components(links), "labels")
+    now = _labelled(entries, None)
+    near = (F.col("n") >= F.col("c_n") * threshold - 1e-6) & (F.col("c_n") >= F.col("n") * threshold - 1e-6)
+    pairs = now.join(_apart(now), "key").where((F.col("label") != F.col("c_label")) & near)
+    pairs = pairs.select(F.col("node").alias("a"), "b").distinct()
+    labels = settle(components(settle(_linked(pairs, sets, threshold), "links")), "labels")
+    more = settle(_linked(_rest(_labelled(entries, labels), sets, threshold), sets, threshold), "links")
+    if not more.isEmpty():
+        stars = labels.where("node != label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+        labels = settle(components(stars.union(more)), "labels")
 
     member = _labelled(nodes.select("node", "id"), labels)
     least = member.groupBy("label").agg(F.min("id").alias("component"))
