@@ -22,10 +22,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import words
 
 #: Bound on the labelled rows that a model is fitted on.
-SAMPLE = 20_000
+SAMPLE = 10_000
 FOLDS = 5
 CUTOFF = 0.3
-TREES, DEPTH, BINS, LEAF = 40, 3, 32, 20
+TREES, DEPTH, BINS, LEAF = 25, 3, 32, 20
 LASSO = 5e-4
 ROUNDS = 600
 
@@ -37,31 +37,31 @@ def _share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
-def statistics(text: Column) -> Column:
-    """The statistics of a text as one struct of doubles; no label, language or source is among them."""
-    t = F.coalesce(text, F.lit(""))
-    w = words(t)
-    n, chars = F.size(w), F.length(t)
-    lines = F.array_remove(F.split(t, "\n"), "")
+STATISTICS = ("words", "word_length", "distinct_words", "distinct_root", "symbols", "pipes", "shouts", "stops", "digits",
+              "capitals", "distinct_lines", "words_per_line")
+
+
+def with_statistics(docs: DataFrame, text_col: str) -> DataFrame:
+    """docs with the statistics of its texts as columns `__stat_*`; no label, language or source is among them.
+
+    What several statistics share is a column of its own, so it is computed once.
+    """
+    t, w, n, chars, n_lines = (F.col(f"__stat_{c}") for c in ("t", "w", "n", "chars", "n_lines"))
+    rows = docs.withColumn("__stat_t", F.coalesce(F.col(text_col), F.lit("")))
+    rows = rows.withColumns({"__stat_w": words(t), "__stat_l": F.array_remove(F.split(t, "\n"), ""), "__stat_chars": F.length(t)})
+    rows = rows.withColumns({"__stat_n": F.size(w), "__stat_different": F.size(F.array_distinct(w)), "__stat_n_lines": F.size("__stat_l"),
+                             "__stat_inside": F.length(F.array_join(w, "")), "__stat_own_lines": F.size(F.array_distinct("__stat_l"))})
+    different = F.col("__stat_different")
 
     def count(signs: str) -> Column:
         return chars - F.length(F.translate(t, signs, ""))
 
-    upper = chars - F.length(F.regexp_replace(t, r"\p{Lu}+", ""))
-    return F.struct(
-        n.cast("double").alias("words"),
-        _share(F.length(F.array_join(w, "")), n).alias("word_length"),
-        _share(F.size(F.array_distinct(w)), n).alias("distinct_words"),
-        _share(F.size(F.array_distinct(w)), F.sqrt(n.cast("double"))).alias("distinct_root"),
-        _share(count("#*$%&<>"), chars).alias("symbols"),
-        _share(count("|"), chars).alias("pipes"),
-        _share(count("!?"), chars).alias("shouts"),
-        _share(count(".,;:"), n).alias("stops"),
-        _share(count("0123456789"), chars).alias("digits"),
-        _share(upper, chars).alias("capitals"),
-        _share(F.size(F.array_distinct(lines)), F.size(lines)).alias("distinct_lines"),
-        _share(n, F.size(lines)).alias("words_per_line"),
-    )
+    rows = rows.withColumns({f"__stat_{name}": value for name, value in zip(STATISTICS, (
+        n.cast("double"), _share(F.col("__stat_inside"), n), _share(different, n), _share(different, F.sqrt(n.cast("double"))),
+        _share(count("#*$%&<>"), chars), _share(count("|"), chars), _share(count("!?"), chars), _share(count(".,;:"), n),
+        _share(count("0123456789"), chars), _share(chars - F.length(F.regexp_replace(t, r"\p{Lu}+", "")), chars),
+        _share(F.col("__stat_own_lines"), n_lines), _share(n, n_lines)), strict=True)})
+    return rows.select(*docs.columns, *[f"__stat_{c}" for c in STATISTICS])
 
 
 def held_out(id_col: Column) -> Column:
@@ -73,13 +73,13 @@ class Model:
     bias: float
     rules: tuple[tuple[float, Rule], ...]
 
-    def score(self, stats: str) -> Column:
-        """The compiled ensemble over the struct column of this name."""
+    def score(self) -> Column:
+        """The compiled ensemble, over the columns of with_statistics."""
         total = F.lit(self.bias)
         for weight, rule in self.rules:
             holds = F.lit(True)
             for name, bound, below in rule:
-                value = F.col(f"{stats}.{name}")
+                value = F.col(f"__stat_{name}")
                 holds = holds & ((value <= bound) if below else (value > bound))
             total = total + F.when(holds, weight).otherwise(0.0)
         return 1 / (1 + F.exp(-total))
@@ -125,21 +125,26 @@ def _paths(binned: np.ndarray, y: np.ndarray) -> list[tuple]:
 
 
 def _lasso(x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
-    """Logistic loss with an L1 penalty on scaled rules, by accelerated proximal steps."""
-    scale = np.maximum(x.std(axis=0), 1e-3)
-    z = (x - x.mean(axis=0)) / scale
-    n, k = z.shape
-    step = 4 * n / (np.linalg.norm(z.T @ z, 2) + n)
+    """Logistic loss with an L1 penalty on scaled rules, by accelerated proximal steps.
+
+    x is 0 or 1; what the rules share of the rows and their scale stay factors, so x is not copied.
+    """
+    n, k = x.shape
+    mean = x.mean(axis=0, dtype=np.float64)
+    scale = np.maximum(np.sqrt(mean * (1 - mean)), 1e-3)
+    gram = ((x.T @ x).astype(np.float64) - n * np.outer(mean, mean)) / np.outer(scale, scale)
+    step = 4 * n / (np.linalg.norm(gram, 2) + n)
     w, v, b, c, t = np.zeros(k), np.zeros(k), 0.0, 0.0, 1.0
     for _ in range(ROUNDS):
-        gap = 1 / (1 + np.exp(-(z @ v + c))) - y
-        w_new = v - step * (z.T @ gap) / n
+        margin = (x @ (v / scale).astype(np.float32)).astype(np.float64) + c - mean @ (v / scale)
+        gap = 1 / (1 + np.exp(-margin)) - y
+        w_new = v - step * (gap.astype(np.float32) @ x - mean * gap.sum()) / scale / n
         w_new = np.sign(w_new) * np.maximum(np.abs(w_new) - step * LASSO, 0)
         b_new = c - step * gap.mean()
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, c = w_new + (t - 1) / t_new * (w_new - w), b_new + (t - 1) / t_new * (b_new - b)
         w, b, t = w_new, b_new, t_new
-    return float(b - (w / scale * x.mean(axis=0)).sum()), w / scale
+    return float(b - mean @ (w / scale)), w / scale
 
 
 def train(x: np.ndarray, y: np.ndarray, names: list[str]) -> Model:
@@ -149,7 +154,7 @@ def train(x: np.ndarray, y: np.ndarray, names: list[str]) -> Model:
     edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(x.shape[1])]
     binned = np.stack([np.searchsorted(e, x[:, f], "left") for f, e in enumerate(edges)], axis=1)
     paths = _paths(binned, y)
-    holds = np.ones((len(y), len(paths)))
+    holds = np.ones((len(y), len(paths)), dtype=np.float32)
     for k, path in enumerate(paths):
         for f, b, below in path:
             holds[:, k] *= (binned[:, f] <= b) == below
@@ -167,14 +172,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
               .orderBy(F.xxhash64("label_id"), "label_id").limit(sample))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # No more than `sample` narrow rows: small enough to broadcast at any input size.
-    rows = (texts.join(F.broadcast(marked), F.col("id") == F.col("label_id"))
-            .select("id", "label", statistics(F.col("text")).alias("s")).select("id", "label", "s.*").toPandas())
-    names = [c for c in rows.columns if c not in ("id", "label")]
+    rows = with_statistics(texts.join(F.broadcast(marked), F.col("id") == F.col("label_id")), "text")
+    rows = rows.select("id", "label", *[F.col(f"__stat_{c}").alias(c) for c in STATISTICS]).toPandas()
+    names = list(STATISTICS)
     rows = rows.sort_values(["id", *names]).reset_index(drop=True)
     return train(rows[names].to_numpy(dtype=float), rows["label"].to_numpy(dtype=float), names)
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", into: str = "score") -> DataFrame:
     """docs with a column more: the score between 0 and 1."""
-    with_stats = docs.withColumn("__stats", statistics(F.col(text_col)))
-    return with_stats.withColumn(into, model.score("__stats")).drop("__stats")
+    return with_statistics(docs, text_col).select(*docs.columns, model.score().alias(into))
