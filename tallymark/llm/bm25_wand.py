@@ -4,9 +4,11 @@ The index is an inverted one with block maxima, and each passage retrieves every
 item whose score reaches RATIO of the item's own score against itself. Impacts are
 stored as shares of that, so one threshold serves all items. The bound of a block, the
 sum of its maxima over a passage's words, is taken for whole batches of texts; blocks
-below the threshold are skipped, and WAND pivots run in the others. A retrieved item
-counts when its question's and its answer's word shingles are each found in the
-passage to CONTAINED or more.
+below the threshold are skipped, and WAND pivots run in the others. A retrieved item of
+one text counts when CONTAINED of its word shingles or more are found in the
+passage; one of two texts when each of them is. A text of two that is so short that one edit could take
+more than the rest of its shingles also counts when CONTAINED of its words stand
+in order in a stretch of the passage as long as it, and as many words more as may differ.
 
 Passages are twice as long as the longest item and start at every such length, so an
 item lies whole in one. Statistics of terms cover all items. The index is split
@@ -42,13 +44,9 @@ SHORTEST = 32
 
 
 def split_text(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Items of one text as (item_id, question, answer): the last quarter, five words at least, is the answer."""
-    w = words(F.col(text_col))
-    tail = F.greatest(F.lit(SHINGLE), F.ceil(F.size("w") / 4)).cast("int")
-    head = F.greatest(F.size("w") - tail, F.lit(0))
-    cut = items.select(F.col(id_col).alias("item_id"), w.alias("w"))
-    return cut.select("item_id", F.array_join(F.slice("w", F.lit(1), head), " ").alias("question"),
-                      F.array_join(F.slice("w", head + 1, tail), " ").alias("answer"))
+    """Items of one text as (item_id, question, answer): it is verified whole, as the question; the answer is empty."""
+    return items.select(F.col(id_col).alias("item_id"), F.array_join(words(F.col(text_col)), " ").alias("question"),
+                        F.lit("").alias("answer"))
 
 
 def _hashes(text: str) -> np.ndarray:
@@ -60,10 +58,29 @@ def _item(entry: list) -> int:
     return entry[0]
 
 
-def _part(hashes: np.ndarray) -> tuple[int, np.ndarray]:
-    """Shingle length and sorted shingles of a part of an item."""
+def _part(hashes: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Shingle length, sorted shingles and words of a part of an item."""
     size = min(SHINGLE, len(hashes))
-    return size, shingle_sets(hashes, np.zeros(len(hashes), dtype=np.int64), size)[0] if size else hashes
+    return size, shingle_sets(hashes, np.zeros(len(hashes), dtype=np.int64), size)[0] if size else hashes, hashes
+
+
+def _in_order(part: np.ndarray, hashes: np.ndarray) -> bool:
+    """Whether CONTAINED of the words stand in order in a stretch as long as the part and what may differ."""
+    need = math.ceil(CONTAINED * len(part) - 1e-9)
+    stretch = 2 * len(part) - need
+    same = part[:, None] == hashes[None, :]
+    known = np.flatnonzero(same.any(axis=0))
+    for at in known.tolist():
+        cut = known[(known >= at) & (known < at + stretch)]
+        if len(cut) < need:
+            continue
+        best = np.zeros(len(part) + 1, dtype=np.int64)
+        for k in cut.tolist():
+            best[1:] = np.maximum(best[1:], best[:-1] + same[:, k])
+            best = np.maximum.accumulate(best)
+        if best[-1] >= need:
+            return True
+    return False
 
 
 @dataclass
@@ -71,7 +88,7 @@ class Index:
     """One shard: items by number, with postings of impacts by term."""
 
     ids: pa.Array
-    parts: list[list[tuple[int, np.ndarray]]]
+    parts: list[list[tuple[int, np.ndarray, np.ndarray]]]
     length: int
     terms: np.ndarray
     postings: list[dict[int, tuple[list[int], list[float], float]]]
@@ -112,12 +129,16 @@ class Index:
 
     def verified(self, item: int, hashes: np.ndarray) -> bool:
         grams: dict[int, np.ndarray] = {}
-        for size, part in self.parts[item]:
+        several = sum(size > 0 for size, _, _ in self.parts[item]) > 1
+        for size, part, own in self.parts[item]:
             if not size:
                 continue
             if size not in grams:
                 grams[size] = shingle_sets(hashes, np.zeros(len(hashes), dtype=np.int64), size)[0]
-            if np.isin(part, grams[size], assume_unique=True).sum() < CONTAINED * len(part):
+            if np.isin(part, grams[size], assume_unique=True).sum() >= CONTAINED * len(part):
+                continue
+            short = SHINGLE > (1 - CONTAINED) * len(part)
+            if not (several and short and _in_order(own, hashes)):
                 return False
         return True
 

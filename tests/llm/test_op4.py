@@ -66,3 +66,34 @@ def test_odd_rows(spark):
     assert got == [(1, []), (2, []), (3, [1]), (4, [3]), (5, [3])]
     assert search(docs.limit(0), items).collect() == []
     assert {tuple(r.leaks["items"]) for r in search(docs, items.limit(0)).collect()} == {()}
+
+
+def test_one_edit_at_every_place(spark):
+    items = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    rows, want = [], {}
+    for r in items.collect():
+        own = terms(r.text)
+        whole = grams(own, 5)
+        for i in range(len(own)):
+            edited = [*own[:i], "zzedit", *own[i + 1:]]
+            key = f"{r.item_id}/{i}"
+            rows.append((key, " ".join(["pre", *edited, "post"])))
+            want[key] = len(whole & grams(edited, 5)) >= 0.8 * len(whole)
+        rows.append((f"{r.item_id}/-", r.text))
+        want[f"{r.item_id}/-"] = True
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    parts = split_text(items)
+    got = {r.doc_id: {str(x) for x in r.leaks["items"]} for r in search(docs, parts).collect()}
+    assert {k: k.rsplit("/", 1)[0] in v for k, v in got.items()} == want
+    assert sum(want.values()) > len(rows) / 2
+
+
+def test_one_edit_in_a_short_answer(spark):
+    question = [f"q{i}" for i in range(40)]
+    answer = "seven red foxes ran home".split()
+    items = spark.createDataFrame([(1, " ".join(question), " ".join(answer))], "item_id int, question string, answer string")
+    rows = [(i, " ".join([*question, *answer[:i], "other", *answer[i + 1:]])) for i in range(5)]
+    rows += [(5, " ".join([*question, *answer[:2], "so", *answer[2:]])), (6, " ".join([*question, *reversed(answer)])),
+             (7, " ".join([*question, *answer[:2], *["far"] * 9, *answer[2:]])), (8, " ".join([*question, *answer[:3]]))]
+    got = {r.doc_id: r.leaks["items"] for r in search(spark.createDataFrame(rows, "doc_id int, text string"), items).collect()}
+    assert got == {i: [1] if i < 6 else [] for i in range(9)}
