@@ -9,7 +9,7 @@ and the like), and on variants of them whose containers are renamed and which
 have more blocks of the latter kinds.
 
 Script, style, template and head are never blocks, and comments of the markup are
-none. White space in a block becomes one space; blocks of the article are joined
+none. A head without an end tag ends at the first thing it cannot hold; a self-closed element is empty. White space in a block becomes one space; blocks of the article are joined
 by two line feeds. Null or empty html gives an empty text. Every row gives one
 row, repeated ones too; nothing is cut off; other columns are not read; without pages to train on
 the markup's own labels are used. Equal tables give equal models.
@@ -39,6 +39,10 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em f
                     "s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _UNSEEN = frozenset("head iframe noscript script style svg template title".split())
+#: What an open head can hold; anything else ends it.
+_HEADED = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+#: A start tag whose last slash is no part of an attribute's value.
+_CLOSED = re.compile(r"""(?:^<[^\s/>]+|[\s"'/])/>\Z""")
 #: What closes an open element of the same list when it starts.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
            "option": ("option",)}
@@ -78,6 +82,8 @@ class _Blocks(HTMLParser):
             self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.unseen:
+            self._leave_head(tag)
         if tag not in _INLINE:
             self.flush()
             if tag not in _VOID:
@@ -91,6 +97,12 @@ class _Blocks(HTMLParser):
         self.links += tag == "a"
         self.unseen += tag in _UNSEEN
 
+    def _leave_head(self, tag: str = "") -> None:
+        """The end of an open head, which need not be written: body, or whatever else it cannot hold, ends it."""
+        names = [name for name, _ in self.stack]
+        if "head" in names and (names[-1] == "head" and tag not in _HEADED or tag == "body" and "template" not in names):
+            self._cut(names.index("head"))
+
     def _imply(self, tag: str) -> None:
         """Elements that the start of this block ends: an open p, or the list item before."""
         closing = _CLOSES.get(tag, ())
@@ -119,8 +131,12 @@ class _Blocks(HTMLParser):
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
+        if tag not in _VOID and _CLOSED.search(self.get_starttag_text() or ""):
+            self._cut(len(self.stack) - 1)
 
     def handle_data(self, data: str) -> None:
+        if self.unseen and not data.isspace():
+            self._leave_head()
         if self.unseen:
             return
         if not self.parts:

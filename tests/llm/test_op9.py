@@ -56,3 +56,30 @@ def test_odd_rows(spark, model):
 def test_blocks():
     texts = [b.text for b in blocks_of("<p><b>a<br>b <p>c&eacute;&#33;</p><!-- no --><ul><li>x<li>y z</ul>tail<style>p{}</style>")]
     assert texts == ["a b", "cé!", "x", "y z", "tail"]
+
+
+def test_head_without_end_tag(spark, model):
+    say = "The river ran high that spring, and the people of the valley moved their cattle up the hill."
+    head = "<html><head><meta charset=utf-8><title>T</title><script>x<y</script><noscript><img src=p></noscript>"
+
+    def texts(page):
+        return [b.text for b in blocks_of(page)]
+
+    for start in ("<body>", "<body class=a><div>", "<p>", "<article>", "<!-- c --><span>", "</head><body>", "<noscript><img src=q><body>"):
+        assert texts(f"{head}{start}{say}") == [say], start
+    assert texts(f"{head}\n{say}<p>more") == [say, "more"]
+    assert texts("<head><title>T</title><head><link href=x></head><body><p>a") == ["a"]
+    assert texts("<head><style>p{}</style><template><body><p>t</p></template><meta name=x></head>") == []
+    page = f"{head}<body><nav><ul><li><a href=/a>Home</a></ul></nav><article><h1>High</h1><p>{say}</p><p>{say} {say}</p></article></body></html>"
+    closed = page.replace("<body>", "</head><body>")
+    rows = extract(spark.createDataFrame([(1, "u", page), (2, "u", closed)], "page_id int, url string, html string"), model).collect()
+    assert rows[0].text == rows[1].text == "\n\n".join(["High", say, f"{say} {say}"])
+
+
+def test_self_closed_elements():
+    for tag in ("svg", "iframe", "template", "script", "style", "noscript", "title", "head"):
+        for form in (f"<{tag}/>", f"<{tag} />", f'<{tag} class="a"/>', f"<{tag} class='a' />"):
+            assert [b.text for b in blocks_of(f"<div><p>a</p>{form}<p>b</p></div><p>c</p>")] == ["a", "b", "c"], form
+    (block,) = blocks_of("<p><a href=/x/>one</a> <a name='y'/>two</p>")
+    assert block.text == "one two" and block.linked == 3
+    assert [b.text for b in blocks_of("<p>a</p><svg><path d='x'/><text>no</text></svg><p>b</p>")] == ["a", "b"]
