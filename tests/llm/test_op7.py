@@ -1,7 +1,9 @@
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from tallymark.llm import rule_ensemble
 from tallymark.llm.queries import QUERIES
 from tallymark.llm.rule_ensemble import fit, scored
 
@@ -29,3 +31,18 @@ def test_odd_rows(spark):
     nothing = fit(docs, labels.where(F.lit(False)))
     assert {r.score for r in scored(docs, nothing).collect()} == {0.5}
     assert scored(docs.limit(0), model).collect() == []
+
+
+def test_number_of_trees(monkeypatch):
+    roots, grow = [], rule_ensemble._grow
+
+    def counted(binned, rows, grad, hess, path, depth, out):
+        if not path:
+            roots.append(len(rows))
+        grow(binned, rows, grad, hess, path, depth, out)
+
+    monkeypatch.setattr(rule_ensemble, "_grow", counted)
+    rng = np.random.default_rng(1)
+    binned = rng.integers(0, rule_ensemble.BINS, (400, 4)).astype(np.uint8)
+    assert rule_ensemble._paths(binned, (binned[:, 0] > 9).astype(float))
+    assert roots == [400] * 40
