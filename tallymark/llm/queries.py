@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import block_labeller, bm25_wand, circulant_minhash, decode_scan, entropy_mix, link_trust, robust_outliers, rule_ensemble, suffix_runs, tool_links
+from . import block_labeller, bm25_wand, circulant_minhash, decode_scan, entropy_mix, link_trust, period_runs, robust_outliers, rule_ensemble, suffix_runs, tool_links
 from .common import table
 
 QUERIES: dict = {}
@@ -119,3 +119,16 @@ FROM e
 @query
 def op5_suffix_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_runs.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = period_runs.repeat_tails(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = period_runs.find_runs(docs).select("doc_id", "runs.*")
+    best = F.array_min(F.transform("found", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    listed = F.array_join(F.transform("found", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    rows = found.withColumns({"best": best, "listed": listed})
+    return rows.select("doc_id", F.size("found").cast("bigint").alias("n_runs"), F.col("best.start").alias("start"), (-F.col("best.less")).alias("length"),
+                       F.col("best.period").alias("period"), F.expr("(-1000 * best.less) div best.period").alias("exponent_milli"),
+                       F.sha2(F.col("listed").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+                       "n_words")
