@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import block_labeller, bm25_wand, circulant_minhash, decode_scan, entropy_mix, link_trust, negative_mining, period_runs, robust_outliers, rule_ensemble, suffix_runs, tool_links
+from . import block_labeller, bm25_wand, circulant_minhash, decode_scan, entropy_mix, kd_shards, link_trust, negative_mining, period_runs, robust_outliers, rule_ensemble, suffix_runs, tool_links
 from .common import table
 
 QUERIES: dict = {}
@@ -158,3 +158,8 @@ WHERE NOT s.same AND 80 * positive_score <= 100 * s.score AND s.score <= positiv
 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id)
 QUALIFY row_number() OVER w <= 5
 """
+
+
+@query
+def op13_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards.shard(table(spark, sf_dir, "documents"), shards=40)
