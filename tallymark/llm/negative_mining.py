@@ -33,9 +33,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import settle, small
 
 #: Anchors of a block, rows of a step, and the bits of a rounded query component.
-ANCHORS, STEP, PLANES = 8192, 4096, 6
-#: Queries whose intervals with one step of rows are held at a time.
-QUERIES_AT_ONCE = 256
+ANCHORS, STEP, PLANES = 8192, 2048, 6
+#: Queries whose intervals with one step of rows are held at a time, and pairs that are scored at a time.
+QUERIES_AT_ONCE, PAIRS = 128, 16_384
 #: Rounding of doubles in the bounds, relative to the product of the norms.
 SLACK = 1e-9
 #: The score of a place that no row has taken.
@@ -164,7 +164,9 @@ class Search:
                     sure = np.where(fits & (high <= ceiling) & (low >= ceiling * self.percent / 100), low, -np.inf)
                 mark = np.maximum(floor, _nth_largest(sure, self.n))
                 q, r = np.nonzero(fits & (high >= mark))
-                score = np.einsum("ij,ij->i", self.queries[at][q], rows[r])
+                score = np.empty(len(q), dtype=np.int64)
+                for k in range(0, len(q), PAIRS):
+                    score[k:k + PAIRS] = np.einsum("ij,ij->i", self.queries[at][q[k:k + PAIRS]], rows[r[k:k + PAIRS]])
                 if ceiling is not None:
                     top = self.positives.ravel()[lists[q]]
                     held = (score <= top) & (100 * score >= self.percent * top)
