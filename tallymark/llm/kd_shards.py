@@ -149,7 +149,7 @@ def _cuts(rows: DataFrame, searches: list[_Search]) -> dict[int, Key]:
             F.sum("size").alias("w"), F.min(value).alias("lo"), F.max(value).alias("hi"), F.count("*").alias("n"))
         # At most SLICES + 1 rows for each node of a level.
         slices: dict[int, list] = {}
-        for r in sums.orderBy("s", "part").collect():
+        for r in sorted(sums.collect(), key=lambda r: (r["s"], r["part"])):
             slices.setdefault(r["s"], []).append((r["w"], r["lo"], r["hi"], r["n"]))
         rest = []
         for k, s in enumerate(searches):
