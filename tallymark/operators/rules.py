@@ -92,8 +92,7 @@ PREDICATES: dict[str, Predicate] = {
     "APPROVAL REQUIRED": _when(lambda c: c.runs("R14") and c.options.high_value > 0,
                                lambda c: F.col("Amount") > float(c.options.high_value)),
     "CREDIT LIMIT BREACH": _when(
-        lambda c: c.runs("R15"),
-        lambda c: (F.col("_limit") > 0) & (F.col("_exposure") > F.col("_limit"))),
+        lambda c: c.runs("R15"), lambda c: F.col("_breach")),
     "SAME-DAY DUPLICATE": _when(lambda c: c.runs("R17"), lambda c: F.col("_same_day")),
     "NO CONTACT DETAILS": _when(lambda c: c.runs("R19"), _no_contact),
     "RESTRICTED ENTITY": _when(

@@ -15,6 +15,7 @@ from ..operators import report, rules
 from ..operators.audit import AuditResult, audit
 from ..operators.keyed import (GROUP_ROWS, attach, check_order, exposure_facts, mark_repeats,
                                rolled_facts)
+from ..operators.marks import Marks, settle_marks
 from ..operators.profile import Profile, profile
 from ..operators.schema import MappedTable, map_columns
 from ..operators.staging import Settled, collected, discard, settle
@@ -100,13 +101,13 @@ def repair(df: DataFrame, mapped: frozenset[str], o: Options) -> DataFrame:
 
 ENTRY = ["Date", "Client_ID", "Amount", "Reference"]
 DAY = ["_date", "_client", "Amount"]
-MARKS = ("_duplicate", "_same_day", "_exposure")
+MARKS = ("_duplicate", "_same_day", "_breach", "_listed")
 
 
 def _wants(ctx: rules.Context) -> dict[str, bool]:
     o = ctx.options
     return {"_duplicate": ctx.runs("R12") and (o.drop_duplicates or o.flag_duplicates),
-            "_same_day": ctx.runs("R17"), "_exposure": ctx.runs("R15")}
+            "_same_day": ctx.runs("R17"), "_breach": ctx.runs("R15")}
 
 
 def cross_groups(rows: DataFrame, o: Options) -> DataFrame:
@@ -135,50 +136,34 @@ def cross_facts(groups: DataFrame, wants: dict[str, bool], o: Options) -> dict[s
     left = groups.withColumn(GROUP_ROWS, F.lit(1).cast("bigint")) if o.drop_duplicates else groups
     if wants["_same_day"]:
         facts["_same_day"] = rolled_facts(left, DAY)
-    if wants["_exposure"]:
-        facts["_exposure"] = exposure_facts(left, "_client", "Amount", "_least", "_exposure")
+    if wants["_breach"]:
+        facts["_breach"] = exposure_facts(left, "_client", "Amount", "_least", "_exposure")
     return facts
 
 
+def no_marks(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({name: F.lit(False) for name in MARKS})
+
+
 def add_marks(rows: DataFrame, facts: dict[str, Settled], o: Options) -> DataFrame:
-    """_duplicate, _same_day and _exposure of every row."""
-    rows = rows.withColumns({"_duplicate": F.lit(False), "_same_day": F.lit(False),
-                             "_exposure": F.lit(None).cast("double")})
+    """_duplicate, _same_day and _breach of every row, from the groups' facts."""
+    rows = rows.withColumns({name: F.lit(False) for name in MARKS[:3]})
     for name, keys in (("_duplicate", ENTRY), ("_same_day", DAY)):
         if name in facts:
             rows = mark_repeats(rows, keys, o.order_by, name, facts[name])
-    if "_exposure" in facts:
+    if "_breach" in facts:
         spread = quoted(o.order_by) if o.order_by else F.xxhash64("_client", "Amount")
-        rows = attach(rows.drop("_exposure"), facts["_exposure"], ["_client"],
-                      ["_exposure"], spread)
+        rows = attach(rows, facts["_breach"], ["_client"], ["_exposure"], spread)
+        over = (F.col("_limit") > 0) & (F.col("_exposure") > F.col("_limit"))
+        rows = rows.withColumn("_breach", F.coalesce(over, F.lit(False))).drop("_exposure")
     return rows
 
 
-def mark_rows(df: DataFrame, narrow: DataFrame, facts: dict[str, Settled],
-              o: Options) -> DataFrame:
-    """``add_marks`` to the wide rows; ``narrow`` has what the marks need.
-    Raises where the order key does not order the rows."""
-    if o.order_by is None:
-        return add_marks(df, facts, o)
-    marked = add_marks(narrow, facts, o)
+def check_marks(marks: Marks, facts: dict[str, Settled], o: Options) -> None:
+    """Raises where the order key does not order the rows."""
     repeats = {k: f for k, f in facts.items() if k == "_duplicate"
                or k == "_same_day" and not o.drop_duplicates}
-    counts = [F.count_if(name).alias(name) for name in repeats]
-    nulls = F.count_if(quoted(o.order_by).isNull()).alias("nulls")
-    if all(f.broadcastable for f in facts.values()):
-        seen = marked.agg(nulls, *counts).first()
-        check_order({k: seen[k] for k in repeats}, repeats, seen["nulls"])
-        return add_marks(df, facts, o)
-    # Large facts meet the narrow rows; their marks then reach the wide rows
-    # by the unique order key, in one shuffle that no group can skew.
-    some = F.col("_duplicate") | F.col("_same_day") | F.col("_exposure").isNotNull()
-    marks = settle(marked.filter(some | quoted(o.order_by).isNull())
-                   .select(quoted(o.order_by).alias("_row"), *MARKS))
-    seen = marks.df.agg(F.count_if(F.col("_row").isNull()).alias("nulls"), *counts).first()
-    check_order({k: seen[k] for k in repeats}, repeats, seen["nulls"])
-    side = F.broadcast(marks.df) if marks.broadcastable else marks.df
-    df = df.join(side, quoted(o.order_by) == F.col("_row"), "left").drop("_row")
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in MARKS[:2]})
+    check_order({k: marks.counts[k] for k in repeats}, repeats, marks.nulls)
 
 
 def mark_listed(df: DataFrame, narrow: DataFrame, o: Options) -> DataFrame:
@@ -197,27 +182,41 @@ def mark_listed(df: DataFrame, narrow: DataFrame, o: Options) -> DataFrame:
 
 def cross_row(df: DataFrame, mapped: frozenset[str], o: Options, local_only=False) -> DataFrame:
     """Facts about a row's group or client. With
-    ``local_only`` (a plain stream) the columns exist and never fire."""
+    ``local_only`` (a plain stream) the columns exist and never fire.
+
+    Group facts need few columns. Those are parsed once, into a narrow table; it
+    is marked, and the marks alone meet the wide rows, once."""
     ctx = rules.Context(o, mapped)
     df = df.withColumn("_client", F.coalesce(F.col("Client_ID"), F.lit("")))
     wants = _wants(ctx)
     if local_only:
-        return add_marks(df, {}, o).withColumn("_listed", F.lit(False))
+        return no_marks(df)
     if (wants["_duplicate"] or wants["_same_day"]) and o.order_by is None:
         raise ValueError("duplicate rules need Options.order_by: a unique column that says "
                          "which of several equal rows came first")
     if not any(wants.values()) and o.blocklist is None:
-        return add_marks(df, {}, o).withColumn("_listed", F.lit(False))
-    # Group facts need few columns: parse those once, into a narrow table.
+        demand_rows(not df.isEmpty())
+        return no_marks(df)
     order = [quoted(o.order_by)] if o.order_by else []
-    narrow = settle(df.select(*ENTRY, "_date", "_client", "_limit", *order)).df
+    narrow = settle(df.select(*ENTRY, "_date", "_client", "_limit", *order))
+    demand_rows(narrow.rows)
     facts = {}
     if any(wants.values()):
-        facts = cross_facts(settle(cross_groups(narrow, o)).df, wants, o)
-    df = mark_listed(mark_rows(df, narrow, facts, o), narrow, o)
+        facts = cross_facts(settle(cross_groups(narrow.df, o)).df, wants, o)
+    if o.order_by is None:
+        return mark_listed(add_marks(df, facts, o), narrow.df, o)
+    marked = mark_listed(add_marks(narrow.df, facts, o), narrow.df, o)
+    marks = settle_marks(marked, list(MARKS), o.order_by)
+    check_marks(marks, facts, o)
+    df = marks.bring(df, o.order_by)
     return df.filter(~F.col("_duplicate")) if o.drop_duplicates else df
 
 
+def demand_rows(found) -> None:
+    if not found:
+        raise ValueError("no data rows: the table is empty, or every row is blank")
+
+
 def judge(df: DataFrame, mapped: frozenset[str], o: Options) -> DataFrame:
     """Attach the flags and the verdict columns, blank out the null texts."""
     return judge_rows(df.withColumn("flags", rules.flags_column(rules.Context(o, mapped))))
@@ -333,11 +332,13 @@ def run_ledger(df: DataFrame, o: Options) -> LedgerRun:
     mapped = map_columns(df, o.mapping, o.order_by)
     have = frozenset(mapped.mapping)
     filled = scrub(not_blank(mapped.df, o), o)
-    if filled.isEmpty():
-        raise ValueError("no data rows: the table is empty, or every row is blank")
     repaired = repair(filled, have, o).withColumn("_notes", F.col("Notes"))
     with collected() as paths:
-        work = judge(cross_row(repaired, have, o), have, o)
+        try:
+            work = judge(cross_row(repaired, have, o), have, o)
+        except ValueError:
+            discard(df.sparkSession, paths)
+            raise
     return LedgerRun(o, mapped, filled, work, published(work, o), staged=paths)
 
 
@@ -366,8 +367,7 @@ def stored_rows(df: DataFrame, o: Options) -> tuple[LedgerRun, DataFrame]:
     filled = scrub(not_blank(mapped.df, o), o)
     rows = repair(filled, have, o).withColumn("_client", F.coalesce(F.col("Client_ID"), F.lit("")))
     local = mark_listed(rows, rows, o)
-    ctx, marks = rules.Context(o, have), {"_duplicate": F.lit(False), "_same_day": F.lit(False),
-                                          "_exposure": F.lit(None).cast("double")}
-    local = local.withColumns(marks).withColumn("_local", rules.flags_column(ctx)).drop(*MARKS)
+    ctx, marks = rules.Context(o, have), {name: F.lit(False) for name in MARKS[:3]}
+    local = local.withColumns(marks).withColumn("_local", rules.flags_column(ctx)).drop(*MARKS[:3])
     local = local.withColumns({f"_rules_{n}": F.lit(ctx.runs(f"R{n}")) for n in (12, 15, 17)})
     return LedgerRun(o, mapped, filled, local, local), local.drop("_listed")

@@ -1,76 +1,181 @@
-"""Monthly drops: each new file is cleaned, stored and added to the history."""
+"""Monthly drops: each new file is cleaned, stored and added to the history.
+
+A drop costs what the drop is worth. Its rows are stored with the flags of the
+row-local rules; its group facts (equal entries as one row each) become a run of the state. Runs
+of one level are merged when RUNS of them are there, into one of the next level, so a group is rewritten
+once a level and the state is a handful of runs however many drops there were. A commit publishes
+rows, state and history of a drop together (see ``commits``).
+
+The order of rows is (batch, order key): keys may start anew in each drop, and must be unique
+and not null within one.
+"""
 
 from __future__ import annotations
 
 import dataclasses
 import datetime as dt
 import time
+import uuid
+from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..constants import FLAG_ORDER, Options
-from ..operators.staging import settle
-from ..plans.ledger import (add_marks, cross_facts, cross_groups, flag_rows_locally, judge_rows,
-                            merged_groups, published, stored_rows)
+from ..functions.text import quoted
+from ..operators.staging import collected, discard, settle
+from ..plans.ledger import (add_marks, cross_facts, cross_groups,
+                            flag_rows_locally, judge_rows, merged_groups, published, stored_rows)
 from ..sources.sinks import history_row
+from .commits import CommitLog
+
+#: Runs of one level that are merged into one of the next.
+RUNS = 4
+ORDER = "_order"
+
 
 def ingest_stream(spark: SparkSession, in_path: str, schema: T.StructType, out_path: str,
                   checkpoint: str, o: Options, fmt: str = "parquet", **read_options):
     """Process what has arrived and stop; run it again for the next drop.
 
-    A batch stores its rows with the flags of the row-local rules, and its group facts
-    (equal entries as one row each) beside them. The duplicate and credit rules are judged by
-    ``ingested`` over the facts of all batches, so what they say doesn't
-    depend on how rows were split into batches. A batch repeated after a failure
-    overwrites its own folders, so nothing doubles. The date rules look at the day on which
-    a batch arrived, unless ``as_of`` is given."""
+    The history's row about a drop counts what is found within the drop. The duplicate and credit
+    rules over all drops are judged by ``ingested``, so what they say doesn't depend on how rows were
+    split into drops. A batch repeated after a failure writes its own folders anew, and one whose
+    commit is there is left as it is, so nothing doubles. The date rules look at the day on which a batch
+    arrived, unless ``as_of`` is given."""
     if o.order_by is None:
         raise ValueError("ingestion needs Options.order_by")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
+        log = CommitLog(spark, out_path)
+        if log.has(batch_id) or batch.isEmpty():
             return
         started, today = time.perf_counter(), o.resolved()
         run, rows = stored_rows(batch, today)
         rows.write.mode("overwrite").parquet(f"{out_path}/rows/batch={batch_id}")
-        rows = spark.read.parquet(f"{out_path}/rows/batch={batch_id}")
-        cross_groups(rows, today).write.mode("overwrite").parquet(
-            f"{out_path}/groups/batch={batch_id}")
-        clean = settle(_judged(rows, spark.read.parquet(f"{out_path}/groups"), today)).df
-        row = history_row(dataclasses.replace(run, clean=clean), f"batch {batch_id}",
-                          time.perf_counter() - started, dt.datetime.now())
-        row.write.mode("overwrite").parquet(f"{out_path}/history/batch={batch_id}")
+        rows = _ordered(spark.read.parquet(f"{out_path}/rows/batch={batch_id}")
+                        .withColumn("batch", F.lit(batch_id).cast("bigint")), o)
+        _check_keys(rows, batch_id, o)
+        runs = list(log.snapshot().runs)
+        runs.append((_write_run(cross_groups(rows, _by_batch(today)), out_path, 0), 0))
+        own = spark.read.parquet(f"{out_path}/{runs[-1][0]}")
+        with collected() as paths:
+            try:
+                clean = settle(_judged(rows, own, today)).df
+                row = history_row(dataclasses.replace(run, clean=clean), f"batch {batch_id}",
+                                  time.perf_counter() - started, dt.datetime.now())
+                row.write.mode("overwrite").parquet(f"{out_path}/history/batch={batch_id}")
+            finally:
+                discard(spark, paths)
+        log.publish(batch_id, compacted(spark, out_path, runs))
 
     stream = spark.readStream.schema(schema).format(fmt).options(**read_options).load(in_path)
     return (stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
+def _by_batch(o: Options) -> Options:
+    return dataclasses.replace(o, order_by=ORDER)
+
+
+def _ordered(rows: DataFrame, o: Options) -> DataFrame:
+    return rows.withColumn(ORDER, F.struct("batch", quoted(o.order_by).alias("key")))
+
+
+def _check_keys(rows: DataFrame, batch_id: int, o: Options) -> None:
+    keys = rows.groupBy(quoted(o.order_by).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    if not keys.filter("n > 1 OR key IS NULL").isEmpty():
+        raise ValueError(f"Options.order_by must be unique and not null within a drop; "
+                         f"batch {batch_id} repeats or lacks keys of {o.order_by}")
+
+
+def _write_run(groups: DataFrame, out_path: str, level: int) -> str:
+    name = f"groups/run-{level}-{uuid.uuid4().hex}"
+    groups.write.parquet(f"{out_path}/{name}")
+    return name
+
+
+def _read_runs(spark: SparkSession, out_path: str, runs) -> DataFrame:
+    parts = [spark.read.parquet(f"{out_path}/{name}") for name, _ in runs]
+    return merged_groups(reduce(DataFrame.union, parts)) if len(parts) > 1 else parts[0]
+
+
+def compacted(spark: SparkSession, out_path: str,
+              runs: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """The runs, with RUNS of one level merged into one of the next. The merged
+    ones stay on disk for those who read an older commit, until ``vacuum``."""
+    level = 0
+    while len(same := [r for r in runs if r[1] == level]) >= RUNS:
+        merged = _write_run(_read_runs(spark, out_path, same), out_path, level + 1)
+        runs = [r for r in runs if r[1] != level] + [(merged, level + 1)]
+        level += 1
+    return runs
+
+
+def vacuum(spark: SparkSession, out_path: str) -> list[str]:
+    """Delete the runs of the state that the newest commit doesn't name, while
+    nobody writes or reads an older one; returns their names."""
+    live = {name for name, _ in CommitLog(spark, out_path).snapshot().runs}
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{out_path}/groups")
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f"groups/{f.getPath().getName()}" for f in fs.listStatus(place)]
+    gone = sorted(set(found) - live)
+    discard(spark, [f"{out_path}/{name}" for name in gone])
+    return gone
+
+
 def _judged(rows: DataFrame, groups: DataFrame, o: Options) -> DataFrame:
     """Stored rows with the labels of the cross-row rules among the local ones."""
-    merged = settle(merged_groups(groups)).df
+    by_batch = _by_batch(o)
     wants = {"_duplicate": o.on("R12") and (o.drop_duplicates or o.flag_duplicates),
-             "_same_day": o.on("R17"), "_exposure": o.on("R15")}
-    marked = add_marks(rows, cross_facts(merged, wants, o), o)
+             "_same_day": o.on("R17"), "_breach": o.on("R15")}
+    facts = cross_facts(settle(groups).df, wants, by_batch)
+    marked = add_marks(rows, facts, by_batch)
     if o.drop_duplicates:
         marked = marked.filter(~F.col("_duplicate"))
-    breach = (F.col("_limit") > 0) & (F.col("_exposure") > F.col("_limit"))
     found = {"SAME-DAY DUPLICATE": F.col("_same_day") & F.col("_rules_17"),
-             "CREDIT LIMIT BREACH": breach & F.col("_rules_15")}
+             "CREDIT LIMIT BREACH": F.col("_breach") & F.col("_rules_15")}
     if o.flag_duplicates and not o.drop_duplicates:
         found["DUPLICATE ENTRY"] = F.col("_duplicate") & F.col("_rules_12")
     slots = [F.when(F.array_contains("_local", label)
                     | F.coalesce(found.get(label, F.lit(False)), F.lit(False)), F.lit(label))
              for label in FLAG_ORDER]
-    return published(judge_rows(marked.withColumn("flags", F.array_compact(F.array(*slots)))), o)
+    judged = judge_rows(marked.withColumn("flags", F.array_compact(F.array(*slots))))
+    names = published(judged, o).columns
+    return judged.select(*[quoted(n) for n in names], *([] if "batch" in names else ["batch"]))
+
+
+@dataclasses.dataclass(frozen=True)
+class Ingested:
+    """All batches of one commit: the clean rows (with their ``batch``) and the
+    history, newest first. ``close`` drops the facts that judge the rows."""
+
+    clean: DataFrame
+    history: DataFrame
+    staged: list[str] = dataclasses.field(default_factory=list, repr=False)
+
+    def __iter__(self) -> Iterator[DataFrame]:
+        return iter((self.clean, self.history))
+
+    def close(self) -> None:
+        discard(self.clean.sparkSession, self.staged)
+
+
+def ingested(spark: SparkSession, out_path: str, o: Options) -> Ingested:
+    """What the newest commit holds, judged over all its batches by the options
+    they were ingested with."""
+    now = CommitLog(spark, out_path).snapshot()
+    if not now.batches:
+        raise ValueError(f"no batch has been committed to {out_path}")
 
+    def read(name: str) -> DataFrame:
+        places = [f"{out_path}/{name}/batch={b}" for b in now.batches]
+        found = spark.read.option("basePath", f"{out_path}/{name}").parquet(*places)
+        return found.withColumn("batch", F.col("batch").cast("bigint"))
 
-def ingested(spark: SparkSession, out_path: str, o: Options) -> tuple[DataFrame, DataFrame]:
-    """(clean rows, history newest first) of every batch so far, by the
-    options they were ingested with."""
-    clean = _judged(spark.read.parquet(f"{out_path}/rows"),
-                    spark.read.parquet(f"{out_path}/groups"), o)
-    return clean, spark.read.parquet(f"{out_path}/history").orderBy(F.desc("Run"), F.desc("batch"))
+    with collected() as paths:
+        clean = _judged(_ordered(read("rows"), o), _read_runs(spark, out_path, now.runs), o)
+    return Ingested(clean, read("history").orderBy(F.desc("Run"), F.desc("batch")), paths)
 
 
 def flag_stream(stream: DataFrame, o: Options) -> DataFrame:

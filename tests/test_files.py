@@ -3,10 +3,13 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from catalogue.fixture import ledger_raw
 from tallymark import Options, run
 from tallymark.sources import delimited, sinks
+from tallymark.streaming import ingest
+from tallymark.streaming.commits import CommitLog
 from tallymark.streaming.ingest import ingest_stream, ingested
 
 O = Options(order_by="row_id", as_of=dt.date(2001, 8, 1))
@@ -113,3 +116,85 @@ def test_stream_picks_up_each_drop_once(spark, sf, tmp_path):
     whole = {r["row_id"]: r["flags"] for r in run(raw, O).clean.collect()}
     assert {r["row_id"]: r["flags"] for r in clean.collect()} == whole
     assert history.count() == 2 and clean.select("row_id").distinct().count() == clean.count()
+
+
+LEDGER = "id int, date string, client string, status string, amount double, credit_limit double"
+
+
+def drops(spark, folder):
+    """A function that ingests one more drop of (id, date, client, status, amount, limit)."""
+    def more(rows):
+        frame = spark.createDataFrame(rows, LEDGER)
+        frame.coalesce(1).write.mode("append").parquet(f"{folder}/drop")
+        ingest_stream(spark, f"{folder}/drop", frame.schema, f"{folder}/out", f"{folder}/mark",
+                      Options(order_by="id", as_of=dt.date(2001, 8, 1))).awaitTermination()
+    return more
+
+
+def flags(spark, folder):
+    with_keys = ingested(spark, f"{folder}/out", Options(order_by="id", as_of=dt.date(2001, 8, 1)))
+    found = {(r["batch"], r["id"]): set(r["flags"]) for r in with_keys.clean.collect()}
+    with_keys.close()
+    return found
+
+
+def test_drops_whose_keys_start_anew(spark, tmp_path):
+    more = drops(spark, tmp_path)
+    rows = [(0, "2001-07-01", "a", "Paid", 60.0, 100.0), (1, "2001-07-02", "b", "Paid", 5.0, None)]
+    more(rows)
+    assert not any("DUPLICATE ENTRY" in f for f in flags(spark, tmp_path).values())
+    more(rows)
+    got = flags(spark, tmp_path)
+    copies = {k for k, f in got.items() if "DUPLICATE ENTRY" in f}
+    assert copies == {(1, 0), (1, 1)} and len(got) == 4
+    assert {k for k, f in got.items() if "SAME-DAY DUPLICATE" in f} == copies
+    assert {k for k, f in got.items() if "CREDIT LIMIT BREACH" in f} == {(0, 0), (1, 0)}
+    with pytest.raises(Exception, match="within a drop"):
+        more([rows[0], (0, "2001-07-03", "c", "Paid", 1.0, None)])
+    assert len(flags(spark, tmp_path)) == 4
+
+
+def test_a_reader_sees_whole_drops_only(spark, tmp_path, monkeypatch):
+    more = drops(spark, tmp_path)
+    row = (0, "2001-07-01", "a", "Paid", 60.0, 100.0)
+    more([row])
+    publish = CommitLog.publish
+
+    def stop(*_):
+        raise RuntimeError("stopped before the commit")
+
+    monkeypatch.setattr(CommitLog, "publish", stop)
+    with pytest.raises(Exception, match="before the commit"):
+        more([row, (1, "2001-07-02", "b", "Paid", 5.0, None)])
+    before = ingested(spark, f"{tmp_path}/out", Options(order_by="id"))
+    assert before.clean.count() == 1 and before.history.count() == 1
+    monkeypatch.setattr(CommitLog, "publish", publish)
+    more([(0, "2001-07-09", "z", "Paid", 1.0, None)])
+    assert before.clean.count() == 1, "what was read stays as it was"
+    after = ingested(spark, f"{tmp_path}/out", Options(order_by="id"))
+    assert sorted((r["batch"], r["id"]) for r in after.clean.collect()) == [(0, 0), (1, 0), (1, 1), (2, 0)]
+    assert after.history.count() == 3
+    with pytest.raises(RuntimeError, match="another writer"):
+        CommitLog(spark, f"{tmp_path}/out").publish(2, [])
+    with pytest.raises(ValueError, match="no batch"):
+        ingested(spark, f"{tmp_path}/none", Options(order_by="id"))
+
+
+def test_runs_of_the_state_are_merged_by_level(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "RUNS", 2)
+    groups = spark.createDataFrame([("2001-07-01", "a", 5.0, "r", dt.date(2001, 7, 1), "a", 3, None)],
+                                   "Date string, Client_ID string, Amount double, Reference string, _date date, "
+                                   "_client string, _rows bigint, _least double")
+    runs, rewritten = [], 0
+    for batch in range(7):
+        first = groups.withColumn("_first", F.struct(F.lit(batch).alias("batch"), F.lit(0).alias("key")))
+        runs.append((ingest._write_run(first.select(*groups.columns[:6], "_first", "_rows", "_least"), str(tmp_path), 0), 0))
+        before = {name for name, _ in runs}
+        runs = ingest.compacted(spark, str(tmp_path), runs)
+        rewritten += len({name for name, _ in runs} - before)
+    assert sorted(level for _, level in runs) == [0, 1, 2] and rewritten == 3
+    merged = ingest._read_runs(spark, str(tmp_path), runs).collect()
+    assert [(r["_rows"], r["_first"]["batch"]) for r in merged] == [(21, 0)]
+    CommitLog(spark, str(tmp_path)).publish(6, runs)
+    assert len(ingest.vacuum(spark, str(tmp_path))) == 7 + 4 - 3
+    assert ingest._read_runs(spark, str(tmp_path), runs).count() == 1

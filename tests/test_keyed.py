@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallymark.operators import keyed, quantiles
+from tallymark.operators import keyed, marks, quantiles
 from tallymark.operators.staging import Settled
 
 
@@ -91,3 +91,30 @@ def test_quantiles(spark):
     for c, v in columns.items():
         want = [0.0, 2.0, np.inf] if c == "ends" else np.quantile(v, [0.25, 0.5, 0.75])
         assert np.allclose([got[c][p] for p in (0.25, 0.5, 0.75)], want, rtol=1e-12), c
+
+
+@pytest.mark.parametrize("key", ["number", "place", "text"])
+@pytest.mark.parametrize("few", [True, False])
+def test_marks_reach_the_rows_by_key_and_by_bitmap(spark, key, few):
+    keys = {"number": F.col("id"), "place": F.struct(F.concat(F.lit("f"), (F.col("id") % 3).cast("string")).alias("file"),
+                                                     F.col("id").alias("row")),
+            "text": F.col("id").cast("string")}
+    rows = spark.range(-70_000, 100_000, 1, 5).select(F.col("id"), keys[key].alias("k"))
+    a = F.pmod("id", F.lit(40_000 if few else 3)) == 0
+    marked = rows.select("k", a.alias("a"), (F.col("id") == 77).alias("b"))
+    found = marks.settle_marks(marked, ["a", "b"], "k")
+    assert found.bitmaps == (key != "text" and not few) and found.nulls == 0
+    assert found.counts == {"a": marked.where("a").count(), "b": 1}
+    wide = spark.range(-80_000, 110_000, 1, 3).select(F.col("id"), keys[key].alias("k"))
+    out = found.bring(wide, "k")
+    known = F.col("id").between(-70_000, 99_999)
+    assert out.columns == ["id", "k", "a", "b"] and out.count() == 190_000
+    assert out.filter((F.col("a") != (a & known)) | (F.col("b") != (F.col("id") == 77))).isEmpty()
+
+
+def test_marks_show_shared_and_missing_keys(spark):
+    rows = spark.range(200_000).select((F.col("id") / 2).cast("bigint").alias("k"), F.lit(True).alias("a"))
+    found = marks.settle_marks(rows.union(spark.sql("SELECT CAST(NULL AS BIGINT), false")), ["a"], "k")
+    assert found.bitmaps and found.counts == {"a": 100_000} and found.nulls == 1
+    none = marks.settle_marks(rows.withColumn("a", F.lit(False)), ["a"], "k").bring(rows.drop("a"), "k")
+    assert "Join" not in none._jdf.queryExecution().executedPlan().toString() and not none.first()["a"]

@@ -84,7 +84,9 @@ def test_dropping_duplicates_comes_before_exposure(spark):
 
 @pytest.mark.parametrize("drop", [False, True])
 def test_large_facts_give_the_same_rows(spark, sf, monkeypatch, drop):
-    from tallymark.operators import keyed
+    """Facts too large to broadcast: their marks come as bitmaps, and the wide
+    rows are not shuffled; by key only where bitmaps don't fit either."""
+    from tallymark.operators import keyed, staging
     from tallymark.operators.staging import Settled
     raw = ledger_raw(spark, sf)
     o = Options(order_by="row_id", as_of=DAY, drop_duplicates=drop)
@@ -93,8 +95,14 @@ def test_large_facts_give_the_same_rows(spark, sf, monkeypatch, drop):
     monkeypatch.setattr(keyed, "HOT_ROWS", 20)
     spread = run_ledger(raw, o).clean
     plan = spread._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Join ") == 1
+    assert plan.count("Join ") == 1 and "bitmapBucketNumber" in plan
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
     assert sorted(map(str, spread.collect())) == want
+    monkeypatch.setattr(staging, "BROADCAST_BYTES", 0)
+    by_key = run_ledger(raw, o).clean
+    plan = by_key._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join ") == 1 and "bitmapBucketNumber" not in plan
+    assert sorted(map(str, by_key.collect())) == want
 
 
 def test_options_and_toggles(spark, sf):
@@ -152,7 +160,7 @@ def test_wide_rows_are_not_shuffled_for_small_facts(spark, sf):
 def test_pruning_reaches_the_scan(spark, sf):
     clean = run_ledger(ledger_raw(spark, sf), Options(order_by="row_id", as_of=DAY)).clean
     plan = report.daily_trend(clean)._jdf.queryExecution().executedPlan().toString()
-    assert "Amount (ZAR):string" in plan
+    assert "Amount (ZAR)#" in plan
     scans = [line for line in plan.splitlines() if "FileScan" in line]
     assert scans and not clean.isEmpty()
 
