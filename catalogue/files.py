@@ -16,7 +16,7 @@ from tallymark.sources import delimited, dirty, sinks
 from tallymark.streaming.ingest import flag_stream, ingest_stream, ingested
 
 from . import sqltext as q
-from .fixture import HEADERS, LEDGER_CTE, ledger_raw, table
+from .fixture import HEADERS, LEDGER_CTE, LEDGER_RAW, ledger_raw, table
 from .ledger import (OPTIONS, PUBLISHED, QUERIES, SQL, clean, flat, ledger_run,  # noqa: F401
                      ledger_sql, query)
 from .universal import EVENTS, profile_sql, universal
@@ -160,6 +160,31 @@ def _(spark, sf):
     return ordered.select("row_order.row", "l_orderkey", "l_linenumber")
 
 
+_note = "o_orderstatus || chr(10) || '\"' || o_orderpriority || '\", ' || chr(10)"
+
+
+@query("csv_line_numbers", f"""SELECT CAST(o_orderkey AS VARCHAR) AS number, {_note} AS note,
+  CAST(o_orderkey % 3 AS VARCHAR) AS file,
+  row_number() OVER (PARTITION BY o_orderkey % 3 ORDER BY o_orderkey) - 1 AS row FROM orders""")
+def _(spark, sf):
+    """Files with line breaks in quotes, read in many splits each."""
+    path, out = scratch(spark, "numbered"), scratch(spark, "staged")
+    orders = table(spark, sf, "orders").selectExpr("o_orderkey AS number", f"{_note} AS note".replace('\'"', "'\\\""))
+    for m in range(3):
+        (orders.filter(f"number % 3 = {m}").coalesce(1).sortWithinPartitions("number")
+         .write.option("escape", '"').option("ignoreTrailingWhiteSpace", False).option("lineSep", "\n")
+         .csv(f"{path}/m{m}", header=True))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        rows = delimited.stage_delimited(spark, f"{path}/*", out, sep=",", encoding="UTF-8",
+                                         multiline=True)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    return rows.select("number", "note", F.regexp_extract("row_order.file", "/m(.)/", 1).alias("file"),
+                       "row_order.row")
+
+
 # The generator's dirt rules over the orders, so that its size follows the data.
 _branches = "['NORTH', 'SOUTH', 'EAST', 'WEST', 'HUB'][i % 5 + 1]"
 _dirty_sql = f"""
@@ -196,10 +221,14 @@ def _(spark, sf):
 
 # --- streaming ---------------------------------------------------------------
 def _drop(spark, sf) -> tuple[str, object]:
-    """The dirty ledger as a folder of files, as they would arrive."""
+    """The dirty ledger as a folder of files, as they would arrive: one after
+    the other, in the order of their keys."""
     path = scratch(spark, "drop")
     rows = ledger_raw(spark, sf)
-    rows.repartition(4, "row_id").write.parquet(path)
+    last = rows.agg(F.max("row_id")).first()[0]
+    for quarter in range(4):
+        part = rows.filter(F.floor(F.col("row_id") * 4 / (last + 1)) == quarter)
+        part.coalesce(1).write.mode("append").parquet(path)
     return path, rows.schema
 
 
@@ -215,6 +244,25 @@ def _(spark, sf):
     return flat(rows).select("row_id", "Date", "Client_ID", "Status", "Amount", "flags")
 
 
+_again = 1_000_000_000
+_list = ", ".join(f'"{h}"' for h in HEADERS)
+
+
+@query("stream_restarting_keys", ledger_sql(f"""SELECT row_id // {_again} AS batch, row_id % {_again} AS row_id,
+  Date, Client_ID, Status, Amount, flags FROM judged""").replace(
+      f"ledger_raw AS ({LEDGER_RAW})", f"""once AS ({LEDGER_RAW}), ledger_raw AS (SELECT * FROM once
+      UNION ALL SELECT row_id + {_again}, {_list} FROM once)"""))
+def _(spark, sf):
+    """Two drops of the same rows under the same keys: the second is all copies."""
+    path, out, mark = (scratch(spark, n) for n in ("drop", "ingest", "progress"))
+    rows = ledger_raw(spark, sf)
+    for _ in range(2):
+        rows.write.mode("append").parquet(path)
+        ingest_stream(spark, path, rows.schema, out, mark, OPTIONS).awaitTermination()
+    return flat(ingested(spark, out, OPTIONS).clean).select(
+        "batch", "row_id", "Date", "Client_ID", "Status", "Amount", "flags")
+
+
 @query("stream_history", ledger_sql("""SELECT 'Sales' AS "Mode", (SELECT count(*) FROM ledger_raw)
   AS "Rows In", count(*) AS "Rows Out", count(*) FILTER (Flagged) AS "Flagged" FROM judged"""))
 def _(spark, sf):

@@ -39,8 +39,8 @@ def ingest_stream(spark: SparkSession, in_path: str, schema: T.StructType, out_p
     """Process what has arrived and stop; run it again for the next drop.
 
     The history's row about a drop counts what is found within the drop. The duplicate and credit
-    rules over all drops are judged by ``ingested``, so what they say doesn't depend on how rows were
-    split into drops. A batch repeated after a failure writes its own folders anew, and one whose
+    rules over all drops are judged by ``ingested``: of equal rows the first is the one of the earliest
+    drop, so drops that arrive in key order are judged as one table. A batch repeated after a failure writes its own folders anew, and one whose
     commit is there is left as it is, so nothing doubles. The date rules look at the day on which a batch
     arrived, unless ``as_of`` is given."""
     if o.order_by is None:

@@ -1,6 +1,7 @@
 """Sources, sinks, history and streaming."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,6 +59,45 @@ def test_folders_of_unequal_files_keep_their_lines_in_order(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", size)
 
 
+def messy_lines(n, seed):
+    """Records with quotes, separators and line breaks in cells, and what they say."""
+    rng, text, want = random.Random(seed), [], []
+    for i in range(n):
+        cells = [str(i)]
+        for _ in range(2):
+            cells.append("".join(rng.choice(["a", "bc", " ", ",", '"', "\n", "\n\n", "é"]) for _ in range(rng.randrange(1, 9))) if rng.random() < 0.4
+                         else rng.choice(["plain", '5" pipe', "x y"]))
+        want.append(tuple(cells))
+        text.append(",".join('"' + c.replace('"', '""') + '"' if c.startswith('"') or set(c) & {",", "\n"} or '"' in c and c != '5" pipe' else c for c in cells))
+        if rng.random() < 0.1:
+            text.append("")
+    return "number,one,two\n" + "\n".join(text) + "\n", want
+
+
+@pytest.mark.parametrize("multiline", [False, True])
+def test_rows_have_one_number_however_files_are_split(spark, tmp_path, multiline):
+    (tmp_path / "in").mkdir()
+    want = {}
+    for k in range(2):
+        text, rows = messy_lines(120, k)
+        if not multiline:
+            rows = [(str(i), f"v{k}", "w") for i in range(120)]
+            text = "number,one,two\n" + "\n".join(",".join(r) for r in rows) + "\n\n"
+        (tmp_path / "in" / f"f{k}.csv").write_text(text)
+        want |= {(f"f{k}.csv", i): r for i, r in enumerate(rows)}
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for i, width in enumerate(("128m", "700", "97")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", width)
+            df = delimited.stage_delimited(spark, str(tmp_path / "in"), str(tmp_path / f"out{i}"), encoding="UTF-8", multiline=multiline)
+            if i:
+                assert spark.read.text(str(tmp_path / "in")).rdd.getNumPartitions() > 2
+            got = {(r["row_order"]["file"].rsplit("/", 1)[1], r["row_order"]["row"]): (r["number"], r["one"], r["two"]) for r in df.collect()}
+            assert got == {k: tuple(None if c == "" else c for c in v) for k, v in want.items()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
 def test_quoted_headers_and_no_separator(spark, tmp_path):
     (tmp_path / "q.csv").write_text('"Amount, net";Date\n1;2001-01-01\n')
     assert delimited.read_delimited(spark, str(tmp_path / "q.csv")).columns == ["Amount, net", "Date"]
