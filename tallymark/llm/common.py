@@ -31,12 +31,16 @@ def work_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/llm-{spark.sparkContext.applicationId}"
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: its lineage ends here."""
-    spark = df.sparkSession
-    path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+def settle_path(df: DataFrame, name: str) -> str:
+    """Where df was written as Parquet, in the shared folder."""
+    path = f"{work_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: its lineage ends here."""
+    return df.sparkSession.read.schema(df.schema).parquet(settle_path(df, name))
 
 
 def words(text: Column) -> Column:

@@ -111,7 +111,7 @@ d AS (
 )
 SELECT conv_id, call_id, turn::BIGINT AS position, name, level, has_result, errors = '' AS valid, errors,
        '{"arguments":{"role":' || to_json(role) || CASE WHEN text IS NULL THEN '' ELSE ',"text":' || to_json(text) END || ',"turn":' || turn || '},"id":"'
-       || call_id || '","level":' || level || ',"name":"' || name || '","result":' || to_json(coalesce(result, '')) || '}' AS json
+       || call_id || '","level":' || level || ',"name":"' || name || '","result":' || CASE WHEN has_result THEN to_json(coalesce(result, '')) ELSE 'null' END || '}' AS json
 FROM e
 """
 
