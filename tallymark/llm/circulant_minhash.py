@@ -7,10 +7,9 @@ every link is confirmed on the full shingle sets.
 
 Equal sets are one node, so copies cost one comparison at most. A bucket's nodes
 are compared with a centre, the one that meets most others, instead of with each
-other. What is then still apart is compared pair by pair, but
-only where the pair can reach the threshold (see _rest): what both lack of a
-common centre, and the shingles that no other candidate has, bound what they
-share. Nothing is capped; the pairs left out cannot link.
+other. What is then still apart meets by what it differs in from the centre: two nodes, one of
+them not linked to the centre, can only link if they share enough differences (see _rest). So near copies whose
+edits have nothing in common never meet, however many they are. Nothing is capped; the pairs left out cannot link.
 
 Nulls and texts without words have no shingles and link with nothing; fewer
 words than a shingle's are one shingle. Repeated rows and ids are judged by
@@ -24,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import lower_ascii, mix64, settle, shingle_sets, small, steps, word_hashes
 from .components import components
@@ -99,18 +98,13 @@ def _grams(words: int):
     return run
 
 
-def _joint(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes with i, the shingles in both full sets, and s, the sum of their sizes."""
+def _linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of nodes whose full sets reach the threshold."""
     one = sets.select(F.col("node").alias("a"), F.col("grams").alias("x"))
     two = sets.select(F.col("node").alias("b"), F.col("grams").alias("y"))
-    both = pairs.join(one, "a").join(two, "b")
     joint = F.size(F.array_intersect("x", "y"))
-    return both.select("a", "b", joint.alias("i"), (F.size("x") + F.size("y")).alias("s"))
-
-
-def _linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of nodes whose full sets reach the threshold."""
-    return _joint(pairs, sets).where(1000 * F.col("i") >= round(1000 * threshold) * (F.col("s") - F.col("i"))).select("a", "b")
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", joint.alias("i"), (F.size("x") + F.size("y")).alias("s"))
+    return both.where(1000 * F.col("i") >= round(1000 * threshold) * (F.col("s") - F.col("i"))).select("a", "b")
 
 
 def _labelled(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -127,38 +121,46 @@ def _apart(entries: DataFrame) -> DataFrame:
                                           F.col("c.n").alias("c_n"))
 
 
-def _rest(entries: DataFrame, sets: DataFrame, t: float) -> DataFrame:
-    """Pairs with different labels whose shingles leave room for a link.
+def _rest(entries: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) with different labels that may link: a and b meet in a bucket, whose centre is c.
 
-    Nodes that meet in buckets form families, and each is compared with its family's centre c: r shingles
-    of c are not in it, p of its own are not in c, and u of these in no other node. Two nodes share at most
-    |c| - max(r) of c's shingles and min(p - u) of others.
+    A node lacks r of c's shingles and has p that c has not; these are its differences. With s of them in common, the
+    nodes share |c| - r_a - r_b + s of |c| + p_a + p_b - s shingles. One of the two, a, is not linked to c, so
+    g = 1000 r_a + T p_a - (1000 - T) |c| > 0 for the threshold T in thousandths, and a link needs
+    (1000 + T) s >= g + 1000 r_b + T p_b. That bounds s from below for a and for b alone, before they meet; differences
+    that only one node has don't count, and a node with too few of the others is left out. The rest meets by its rarest
+    differences: sets that share s elements share one among all but the s - 1 most frequent of each.
     """
+    t = round(1000 * threshold)
     centres = _apart(entries).select("key", "b")
-    entries = settle(entries.join(centres, "key"), "rest")
-    family = components(entries.select(F.col("node").alias("a"), "b")).withColumnRenamed("label", "family")
-    nodes = settle(entries.select("node", "label", "n", "met").distinct().join(family, "node"), "families")
-    head = F.min(F.struct(-F.col("met"), "node", "n"))
-    middle = nodes.groupBy("family").agg(head.alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
-    middle = middle.select("family", F.col("c.node").alias("b"), F.col("c.n").alias("c_n"))
-    nodes = settle(nodes.join(middle, "family"), "centred")
-
-    grams = sets.join(nodes.select("node"), "node").select("node", F.explode("grams").alias("g"))
-    private = (grams.groupBy("g").agg(F.count("*").alias("k"), F.min("node").alias("node")).where("k = 1")
-               .groupBy("node").agg(F.count("*").alias("u")))
-    joint = _joint(nodes.select(F.col("node").alias("a"), "b"), sets).select(F.col("a").alias("node"), "i")
-    known = nodes.join(joint, "node").join(private, "node", "left").withColumn("u", F.coalesce("u", F.lit(0)))
-    of_others = F.greatest(F.col("n") - F.col("i") - F.col("u"), F.lit(0))
-    known = known.select("family", "node", "label", "n", F.col("i").alias("mid"), of_others.alias("rest"),
-                         (F.col("n") - F.col("u")).alias("most"))
-    known = settle(known.where(F.least(F.col("mid") + F.col("rest"), F.col("most")) >= F.col("n") * t - 1e-6), "known")
-
-    one = known.select("family", *[F.col(c).alias(f"a_{c}") for c in known.columns if c != "family"])
-    two = known.select("family", *[F.col(c).alias(f"b_{c}") for c in known.columns if c != "family"])
-    room = F.least(F.least("a_mid", "b_mid") + F.least("a_rest", "b_rest"), "a_most", "b_most")
-    fits = ((F.col("a_node") < F.col("b_node")) & (F.col("a_label") != F.col("b_label"))
-            & (room * (1 + t) >= (F.col("a_n") + F.col("b_n")) * t - 1e-6))
-    return one.join(two, "family").where(fits).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    members = entries.join(centres, "key").where("node != b").select("node", "b", "label").distinct()
+    one = sets.select("node", F.col("grams").alias("x"))
+    two = sets.select(F.col("node").alias("b"), F.col("grams").alias("y"))
+    both = members.join(one, "node").join(two, "b")
+    both = both.select("node", "b", "label", F.size("y").alias("c"), F.array_except("y", "x").alias("lacks"), F.array_except("x", "y").alias("adds"))
+    r, p = F.size("lacks"), F.size("adds")
+    apart = 1000 * r + t * p - (1000 - t) * F.col("c")
+    tokens = both.select("node", "b", "label", apart.alias("gap"), (1000 * r + t * p).alias("own"),
+                         F.explode(F.concat(F.transform("lacks", lambda g: F.struct(F.lit(0).alias("kind"), g.alias("gram"))),
+                                            F.transform("adds", lambda g: F.struct(F.lit(1).alias("kind"), g.alias("gram"))))).alias("d"))
+    tokens = settle(tokens.select("node", "b", "label", "gap", "own", "d.kind", "d.gram"), "differences")
+    token = ["b", "kind", "gram"]
+    useful = tokens.groupBy(*token).agg(F.count("*").alias("k"), F.max("gap").alias("far"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    useful = useful.where("k > 1 and far > 0 and lo != hi").select(*token, "k")
+    held = settle(tokens.join(useful, token), "shared")
+    count = held.groupBy("node", "b").agg(F.count("*").alias("m"))
+    # The differences that a node must share: as one that is not linked to the centre, and as the other one.
+    first = F.when(F.col("gap") > 0, F.ceil(F.col("gap") / (1000 + t)))
+    other = F.floor(F.col("own") / (1000 + t)) + 1
+    held = held.join(count.where("m > 0"), ["node", "b"]).withColumns({"first": first, "other": other})
+    held = held.where("m >= least(first, other)")
+    rank = F.row_number().over(Window.partitionBy("node", "b").orderBy("k", "kind", "gram"))
+    held = settle(held.withColumn("rank", rank).where("rank <= m - least(first, other) + 1"), "prefixes")
+    a = held.where("rank <= m - first + 1").select(*token, *[F.col(c).alias(f"a_{c}") for c in ("node", "label", "gap", "m")])
+    b = held.where("rank <= m - other + 1").select(*token, *[F.col(c).alias(f"b_{c}") for c in ("node", "label", "own", "m")])
+    room = (1000 + t) * F.least("a_m", "b_m") >= F.col("a_gap") + F.col("b_own")
+    met = a.join(b, token).where((F.col("a_label") != F.col("b_label")) & room)
+    return met.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3,
