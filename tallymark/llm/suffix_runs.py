@@ -9,12 +9,13 @@ Their suffixes are sorted into runs where the texts are; a run is front-coded (t
 prefix with the suffix before, and the rest) and goes to the targets of its grams. A target
 merges its runs with a loser tree that keeps, for every loser, the prefix it has in common
 with the winner it lost to; a match compares from there on only. The merged
-suffixes' common prefixes bound the groups of equal grams, byte by byte, and equal
-suffixes are one entry with its owners. In a group the windows are then compared
-by hashes of all their bytes, aligned at the gram.
+suffixes' common prefixes bound the groups of equal grams, byte by byte. In a group windows are
+paired by hashes, aligned at the gram, and each pair of stretches is then compared byte by byte.
 
-A gram with HOT occurrences or more goes to several targets, by what surrounds it;
-these count distinct windows, and the counts meet in a grouped sum.
+An entry is a suffix with what stands before it; equal entries are one, with a count. Owners, the places of an entry in
+the texts, stay where they are: they meet the spans that were found by the entry's digest, in a join that splits hot
+digests. A gram with HOT occurrences or more has its equal entries counted first and goes to several targets, by what surrounds it;
+these send their windows, as packed arrays, to buckets by hash, which say what two targets or more have in common (by 128 bits).
 
 Texts are UTF-8 bytes, null is empty. Texts that occur twice or more are compared once;
 equal ones of LENGTH bytes or more lose all of their bytes, wherever they are. Rows without an id are treated
@@ -24,12 +25,12 @@ as others are. Other columns are not read; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import prefix_hash, settle, slice_hash, small, steps
 
@@ -37,6 +38,8 @@ LENGTH, GRAM = 400, 200
 HOT = 256
 #: Anchors that a target gets on average, and bytes of suffixes in a run.
 TARGET_ANCHORS, RUN_BYTES = 4000, 16 << 20
+#: Windows of a bucket of hot windows, on average.
+BUCKET_WINDOWS = 500_000
 
 
 def _window_minima(v: np.ndarray, width: int) -> np.ndarray:
@@ -94,9 +97,10 @@ def _scan(length: int, gram: int):
     return run
 
 
-#: One front-coded run for one target, as parallel arrays; owners of an entry follow each other.
-_RUN = ("hot boolean, target bigint, prefix array<int>, rest array<binary>, context array<binary>, owners array<int>, "
-        "digest array<binary>, single array<boolean>, lo array<bigint>")
+#: One front-coded run for one target, as parallel arrays; owners counts the places of an entry.
+_RUN = "target bigint, prefix array<int>, rest array<binary>, context array<binary>, owners array<bigint>"
+_RUN_SCHEMA = pa.schema([("target", pa.int64()), ("prefix", pa.list_(pa.int32())), ("rest", pa.list_(pa.binary())),
+                         ("context", pa.list_(pa.binary())), ("owners", pa.list_(pa.int64()))])
 
 
 def _common(x: bytes, y: bytes, known: int) -> int:
@@ -114,58 +118,63 @@ def _common(x: bytes, y: bytes, known: int) -> int:
     return low
 
 
-def _runs(length: int, targets: int):
-    def write(entries: dict) -> Iterator[dict]:
-        """entries: (hot, target) -> {(suffix, context): owners}."""
-        for (hot, target), own in entries.items():
-            row: dict = {"hot": hot, "target": target, **{k: [] for k in ("prefix", "rest", "context", "owners", "digest", "single", "lo")}}
-            before = b""
-            for suffix, context in sorted(own):
-                owners = own[suffix, context]
-                known = _common(before, suffix, 0)
-                row["prefix"].append(known)
-                row["rest"].append(suffix[known:])
-                row["context"].append(context)
-                row["owners"].append(len(owners))
-                for k, name in enumerate(("digest", "single", "lo")):
-                    row[name] += [o[k] for o in owners]
-                before = suffix
-            yield row
-
-    schema = pa.schema([("hot", pa.bool_()), ("target", pa.int64()), ("prefix", pa.list_(pa.int32())), ("rest", pa.list_(pa.binary())),
-                        ("context", pa.list_(pa.binary())), ("owners", pa.list_(pa.int32())), ("digest", pa.list_(pa.binary())),
-                        ("single", pa.list_(pa.bool_())), ("lo", pa.list_(pa.int64()))])
-
+def _write(entries: dict) -> Iterator[pa.RecordBatch]:
+    """Front-coded runs of {target: {(suffix, context): owners}}."""
+    rows = []
+    for target, own in entries.items():
+        prefix, rest, before, order = [], [], b"", sorted(own)
+        for suffix, _ in order:
+            prefix.append(_common(before, suffix, 0))
+            rest.append(suffix[prefix[-1]:])
+            before = suffix
+        rows.append({"target": target, "prefix": prefix, "rest": rest, "context": [c for _, c in order], "owners": [own[e] for e in order]})
+        if len(rows) == 256:
+            yield pa.RecordBatch.from_pylist(rows, schema=_RUN_SCHEMA)
+            rows = []
+    yield pa.RecordBatch.from_pylist(rows, schema=_RUN_SCHEMA)
+
+
+def _runs(found: Callable[[pa.RecordBatch], Iterator[tuple[int, bytes, bytes, int]]]):
+    """Runs of what `found` gives of a batch: (target, suffix, context, owners)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries: dict = {}
         held = 0
         for batch in batches:
-            for digest, single, text, found in zip(*(batch.column(i) for i in range(4)), strict=True):
-                digest, single, text = digest.as_py(), single.as_py(), text.as_py()
-                for e in found.as_py():
-                    suffix, context = text[e["anchor"]:e["hi"] + length], text[e["lo"]:e["anchor"]]
-                    key = (False, e["gram"] % targets)
-                    if e["n"] >= HOT:
-                        salt = int.from_bytes(hashlib.blake2b(suffix + context, digest_size=8).digest(), "little") % -(-e["n"] // HOT)
-                        key = (True, hash((e["gram"], salt)))
-                    entries.setdefault(key, {}).setdefault((suffix, context), []).append((digest, single, e["lo"]))
+            for target, suffix, context, owners in found(batch):
+                own = entries.setdefault(target, {})
+                if (suffix, context) not in own:
                     held += len(suffix) + len(context) + 100
+                own[suffix, context] = own.get((suffix, context), 0) + owners
                 if held > RUN_BYTES:
-                    for row in write(entries):
-                        yield pa.RecordBatch.from_pylist([row], schema=schema)
+                    yield from _write(entries)
                     entries, held = {}, 0
-        if entries:
-            yield pa.RecordBatch.from_pylist(list(write(entries)), schema=schema)
+        yield from _write(entries)
     return run
 
 
+def _cold(length: int, targets: int):
+    """Entries of grams that occur less than HOT times, from (text, found)."""
+    def found(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, bytes, int]]:
+        for text, own in zip(batch.column(0), batch.column(1), strict=True):
+            text = text.as_py()
+            for e in own.as_py():
+                if e["n"] < HOT:
+                    yield e["gram"] % targets, text[e["anchor"]:e["hi"] + length], text[e["lo"]:e["anchor"]], 1
+    return found
+
+
+def _hot(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, bytes, int]]:
+    """Entries of hot grams, from (target, piece, at, owners)."""
+    for target, piece, at, owners in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        yield target, piece[at:], piece[:at], owners
+
+
 def _entries(row) -> Iterator[tuple]:
     """(suffix, known prefix, context, owners) of a run, in order."""
-    before, at = b"", 0
-    for prefix, rest, context, n in zip(row.prefix, row.rest, row.context, row.owners, strict=True):
+    before = b""
+    for prefix, rest, context, owners in zip(row.prefix, row.rest, row.context, row.owners, strict=True):
         before = before[:prefix] + rest
-        yield before, int(prefix), context, list(zip(row.digest[at:at + n], row.single[at:at + n], row.lo[at:at + n], strict=True))
-        at += n
+        yield before, int(prefix), context, int(owners)
 
 
 def merged(runs: list[Iterator[tuple]]) -> Iterator[tuple]:
@@ -211,146 +220,222 @@ def merged(runs: list[Iterator[tuple]]) -> Iterator[tuple]:
             node //= 2
 
 
-def _groups(rows: pd.DataFrame, gram: int) -> Iterator[dict[tuple[bytes, bytes], list]]:
+def _groups(rows: pd.DataFrame, gram: int) -> Iterator[dict[tuple[bytes, bytes], int]]:
     """Entries of equal grams: {(suffix, context): owners}."""
     group: dict = {}
     for suffix, common, context, owners in merged([_entries(r) for r in rows.itertuples()]):
         if common < gram and group:
             yield group
             group = {}
-        group.setdefault((suffix, context), []).extend(owners)
+        group[suffix, context] = group.get((suffix, context), 0) + owners
     if group:
         yield group
 
 
-def _windows(group: dict, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each window of the entries, the entry, and the number of its owners."""
-    pieces = [context + suffix for suffix, context in group]
-    counts = np.array([len(p) - length + 1 for p in pieces])
-    base = np.concatenate(([0], np.cumsum([len(p) for p in pieces])))[:-1]
-    entry = np.repeat(np.arange(len(pieces)), counts)
-    place = np.arange(len(entry)) - np.concatenate(([0], np.cumsum(counts)))[:-1][entry]
-    start = base[entry] + place
-    hashes = slice_hash(prefix_hash(np.frombuffer(b"".join(pieces), dtype=np.uint8)), start, start + length)
-    return hashes, entry, np.array([len(o) for o in group.values()])[entry]
-
-
-def _spans(group: dict, entry: np.ndarray, twice: np.ndarray, length: int) -> Iterator[tuple[bytes, int, int]]:
-    """(digest, start, end) of the runs of repeated windows, for the texts that occur once."""
-    edges = np.flatnonzero(np.diff(np.concatenate(([-1], entry))))
-    for owners, own in zip(group.values(), np.split(twice, edges[1:]), strict=True):
-        if not own.any():
-            continue
-        change = np.flatnonzero(np.diff(np.concatenate(([0], own.astype(np.int8), [0]))))
-        for s, e in zip(change[::2].tolist(), change[1::2].tolist(), strict=True):
-            for digest, single, lo in owners:
-                if single:
-                    yield digest, lo + s, lo + e - 1 + length
-
-
-_SPAN = "digest binary, start bigint, stop bigint"
+class _Windows:
+    """The windows of a group's entries: `entry` and `start` (in `text`) of each, and its hash."""
+
+    def __init__(self, group: dict, length: int):
+        self.length, self.pieces = length, [context + suffix for suffix, context in group]
+        self.keys = [(hashlib.md5(p).digest(), len(context)) for p, (_, context) in zip(self.pieces, group, strict=True)]
+        self.owners = np.array(list(group.values()))
+        counts = np.array([len(p) - length + 1 for p in self.pieces])
+        base = np.concatenate(([0], np.cumsum([len(p) for p in self.pieces])))[:-1]
+        self.entry = np.repeat(np.arange(len(self.pieces)), counts)
+        self.place = np.arange(len(self.entry)) - np.concatenate(([0], np.cumsum(counts)))[:-1][self.entry]
+        self.start = base[self.entry] + self.place
+        self.text = b"".join(self.pieces)
+        self.hashes = slice_hash(prefix_hash(np.frombuffer(self.text, dtype=np.uint8)), self.start, self.start + length)
+
+    def second(self) -> np.ndarray:
+        """Another hash of each window, of its bytes in a different guise."""
+        return slice_hash(prefix_hash(_GUISE[np.frombuffer(self.text, dtype=np.uint8)]), self.start, self.start + self.length)
+
+    def repeated(self) -> np.ndarray:
+        """Whether a window is in the group twice, all bytes compared."""
+        _, first, which = np.unique(self.hashes, return_index=True, return_inverse=True)
+        twice = np.bincount(which)[which] > 1
+        partner = first[which]
+        # The first of a class has the class's next one as its partner.
+        order = np.argsort(which, kind="stable")
+        after = np.append(order[1:], order[:1])
+        own = partner == np.arange(len(which))
+        partner[own] = after[np.argsort(order, kind="stable")[own]]
+        whole = self.owners[self.entry] > 1
+        at = np.flatnonzero(twice & ~whole)
+        if len(at):
+            shift = self.start[partner[at]] - self.start[at]
+            new = np.ones(len(at), dtype=bool)
+            new[1:] = (np.diff(at) != 1) | (self.entry[at][1:] != self.entry[at][:-1]) | (np.diff(shift) != 0)
+            firsts = np.flatnonzero(new)
+            for f, e in zip(firsts.tolist(), np.append(firsts[1:], len(at)).tolist(), strict=True):
+                s, n, d = int(self.start[at[f]]), e - f - 1 + self.length, int(shift[f])
+                if self.text[s:s + n] != self.text[s + d:s + d + n]:
+                    return self._compared() | whole
+        return twice | whole
+
+    def _compared(self) -> np.ndarray:
+        """As `repeated`, from the windows themselves."""
+        seen: dict[bytes, int] = {}
+        which = np.array([seen.setdefault(self.text[s:s + self.length], len(seen)) for s in self.start.tolist()])
+        return np.bincount(which)[which] > 1
+
+    def spans(self, twice: np.ndarray) -> Iterator[tuple[bytes, int, list[dict]]]:
+        """(digest, length of the context, spans) of the entries with repeated windows; spans count from the entry's first byte."""
+        edges = np.flatnonzero(np.diff(np.concatenate(([-1], self.entry))))
+        for (digest, at), own in zip(self.keys, np.split(twice, edges[1:]), strict=True):
+            if own.any():
+                change = np.flatnonzero(np.diff(np.concatenate(([0], own.astype(np.int8), [0]))))
+                yield digest, at, [{"start": s, "stop": e - 1 + self.length} for s, e in zip(change[::2].tolist(), change[1::2].tolist(), strict=True)]
+
+
+#: Bytes in another order, for a second hash.
+_GUISE = np.random.default_rng(7).permutation(256).astype(np.uint8)
+_SPANS = "entry binary, at int, spans array<struct<start: bigint, stop: bigint>>"
 
 
 def _frame(spans: list) -> pd.DataFrame:
-    return pd.DataFrame(spans, columns=["digest", "start", "stop"])
+    return pd.DataFrame(spans, columns=["entry", "at", "spans"])
 
 
 def _merge(length: int, gram: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         spans = []
         for group in _groups(rows, gram):
-            if sum(map(len, group.values())) > 1:
-                hashes, entry, owners = _windows(group, length)
-                _, which = np.unique(hashes, return_inverse=True)
-                spans += _spans(group, entry, np.bincount(which, owners)[which] > 1, length)
+            if sum(group.values()) > 1:
+                windows = _Windows(group, length)
+                spans += windows.spans(windows.repeated())
         return _frame(spans)
     return run
 
 
-def _count(length: int, gram: int):
+def _count(length: int, gram: int, buckets: int):
+    """The distinct windows of a hot target, by bucket, and how often it has them (2 stands for more)."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        found = []
+        one, two, often = [], [], []
         for group in _groups(rows, gram):
-            hashes, _, owners = _windows(group, length)
-            windows, which = np.unique(hashes, return_inverse=True)
-            found.append((rows["target"].iloc[0], windows.view(np.int64), np.bincount(which, owners).astype(np.int64)))
-        return pd.DataFrame(found, columns=["target", "windows", "counts"])
+            windows = _Windows(group, length)
+            hashes, first, which = np.unique(windows.hashes, return_index=True, return_inverse=True)
+            one.append(hashes)
+            two.append(windows.second()[first])
+            often.append(np.minimum(np.bincount(which, windows.owners[windows.entry]), 2))
+        one, two, often = np.concatenate(one), np.concatenate(two), np.concatenate(often).astype(np.int32)
+        bucket = (one % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+        return pd.DataFrame([(rows["target"].iloc[0], bucket[own[0]], one[own].view(np.int64), two[own].view(np.int64), often[own])
+                             for own in np.split(order, cuts)], columns=["target", "bucket", "one", "two", "often"])
     return run
 
 
+def _twice(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of a bucket's windows, those that are there twice or more, for each target that has them."""
+    one, two, often = (np.concatenate(rows[c].to_list()) for c in ("one", "two", "often"))
+    target = np.repeat(rows["target"].to_numpy(), [len(x) for x in rows["one"]])
+    order = np.lexsort((two, one))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+    which = np.cumsum(new) - 1
+    held = order[np.bincount(which, often[order])[which] > 1]
+    return pd.DataFrame([(t, one[held[own]], two[held[own]]) for t in np.unique(target[held]) for own in [target[held] == t]], columns=["target", "one", "two"])
+
+
 def _settle_hot(length: int, gram: int):
     def run(rows: pd.DataFrame, repeated: pd.DataFrame) -> pd.DataFrame:
         spans = []
         if len(rows) and len(repeated):
-            known = np.sort(repeated["w"].to_numpy().astype(np.int64).view(np.uint64))
+            known = np.sort(_pairs(*(np.concatenate(repeated[c].to_list()).view(np.uint64) for c in ("one", "two"))))
             for group in _groups(rows, gram):
-                hashes, entry, _ = _windows(group, length)
-                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                spans += _spans(group, entry, known[at] == hashes, length)
+                windows = _Windows(group, length)
+                own = _pairs(windows.hashes, windows.second())
+                at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                spans += windows.spans(known[at] == own)
         return _frame(spans)
     return run
 
 
+def _pairs(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Two hashes as one sortable value."""
+    both = np.empty(len(one), dtype=[("one", np.uint64), ("two", np.uint64)])
+    both["one"], both["two"] = one, two
+    return both
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, n_bytes, n_removed, n_spans, kept_sha256, kept_text from (id, text, spans); spans are in order and apart."""
     for batch in batches:
         out = []
-        for digest, text, spans in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            kept, at, removed, runs = hashlib.sha256(), 0, 0, 0
-            for s, e in sorted((x["start"], x["stop"]) for x in spans):
-                if s > at or runs == 0:
-                    kept.update(text[at:s])
-                    runs += 1
-                    removed += e - s
-                    at = e
-                elif e > at:
-                    removed += e - at
-                    at = e
-            kept.update(text[at:])
-            out.append((digest, removed, runs, kept.hexdigest()))
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.string()),
-                                                                         strict=True)] if out else
-                                         [pa.array([], t) for t in (pa.binary(), pa.int64(), pa.int64(), pa.string())],
-                                         ["digest", "removed", "spans", "kept"])
+        for text, spans in zip(batch.column(1), batch.column(2), strict=True):
+            text, spans = text.as_py(), spans.as_py() or []
+            edges = [0, *(x for s in spans for x in (s["start"], s["stop"])), len(text)]
+            kept = b"".join([text[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True)])
+            out.append((len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
+        columns = zip(*out, strict=True) if out else [[]] * 5
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(x), k) for x, k in zip(columns, kinds, strict=True)]],
+                                         ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+
+
+def _islands(spans: DataFrame) -> DataFrame:
+    """(digest, spans): overlapping and touching spans as one, in order."""
+    order = Window.partitionBy("digest").orderBy("start", "stop")
+    reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = spans.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1))
+    marked = marked.withColumn("island", F.sum("new").over(order))
+    each = marked.groupBy("digest", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return each.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256, kept_text.
+
+    kept_text is what is left; where a cut goes through a character, the rest of it reads as U+FFFD (kept_sha256 is of the bytes).
+    """
     raw = F.coalesce(F.col(text_col), F.lit(""))
     docs = docs.select(F.xxhash64(F.col(id_col), raw).alias("row"), F.col(id_col).alias("id"), raw.cast("binary").alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
     entry = "array<struct<gram: bigint, anchor: bigint, lo: bigint, hi: bigint>>"
     rows = settle(docs.mapInArrow(_scan(length, gram), f"row bigint, id {kind}, n_bytes bigint, digest binary, entries {entry}"), "anchors")
-    texts = settle(rows.groupBy("digest").agg(F.count("*").alias("copies"), F.min("row").alias("row"), F.first("entries").alias("entries")), "contents")
+    texts = settle(rows.groupBy("digest").agg(F.count("*").alias("copies"), F.min("row").alias("row"), F.first("entries").alias("entries"),
+                                              F.first("n_bytes").alias("n_bytes")), "contents")
 
     spread = texts.select("digest", "row", "copies", F.explode("entries").alias("e"))
     counts = settle(spread.groupBy(F.col("e.gram").alias("gram")).agg(F.count("*").alias("n")).where("n > 1"), "grams")
     found = spread.join(small(counts), F.col("e.gram") == F.col("gram")).groupBy("digest", "row", "copies").agg(
         F.collect_list(F.struct("e.gram", "e.anchor", "e.lo", "e.hi", "n")).alias("found"))
     found = settle(found.withColumnRenamed("row", "row2"), "found")
-    # Rows of equal id and text meet here more than once; their text is then no single one, and counts do not matter.
-    held = docs.join(small(found.select("row2", "digest", "copies")), F.col("row") == F.col("row2")).select("digest", "copies", "text")
-    held = settle(held, "held")
+    # Rows find their texts by a short name; the text's digest tells apart those that share one.
+    own = F.unhex(F.sha2("text", 256))
+    held = docs.join(small(found.select("row2", F.col("digest").alias("wanted"))), (F.col("row") == F.col("row2")) & (own == F.col("wanted")))
+    held = held.select(F.col("wanted").alias("digest"), "text").dropDuplicates(["digest"])
+    held = settle(held.join(found.select("digest", "copies", "found"), "digest"), "held")
 
     targets = max(1, (counts.agg(F.sum("n")).first()[0] or 0) // TARGET_ANCHORS)
-    sources = held.join(found.select("digest", "found"), "digest").select("digest", (F.col("copies") == 1).alias("single"), "text", "found")
-    runs = settle(sources.mapInArrow(_runs(length, targets), _RUN), "runs")
-    spans = settle(runs.where("not hot").groupBy("target").applyInPandas(_merge(length, gram), _SPAN), "spans")
-    hot = runs.where("hot")
-    windows = hot.groupBy("target").applyInPandas(_count(length, gram), "target bigint, windows array<bigint>, counts array<bigint>")
-    windows = windows.select("target", F.explode(F.arrays_zip("windows", "counts")).alias("w"))
-    windows = settle(windows.select("target", F.col("w.windows").alias("w"), F.col("w.counts").alias("n")), "windows")
-    twice = settle(windows.groupBy(F.col("w").alias("w2")).agg(F.sum("n").alias("n")).where("n > 1").select("w2"), "twice")
-    known = windows.join(small(twice), F.col("w") == F.col("w2")).select("target", "w")
-    more = hot.groupBy("target").cogroup(known.groupBy("target")).applyInPandas(_settle_hot(length, gram), _SPAN)
-    spans = spans.union(settle(more, "hot-spans")).groupBy("digest").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
-
-    cut = held.join(spans, "digest").select("digest", "text", "found").mapInArrow(
-        _cut, "digest binary, removed bigint, spans bigint, kept string")
-    cut = settle(texts.select("digest", "copies").join(cut, "digest", "left"), "cut")
-    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-    out = rows.select("id", "n_bytes", "digest").join(cut, "digest", "left")
-    return out.select(
-        F.col("id").alias(id_col), "n_bytes",
-        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("bigint").alias("n_removed"),
-        F.when(whole, F.lit(1)).otherwise(F.coalesce("spans", F.lit(0))).cast("bigint").alias("n_spans"),
-        F.when(whole, F.lit(hashlib.sha256().hexdigest())).otherwise(F.coalesce("kept", F.lower(F.hex("digest")))).alias("kept_sha256"))
+    runs = settle(held.select("text", "found").mapInArrow(_runs(_cold(length, targets)), _RUN), "runs")
+    spans = settle(runs.groupBy("target").applyInPandas(_merge(length, gram), _SPANS), "spans")
+    each = held.select("digest", "copies", "text", F.explode("found").alias("e"))
+    piece = F.substring("text", (F.col("e.lo") + 1).cast("int"), (F.col("e.hi") + length - F.col("e.lo")).cast("int"))
+    each = each.select("digest", "copies", F.col("e.gram").alias("gram"), F.col("e.n").alias("n"), F.col("e.lo").alias("lo"), piece.alias("piece"),
+                       (F.col("e.anchor") - F.col("e.lo")).cast("int").alias("at"), F.unhex(F.md5(piece)).alias("entry"))
+    hot = each.where(F.col("n") >= HOT).groupBy("gram", "n", "entry", "at").agg(F.first("piece").alias("piece"), F.count("*").alias("owners"))
+    salt = F.pmod(F.xxhash64("entry"), F.ceil(F.col("n") / HOT))
+    hot = settle(hot.select(F.xxhash64("gram", salt).alias("target"), "piece", "at", "owners"), "hot-entries")
+    number = hot.count()
+    if number:
+        runs = settle(hot.mapInArrow(_runs(_hot), _RUN), "hot-runs")
+        buckets = max(1, number * (length - gram + 1) // BUCKET_WINDOWS)
+        packed = runs.groupBy("target").applyInPandas(
+            _count(length, gram, buckets), "target bigint, bucket bigint, one array<bigint>, two array<bigint>, often array<int>")
+        twice = settle(packed.groupBy("bucket").applyInPandas(_twice, "target bigint, one array<bigint>, two array<bigint>"), "twice")
+        more = runs.groupBy("target").cogroup(twice.groupBy("target")).applyInPandas(_settle_hot(length, gram), _SPANS)
+        spans = spans.union(settle(more, "hot-spans"))
+    owners = settle(each.where("copies = 1").select("digest", "entry", "at", "lo"), "owners")
+    met = owners.join(spans, ["entry", "at"]).select("digest", "lo", F.explode("spans").alias("s"))
+    cut = _islands(met.select("digest", (F.col("lo") + F.col("s.start")).alias("start"), (F.col("lo") + F.col("s.stop")).alias("stop")))
+    # Texts that are there twice lose all their bytes.
+    whole = texts.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select(
+        "digest", F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("n_bytes").alias("stop"))).alias("spans"))
+    cut = settle(cut.union(whole).withColumnRenamed("digest", "wanted"), "cut")
+    out = docs.join(small(cut), own == F.col("wanted"), "left").select("id", "text", "spans").mapInArrow(
+        _cut, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string")
+    return out.withColumnRenamed("id", id_col)

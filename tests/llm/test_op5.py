@@ -1,5 +1,8 @@
 import hashlib
 import random
+from collections import Counter
+
+import numpy as np
 
 from tallymark.llm import suffix_runs
 from tallymark.llm.queries import QUERIES
@@ -25,6 +28,50 @@ def brute(texts, length):
     return out
 
 
+def plain(texts, length):
+    """As brute, on more texts: by the hash of each string."""
+    raw = [(t or "").encode() for t in texts]
+    seen = Counter(hash(b[p:p + length]) for b in raw for p in range(len(b) - length + 1))
+    out = []
+    for b in raw:
+        gone = np.zeros(len(b) + 1, dtype=np.int64)
+        for p in range(len(b) - length + 1):
+            if seen[hash(b[p:p + length])] > 1:
+                gone[p] += 1
+                gone[p + length] -= 1
+        gone = np.cumsum(gone[:-1]) > 0
+        kept = bytes(np.frombuffer(b, dtype=np.uint8)[~gone])
+        out.append((len(b), int(gone.sum()), int((gone & ~np.concatenate(([False], gone))[:len(b)]).sum()), hashlib.sha256(kept).hexdigest(), kept))
+    return out
+
+
+def test_more_documents_and_what_is_left(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    want = {t.doc_id: w for t, w in zip(texts, plain([t.text for t in texts], 400))}
+    for r in QUERIES["op5_suffix_runs"](spark, sf).collect():
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id][:4]
+        assert r.kept_text == want[r.doc_id][4].decode("utf-8", "replace")
+
+
+def test_long_texts(spark):
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(60_000)]
+    texts = [" ".join(words), " ".join([*words[30_000:31_000], "x", *words[100:400], "y", "same " * 3_000]), "z" * 20_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    assert rows(remove_repeats(df)) == sorted((i, *w[:4]) for i, w in enumerate(plain(texts, 400)))
+
+
+def test_windows_with_equal_hashes_are_compared(monkeypatch):
+    rng = random.Random(6)
+    group = {("".join(rng.choices("ab", k=60)).encode(), b"cc"): 1 for _ in range(6)}
+    group |= {(next(iter(group))[0][:50] + b"q" * 10, b"dc"): 1}
+    for width in (1, 1000):
+        monkeypatch.setattr(suffix_runs, "slice_hash", lambda sums, s, e, w=width, real=suffix_runs.slice_hash: real(sums, s, e) % np.uint64(w) if w == 1 else real(sums, s, e))
+        windows = suffix_runs._Windows(group, 40)
+        assert (windows.repeated() == windows._compared()).all() and windows.repeated().any()
+
+
 def rows(df):
     return sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in df.collect())
 
