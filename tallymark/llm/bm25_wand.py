@@ -236,10 +236,12 @@ def _shard(rows, texts, schema: T.StructType) -> Index:
     tops = np.zeros((len(terms), -(-len(texts) // width)), dtype=np.float32)
     which = np.repeat(np.arange(len(terms)), np.diff(np.append(starts, len(rows))))
     np.maximum.at(tops, (which, numbers // width), shares)
-    postings: list[dict] = [{} for _ in terms]
+    held: list[dict] = [{} for _ in terms]
     for term, number, share in zip(which.tolist(), numbers.tolist(), shares.tolist(), strict=True):
-        items, own, top = postings[term].get(number // width, ([], [], 0.0))
-        postings[term][number // width] = ([*items, number], [*own, share], max(top, share))
+        own = held[term].setdefault(number // width, ([], []))
+        own[0].append(number)
+        own[1].append(share)
+    postings = [{block: (*own, max(own[1])) for block, own in blocks.items()} for blocks in held]
     return Index(pa.array(texts["id"].tolist()), parts, length, terms, postings, tops)
 
 
@@ -253,8 +255,14 @@ def search(docs: DataFrame, items: DataFrame, text_col: str = "text", into: str
     out = docs.withColumn(into, empty)
     schema = T.StructType([*docs.schema.fields, T.StructField(into, T.StructType.fromDDL("x " + kind)["x"].dataType)])
     at = docs.columns.index(text_col)
+    shard = None
     for index in build(items):
+        if shard:
+            # What the shards before found is written, so that one shard is held at a time.
+            out = settle(out, "searched")
+            shard.destroy()
         shard = spark.sparkContext.broadcast(index)
+        del index
 
         def run(batches: Iterator[pa.RecordBatch], shard=shard) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from tallymark.llm.bm25_wand import split_text
 from tallymark.llm.decode_scan import scan
@@ -61,3 +63,15 @@ def test_odd_tables(spark):
             out = cp.settle(stage(spark, out, sf), "test")
             assert out.columns == table.columns
         assert cp.STAGES[-1][1](spark, out, sf).count() == out.count()
+
+
+def test_dedup_judges_rows_not_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(7, a), (7, a), (None, b), (None, b), (9, a + " more"), (9, c), (-3, c), (None, None), (11, ""), (12, ""), (None, a)]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id bigint, text string, kept int")
+    left = cp.near_dedup(spark, docs, "")
+    assert left.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in left.collect()), key=str)
+    assert got == sorted([(7, a), (None, b), (-3, c), (None, None), (11, ""), (12, "")], key=str)
+    words = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    assert len(cp.near_dedup(spark, words, "").collect()) == 6
