@@ -7,7 +7,7 @@ empty table passes through as an empty one. See the operators for what each defi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallymark.llm import bm25_wand, circulant_minhash, decode_scan, entropy_mix, rule_ensemble
 from tallymark.llm.common import settle, small, table
@@ -23,11 +23,29 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col("__score") >= rule_ensemble.CUTOFF).select(docs.columns)
 
 
+def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A row's id and text as one text, in the order of ids, rows without an id last."""
+    number = docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    # Flipping the sign bit puts negative numbers first.
+    flipped = F.hex(F.col(id_col).cast("bigint").bitwiseXOR(F.lit(-(2**63)))) if number else F.col(id_col).cast("string")
+    own = F.concat(F.lit("a"), F.lpad(flipped, 16, "0") if number else flipped)
+    digest = F.coalesce(F.sha2(F.col(text_col).cast("binary"), 256), F.lit("null"))
+    return F.concat_ws(":", F.coalesce(own, F.lit("b")), digest)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each near-duplicate group."""
-    judged = circulant_minhash.near_duplicates(docs, words=WORDS, threshold=SIMILAR)
-    gone = settle(judged.where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(small(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
+    """One document of each near-duplicate group: the one with the least id. Ids may be null or repeat: rows are judged by id
+    and text, and of rows that agree in both one stays."""
+    keyed = docs.withColumn("__key", row_key(docs))
+    judged = circulant_minhash.near_duplicates(keyed, id_col="__key", words=WORDS, threshold=SIMILAR)
+    judged = settle(judged.groupBy("__key").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")).where("n > 1 or not kept"), "judged")
+    gone = judged.where("not kept").select(F.col("__key").alias("__gone"))
+    again = judged.where("kept").select(F.col("__key").alias("__gone"))
+    left = keyed.join(small(gone), F.col("__key") == F.col("__gone"), "left_anti")
+    if not again.isEmpty():
+        same = F.col("__key") == F.col("__gone")
+        left = left.join(small(again), same, "left_anti").union(left.join(small(again), same, "left_semi").dropDuplicates(["__key"]))
+    return left.drop("__key")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
