@@ -7,8 +7,9 @@ PageRanks, trust along the links and distrust against them. A host is blocked wh
 distrust reaches BLOCK_AT and is above its trust; in these units a host whose pages are all
 blocked, and that has no links, has distrust 1.
 
-Links are absolute ones in href attributes of the html; links inside a host and dangling
-ones carry nothing. A null url, or one without `://`, has an empty host and path; null html has no
+Links are absolute ones in href and src attributes of the html, their character references for `.`, `/`, `:` and `&`
+decoded; links inside a host and dangling ones carry nothing. In the graph a host is without user and port, so links meet
+the pages of any port. A propagation that does not settle raises. A null url, or one without `://`, has an empty host and path; null html has no
 links. Repeated pages count each. Other columns are not read; an empty table gives an empty result.
 """
 
@@ -25,7 +26,11 @@ BLOCK_AT = 0.5
 #: Change of all scores, as a share of the seeds, at which the propagation has settled.
 STILL = 1e-6
 ROUNDS = 200
-_LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
+_VALUE = r"""(?i)\b(?:href|src)\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>]+)"""
+_HOST = r"""(?i)^["']?\s*(?:https?:)?//([^/?#"'\s<>\\]+)"""
+#: Character references that a host may be written with.
+_REFERENCES = ((r"(?i)&(?:#0*46|#x0*2e|period);", "."), (r"(?i)&(?:#0*47|#x0*2f|sol);", "/"), (r"(?i)&(?:#0*58|#x0*3a|colon);", ":"),
+               (r"(?i)&(?:#0*38|#x0*26|amp);", "&"))
 
 
 def _low(x: Column) -> Column:
@@ -38,11 +43,19 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return _low(F.regexp_extract(text, parts, 1)), F.regexp_extract(text, parts, 2)
 
 
+def node(host: Column) -> Column:
+    """A host without user and port: what stands in the graph."""
+    return F.regexp_replace(host, r"^[^@]*@|:\d*$", "")
+
+
 def host_links(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     """(src, dst, weight): pages' links from host to host, counted."""
-    found = F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(_LINK), F.lit(1))
-    links = pages.select(host_and_path(F.col(url_col))[0].alias("src"), F.explode(found).alias("link"))
-    links = links.select("src", _low(F.regexp_replace("link", r"^[^@]*@|:\d*$", "")).alias("dst"))
+    found = F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(_VALUE), F.lit(1))
+    links = pages.select(node(host_and_path(F.col(url_col))[0]).alias("src"), F.explode(found).alias("link"))
+    link = F.col("link")
+    for pattern, sign in _REFERENCES:
+        link = F.regexp_replace(link, pattern, sign)
+    links = links.select("src", node(_low(F.regexp_extract(link, _HOST, 1))).alias("dst"))
     return links.where("src != '' and dst != '' and src != dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
@@ -71,8 +84,8 @@ def propagate(seeds: DataFrame, links: DataFrame) -> DataFrame:
         change = now.union(old).groupBy("kind", "host").agg(F.sum("score").alias("c")).agg(F.sum(F.abs("c"))).first()[0]
         state = now
         if change <= STILL * mass:
-            break
-    return state
+            return state
+    raise RuntimeError(f"scores still move by {change / mass:.2g} of the seeds after {ROUNDS} rounds")
 
 
 def _host_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
@@ -95,15 +108,15 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     rows = rows.join(small(found), F.col("host") == F.col("host2"), "left").drop("host2")
     fits = F.filter(F.coalesce("rules", F.array()), lambda r: F.col("path").startswith(r["rule_path"]))
     rows = settle(rows.withColumn("best", F.array_max(fits)).select(
-        "id", "host", "path", F.col("best.rule").alias("rule"), F.col("best.rule_verdict").alias("ruled")), "ruled")
+        "id", "host", node(F.col("host")).alias("node"), "path", F.col("best.rule").alias("rule"), F.col("best.rule_verdict").alias("ruled")), "ruled")
 
-    shares = rows.groupBy("host").agg(*[(F.count_if(F.col("ruled") == v) / F.count("*")).alias(k)
+    shares = rows.groupBy(F.col("node").alias("host")).agg(*[(F.count_if(F.col("ruled") == v) / F.count("*")).alias(k)
                                         for v, k in (("allow", "trust"), ("block", "distrust"))])
     seeds = shares.select("host", F.explode(F.create_map(F.lit("trust"), "trust", F.lit("distrust"), "distrust")).alias("kind", "seed"))
     scores = propagate(seeds.where("seed > 0"), host_links(pages, url_col, html_col))
     by_host = scores.groupBy(F.col("host").alias("host2")).agg(*[F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(k)
                                                                  for k in ("trust", "distrust")])
-    out = rows.join(small(settle(by_host, "host-scores")), F.col("host") == F.col("host2"), "left")
+    out = rows.join(small(settle(by_host, "host-scores")), F.col("node") == F.col("host2"), "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     bad = (distrust >= BLOCK_AT) & (distrust > trust)
     verdict = F.coalesce("ruled", F.when(bad, "block").otherwise("allow"))

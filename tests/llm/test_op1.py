@@ -1,6 +1,9 @@
 import random
 
-from tallymark.llm.link_trust import judge, propagate
+import pytest
+
+from tallymark.llm import link_trust
+from tallymark.llm.link_trust import host_links, judge, propagate
 from tallymark.llm.queries import QUERIES
 
 RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
@@ -67,3 +70,27 @@ def test_distrust_reaches_hosts_that_link_to_blocked_ones(spark):
     got = {r.page_id: r.verdict for r in judge(df, rules).collect()}
     assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "allow", 8: "allow"}
     assert judge(df, rules).count() == 9 and judge(df.limit(0), rules).collect() == []
+
+
+def test_ports_users_and_references(spark):
+    pages = [(1, "http://u@A.example.org:8080/x", '<a href="http://b.org:99/">x</a> <img src=//c.org/i.png> <a href=\'http&#58;&#x2F;&sol;d&period;org?q\'>'),
+             (2, "http://b.org/", '<a href="https://a.example.org:443/">y</a><a href="/local"> href="//e.org" <a href="http://">'), (3, None, "<a href=//b.org>")]
+    df = spark.createDataFrame(pages, "page_id int, url string, html string")
+    got = {(r.src, r.dst): r.weight for r in host_links(df, "url", "html").collect()}
+    assert got == {("a.example.org", "b.org"): 1, ("a.example.org", "c.org"): 1, ("a.example.org", "d.org"): 1, ("b.org", "a.example.org"): 1, ("b.org", "e.org"): 1}
+    rules = spark.createDataFrame([("b.org/", "block")], "rule string, verdict string")
+    judged = {r.page_id: r for r in judge(df, rules).collect()}
+    assert judged[1].host == "u@a.example.org:8080" and judged[1].distrust > 0 and judged[2].verdict == "block"
+
+
+def test_very_long_html_ties_and_no_settling(spark, monkeypatch):
+    html = "<p>word</p>" * 200_000 + '<a href="http://bad.net/">'
+    pages = spark.createDataFrame([(1, "http://x.org/", html), (2, "http://bad.net/a", ""), (3, "http://two.bad.net/a/b", "")], "page_id int, url string, html string")
+    rules = spark.createDataFrame([("bad.net/", "block"), ("bad.net/a", "block"), ("two.bad.net/", "allow"), ("bad.net/a/b/", "allow")], "rule string, verdict string")
+    got = {r.page_id: (r.rule, r.verdict) for r in judge(pages, rules).collect()}
+    assert got == {1: (None, "block"), 2: ("bad.net/a", "block"), 3: ("two.bad.net/", "allow")}
+    monkeypatch.setattr(link_trust, "ROUNDS", 1)
+    seeds = spark.createDataFrame([("trust", "a", 1.0)], "kind string, host string, seed double")
+    links = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "src string, dst string, weight bigint")
+    with pytest.raises(RuntimeError, match="still move"):
+        propagate(seeds, links)
