@@ -1,11 +1,11 @@
 """Quality rules: multivariate outliers by the minimum covariance determinant, in DataFrame functions only.
 
-Each document has a vector of transformed statistics. For each language and
-source (its language, or all documents, where that has under LEAST rows) the half of
-the rows with the least determinant is approached by concentration steps: from
-medians and median deviations on, take the half with the least Mahalanobis distances,
-estimate mean and covariance from it, and again; a last step uses all rows within
-INNER. All are grouped sums and sketched quantiles, so no group is gathered.
+Each document has a vector of transformed statistics. It is judged by the estimate of its language and
+source; by that of all rows of its language, where the pair has under LEAST rows; by that of all rows, where the language has.
+An estimate is sought from three starts: medians with median deviations, mean and covariance of all rows, and medians with
+the covariance of directions. From each, concentration steps take the half with the least Mahalanobis distances
+and estimate mean and covariance from it, until the determinant falls no more. The start that ends with the least
+determinant counts; a last step uses all rows within INNER. All are grouped sums and sketched quantiles, so no group is gathered.
 Documents beyond OUTER from their group's estimate are rejected.
 
 Null texts have no words and fail the base rules, as do others under FEWEST words
@@ -16,6 +16,8 @@ columns are not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import SPACE, settle, small, words
@@ -23,7 +25,8 @@ from .common import SPACE, settle, small, words
 WINDOW, FEWEST, REPEATED = 8, 20, 30
 #: Least rows of a group with estimates of its own.
 LEAST = 50
-STEPS = 4
+#: A step counts if it lowers the determinant's logarithm by this much.
+FALL = 1e-3
 #: For half of the rows and four statistics: median of chi-square, and its share of the variance.
 DIM, HALF = 4, 0.5
 CONSISTENT = 2.113
@@ -88,18 +91,27 @@ def vectors(rows: DataFrame) -> DataFrame:
     })
 
 
-def _grouped(rows: DataFrame) -> DataFrame:
-    """Adds g, the group whose estimate judges the row."""
+def _grouped(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows with g, the group whose estimate judges the row; and the rows that make the estimates, once for each group that
+    they are in and that judges somebody."""
     pair, lang = F.to_json(F.struct("lang", "source")), F.to_json(F.struct("lang"))
     rows = rows.withColumns({"pair": pair, "language": lang})
     passed = rows.where("not base_failed")
     pairs = passed.groupBy("pair", "language").agg(F.count("*").alias("k"))
     langs = pairs.groupBy("language").agg(F.sum("k").alias("l")).withColumnRenamed("language", "language2")
     chosen = pairs.join(langs, F.col("language") == F.col("language2")).select(
-        F.col("pair").alias("pair2"),
+        F.col("pair").alias("pair2"), F.col("language").alias("language2"),
         F.when(F.col("k") >= LEAST, F.col("pair")).when(F.col("l") >= LEAST, F.col("language")).otherwise("").alias("g"))
     chosen = settle(chosen, "groups")
-    return rows.join(small(chosen), F.col("pair") == F.col("pair2"), "left").drop("pair", "pair2", "language")
+    judged = rows.join(small(chosen.drop("language2")), F.col("pair") == F.col("pair2"), "left").drop("pair2")
+    makers = [judged.where("not base_failed and g = pair").select("g", *NAMES)]
+    for name, wanted in (("language", "g = language2"), (None, "g = ''")):
+        used = settle(chosen.where(wanted).select(F.col("g").alias("used")).distinct(), "used")
+        if not used.isEmpty():
+            own = F.col(name) if name else F.lit("")
+            all_of = passed.select(own.alias("g"), *NAMES)
+            makers.append(all_of.join(small(used), F.col("g") == F.col("used"), "left_semi"))
+    return judged.drop("pair", "language"), reduce(DataFrame.union, makers)
 
 
 def _cholesky(groups: DataFrame) -> DataFrame:
@@ -111,13 +123,14 @@ def _cholesky(groups: DataFrame) -> DataFrame:
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             entry = F.sqrt(F.greatest(rest, F.lit(FLOORS[j] ** 2 / 4))) if i == j else rest / F.col(f"l{j}{j}")
             groups = groups.withColumn(f"l{i}{j}", entry)
-    return groups.select("g", *[f"m{i}" for i in range(DIM)], *[f"l{i}{j}" for i in range(DIM) for j in range(i + 1)])
+    size = sum((F.log(F.col(f"l{i}{i}")) for i in range(1, DIM)), F.log(F.col("l00")))
+    return groups.select("g", *[f"m{i}" for i in range(DIM)], *[f"l{i}{j}" for i in range(DIM) for j in range(i + 1)], size.alias("size"))
 
 
-def _measured(rows: DataFrame, factors: DataFrame) -> DataFrame:
+def _measured(rows: DataFrame, factors: DataFrame, how: str = "left") -> DataFrame:
     """Adds d, the squared Mahalanobis distance, by forward substitution; null without an estimate."""
     factors = factors.withColumnRenamed("g", "g2")
-    out = rows.join(small(factors), F.col("g") == F.col("g2"), "left")
+    out = rows.join(small(factors), F.col("g") == F.col("g2"), how)
     total = F.lit(0.0)
     for i in range(DIM):
         rest = F.col(f"x{i}") - F.col(f"m{i}")
@@ -137,28 +150,60 @@ def _moments(rows: DataFrame, scale: float) -> DataFrame:
     return got.select("g", *[f"m{i}" for i in range(DIM)], *cov)
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """The mean and covariance factor of each group of rows (g, x0 ... x3)."""
+def _starts(rows: DataFrame) -> DataFrame:
+    """Three factors for each group g of the rows, as groups `0 g`, `1 g` and `2 g`."""
     mid = settle(rows.groupBy("g").agg(*[F.percentile_approx(x, 0.5, 2000).alias(f"m{i}") for i, x in enumerate(NAMES)]), "medians")
     apart = rows.join(small(mid.withColumnRenamed("g", "g2")), F.col("g") == F.col("g2"))
     spread = [F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 2000).alias(f"s{i}") for i, x in enumerate(NAMES)]
-    spread = apart.groupBy("g", *[f"m{i}" for i in range(DIM)]).agg(*spread)
+    spread = settle(apart.groupBy("g", *[f"m{i}" for i in range(DIM)]).agg(*spread), "spreads")
     zero = {f"c{i}{j}": F.lit(0.0) for i in range(DIM) for j in range(i + 1, DIM)}
-    diagonal = {f"c{i}{i}": F.pow(1.4826 * F.col(f"s{i}"), 2) + FLOORS[i] ** 2 for i in range(DIM)}
-    factors = settle(_cholesky(spread.withColumns({**diagonal, **zero})), "factors")
-    for _ in range(STEPS):
-        near = _measured(rows, factors)
-        half = settle(near.groupBy("g").agg(F.percentile_approx("d", HALF, 2000).alias("most")), "halves")
-        inner = near.join(small(half.withColumnRenamed("g", "g2")), F.col("g") == F.col("g2")).where("d <= most")
-        factors = settle(_cholesky(_moments(inner, CONSISTENT)), "factors")
-    return settle(_cholesky(_moments(_measured(rows, factors).where(F.col("d") <= INNER), 1.0)), "factors")
+    wide = [F.sqrt(F.pow(1.4826 * F.col(f"s{i}"), 2) + FLOORS[i] ** 2) for i in range(DIM)]
+    plain = spread.withColumns({f"c{i}{i}": F.pow(wide[i], 2) for i in range(DIM)} | zero)
+    # Directions from the median, in units of the spreads: no row weighs more than another.
+    led = rows.join(small(spread.withColumnRenamed("g", "g2")), F.col("g") == F.col("g2"))
+    led = led.withColumns({f"z{i}": (F.col(x) - F.col(f"m{i}")) / wide[i] for i, x in enumerate(NAMES)})
+    far = F.greatest(F.sqrt(sum((F.pow(f"z{i}", 2) for i in range(1, DIM)), F.pow("z0", 2))), F.lit(1e-9))
+    kept = ["g", *[f"{k}{i}" for k in "ms" for i in range(DIM)]]
+    sides = led.groupBy(*kept).agg(*[F.avg(F.col(f"z{i}") * F.col(f"z{j}") / far / far).alias(f"p{i}{j}") for i in range(DIM) for j in range(i, DIM)])
+    sides = sides.withColumns({f"c{i}{j}": DIM * F.col(f"p{i}{j}") * wide[i] * wide[j] for i in range(DIM) for j in range(i, DIM)})
+    three = [_cholesky(x) for x in (plain, _moments(rows, 1.0), sides)]
+    return reduce(DataFrame.union, [x.withColumn("g", F.concat(F.lit(f"{k} "), "g")) for k, x in enumerate(three)])
+
+
+def _concentrated(rows: DataFrame, factors: DataFrame) -> DataFrame:
+    """The factors that the half of each group's rows with the least distances from `factors` has."""
+    near = _measured(rows, factors, "inner")
+    half = settle(near.groupBy("g").agg(F.percentile_approx("d", HALF, 2000).alias("most")), "halves")
+    inner = near.join(small(half.withColumnRenamed("g", "g2")), F.col("g") == F.col("g2")).where("d <= most")
+    return settle(_cholesky(_moments(inner, CONSISTENT)), "factors")
+
+
+def estimates(rows: DataFrame) -> DataFrame:
+    """The mean and covariance factor of each group of rows (g, x0 ... x3)."""
+    tried = rows.withColumn("g", F.explode(F.array(*[F.concat(F.lit(f"{k} "), "g") for k in range(3)])))
+    # The first step leaves the starts, whose determinants mean nothing.
+    now = _concentrated(tried, settle(_starts(rows), "starts"))
+    done = [now]
+    while True:
+        new = _concentrated(tried, now)
+        old = now.select(F.col("g").alias("g2"), F.col("size").alias("before"))
+        better = settle(new.join(small(old), F.col("g") == F.col("g2")).where(F.col("size") < F.col("before") - FALL).drop("g2", "before"), "better")
+        if better.isEmpty():
+            break
+        done.append(better)
+        now = better
+    best = reduce(DataFrame.union, done).withColumn("g", F.expr("substring(g, 3)"))
+    names = [c for c in best.columns if c != "g"]
+    least = F.min_by(F.struct(*names), "size").alias("best")
+    factors = settle(best.groupBy("g").agg(least).select("g", "best.*"), "best")
+    last = settle(_cholesky(_moments(_measured(rows, factors).where(F.col("d") <= INNER), 1.0)), "factors")
+    return last
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", **columns: str) -> DataFrame:
     """One row per input row: id, the base counts, base_failed, distance (null if base_failed), kept."""
-    rows = settle(_grouped(settle(vectors(base_statistics(docs, id_col, **columns)), "statistics")), "grouped")
-    passed = rows.where("not base_failed")
-    out = _measured(rows, estimates(passed)).withColumn("distance", F.when(~F.col("base_failed"), F.sqrt("d")))
+    rows, makers = _grouped(settle(vectors(base_statistics(docs, id_col, **columns)), "statistics"))
+    out = _measured(rows, estimates(settle(makers, "makers"))).withColumn("distance", F.when(~F.col("base_failed"), F.sqrt("d")))
     kept = ~F.col("base_failed") & (F.col("d") <= OUTER)
     return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                       "base_failed", F.coalesce(kept, F.lit(False)).alias("kept"), "distance")

@@ -1,6 +1,9 @@
 import random
 import re
 
+import numpy as np
+
+from tallymark.llm import robust_outliers as ro
 from tallymark.llm.queries import QUERIES
 from tallymark.llm.robust_outliers import base_statistics, judge
 
@@ -55,3 +58,72 @@ def test_odd_rows(spark):
     judged = {r.doc_id: r.kept for r in judge(df).collect()}
     assert judged == {1: False, 2: False, 3: False, None: False, 5: True}
     assert judge(df.limit(0)).collect() == []
+
+
+def plain_mcd(x, rng, starts=200):
+    """Least log determinant (of the factor) that concentration steps from many random subsets reach, and the mean there."""
+    floors, best = np.diag(np.square(ro.FLOORS)), (np.inf, None)
+    for _ in range(starts):
+        own = x[rng.choice(len(x), 6, replace=False)]
+        size = np.inf
+        while True:
+            mean, cov = own.mean(axis=0), np.cov(own.T, bias=True) * ro.CONSISTENT + floors
+            now = np.linalg.slogdet(cov)[1] / 2
+            if len(own) > 6 and now >= size - 1e-9:
+                break
+            size = now if len(own) > 6 else size
+            d = np.einsum("ij,ij->i", (x - mean) @ np.linalg.inv(cov), x - mean)
+            own = x[np.argsort(d)[: -(-len(x) // 2)]]
+        best = min(best, (size, tuple(mean)))
+    return best
+
+
+def test_least_determinant_is_found(spark):
+    rng = np.random.default_rng(5)
+    groups = {}
+    for k, (share, shift) in enumerate([(0.0, 0), (0.3, 6), (0.42, 9), (0.45, -4)]):
+        mix = rng.standard_normal((4, 4))
+        x = rng.standard_normal((400, 4)) @ mix
+        # As wide as the others: a tight cluster of nearly half would have the least determinant itself.
+        x[: int(share * 400)] += shift
+        groups[f"g{k}"] = x
+    rows = spark.createDataFrame([(g, *map(float, r)) for g, x in groups.items() for r in x], "g string, x0 double, x1 double, x2 double, x3 double")
+    sizes = {}
+    real = ro._concentrated
+
+    def watched(*args):
+        out = real(*args)
+        for r in out.collect():
+            sizes[r.g[2:]] = min(sizes.get(r.g[2:], np.inf), r["size"])
+        return out
+
+    ro._concentrated = watched
+    try:
+        found = {r.g: r for r in ro.estimates(rows).collect()}
+    finally:
+        ro._concentrated = real
+    for g, x in groups.items():
+        size, _ = plain_mcd(x, rng)
+        assert sizes[g] <= size + 0.05, g
+        good = x[int({"g0": 0.0, "g1": 0.3, "g2": 0.42, "g3": 0.45}[g] * 400):]
+        assert np.abs(np.array([found[g][f"m{i}"] for i in range(4)]) - good.mean(axis=0)).max() < 0.8, g
+
+
+def test_small_groups_are_judged_by_their_language(spark):
+    rng = random.Random(1)
+
+    def text(mark=""):
+        return " ".join("".join(rng.choices("abcdefgh", k=rng.randrange(2, 8))) + mark for _ in range(rng.randrange(80, 200)))
+
+    rows = [(i, text(), "en", "big") for i in range(300)] + [(1000 + i, text("###"), "en", "tiny") for i in range(3)]
+    rows += [(2000 + i, text(), "en", "small") for i in range(3)] + [(3000, text(), "fr", None), (3001, text("###"), "fr", None)]
+    got = {r.doc_id: r.kept for r in judge(spark.createDataFrame(rows, "doc_id int, text string, lang string, source string")).collect()}
+    assert {i for i, kept in got.items() if not kept} == {1000, 1001, 1002, 3001}
+
+
+def test_ties_and_all_failing(spark):
+    same = [(i, "one two three " * 2 + " ".join(f"w{k}" for k in range(30)), "en", "s") for i in range(80)] + [(99, "few words", "de", "t")]
+    got = judge(spark.createDataFrame(same, "doc_id int, text string, lang string, source string")).collect()
+    assert all(r.kept == (r.doc_id != 99) for r in got)
+    none = judge(spark.createDataFrame([(1, "few words", "de", "t")], "doc_id int, text string, lang string, source string")).collect()
+    assert [(r.doc_id, r.kept, r.distance) for r in none] == [(1, False, None)]

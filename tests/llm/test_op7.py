@@ -46,3 +46,16 @@ def test_number_of_trees(monkeypatch):
     binned = rng.integers(0, rule_ensemble.BINS, (400, 4)).astype(np.uint8)
     assert rule_ensemble._paths(binned, (binned[:, 0] > 9).astype(float))
     assert roots == [400] * 40
+
+
+def test_compiled_score_is_that_of_the_rules(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = rule_ensemble.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    stats = {r.doc_id: r for r in rule_ensemble.with_statistics(docs.select("doc_id", "text"), "text").collect()}
+    assert len(model.rules) > 5
+    for r in rule_ensemble.scored(docs, model).collect():
+        total = model.bias
+        for weight, rule in model.rules:
+            values = [(stats[r.doc_id][f"__stat_{name}"], bound, below) for name, bound, below in rule]
+            total += weight * all((v <= bound) == below for v, bound, below in values)
+        assert abs(r.score - 1 / (1 + np.exp(-total))) < 1e-9
