@@ -2,8 +2,8 @@
 
 Each document has a vector of transformed statistics. It is judged by the estimate of its language and
 source; by that of all rows of its language, where the pair has under LEAST rows; by that of all rows, where the language has.
-An estimate is sought from three starts: medians with median deviations, mean and covariance of all rows, and medians with
-the covariance of directions. From each, concentration steps take the half with the least Mahalanobis distances
+An estimate is sought from several starts: medians with median deviations, mean and covariance of all rows, medians with
+the covariance of directions, and the rows on either side of each statistic's median, which parts rows of two kinds. From each, concentration steps take the half with the least Mahalanobis distances
 and estimate mean and covariance from it, until the determinant falls no more. The start that ends with the least
 determinant counts; a last step uses all rows within INNER. All are grouped sums and sketched quantiles, so no group is gathered.
 Documents beyond OUTER from their group's estimate are rejected.
@@ -150,8 +150,12 @@ def _moments(rows: DataFrame, scale: float) -> DataFrame:
     return got.select("g", *[f"m{i}" for i in range(DIM)], *cov)
 
 
+#: Starts of a group's estimate.
+STARTS = 3 + 2 * DIM
+
+
 def _starts(rows: DataFrame) -> DataFrame:
-    """Three factors for each group g of the rows, as groups `0 g`, `1 g` and `2 g`."""
+    """STARTS factors for each group g of the rows, as groups `0 g`, `1 g` and so on."""
     mid = settle(rows.groupBy("g").agg(*[F.percentile_approx(x, 0.5, 2000).alias(f"m{i}") for i, x in enumerate(NAMES)]), "medians")
     apart = rows.join(small(mid.withColumnRenamed("g", "g2")), F.col("g") == F.col("g2"))
     spread = [F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 2000).alias(f"s{i}") for i, x in enumerate(NAMES)]
@@ -167,7 +171,11 @@ def _starts(rows: DataFrame) -> DataFrame:
     sides = led.groupBy(*kept).agg(*[F.avg(F.col(f"z{i}") * F.col(f"z{j}") / far / far).alias(f"p{i}{j}") for i in range(DIM) for j in range(i, DIM)])
     sides = sides.withColumns({f"c{i}{j}": DIM * F.col(f"p{i}{j}") * wide[i] * wide[j] for i in range(DIM) for j in range(i, DIM)})
     three = [_cholesky(x) for x in (plain, _moments(rows, 1.0), sides)]
-    return reduce(DataFrame.union, [x.withColumn("g", F.concat(F.lit(f"{k} "), "g")) for k, x in enumerate(three)])
+    three = [x.withColumn("g", F.concat(F.lit(f"{k} "), "g")) for k, x in enumerate(three)]
+    held = [F.when(beyond, F.lit(3 + 2 * i + k)) for i, x in enumerate(NAMES)
+            for k, beyond in enumerate((F.col(x) <= F.col(f"m{i}"), F.col(x) >= F.col(f"m{i}")))]
+    halves = apart.withColumn("start", F.explode(F.array_compact(F.array(*held)))).withColumn("g", F.concat_ws(" ", F.col("start").cast("string"), "g"))
+    return reduce(DataFrame.union, [*three, _cholesky(_moments(halves, 1.0))])
 
 
 def _concentrated(rows: DataFrame, factors: DataFrame) -> DataFrame:
@@ -180,7 +188,7 @@ def _concentrated(rows: DataFrame, factors: DataFrame) -> DataFrame:
 
 def estimates(rows: DataFrame) -> DataFrame:
     """The mean and covariance factor of each group of rows (g, x0 ... x3)."""
-    tried = rows.withColumn("g", F.explode(F.array(*[F.concat(F.lit(f"{k} "), "g") for k in range(3)])))
+    tried = rows.withColumn("g", F.explode(F.array(*[F.concat(F.lit(f"{k} "), "g") for k in range(STARTS)])))
     # The first step leaves the starts, whose determinants mean nothing.
     now = _concentrated(tried, settle(_starts(rows), "starts"))
     done = [now]
@@ -192,7 +200,7 @@ def estimates(rows: DataFrame) -> DataFrame:
             break
         done.append(better)
         now = better
-    best = reduce(DataFrame.union, done).withColumn("g", F.expr("substring(g, 3)"))
+    best = reduce(DataFrame.union, done).withColumn("g", F.expr("substring(g, instr(g, ' ') + 1)"))
     names = [c for c in best.columns if c != "g"]
     least = F.min_by(F.struct(*names), "size").alias("best")
     factors = settle(best.groupBy("g").agg(least).select("g", "best.*"), "best")

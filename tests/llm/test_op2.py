@@ -94,7 +94,8 @@ def test_least_determinant_is_found(spark):
     def watched(*args):
         out = real(*args)
         for r in out.collect():
-            sizes[r.g[2:]] = min(sizes.get(r.g[2:], np.inf), r["size"])
+            g = r.g.split(" ", 1)[1]
+            sizes[g] = min(sizes.get(g, np.inf), r["size"])
         return out
 
     ro._concentrated = watched
