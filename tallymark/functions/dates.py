@@ -37,6 +37,16 @@ def looks_datelike(c: Column) -> Column:
     return F.coalesce(c.rlike(DATE_ISH), F.lit(False))
 
 
+_SHAPES = "|".join(f"(?:{p})" for p in (YEAR_FIRST, NUMBERS, DAY_NAME, NAME_DAY))
+
+
+def has_shape(c: Column, datelike: Column) -> Column:
+    """Whether ``parse_date`` knows the text's shape: without it there is no date. All
+    shapes but the compact one hold what ``looks_datelike`` looks for."""
+    s = strip(c)
+    return F.coalesce(F.when(datelike, s.rlike(_SHAPES)).otherwise(s.rlike(COMPACT)), F.lit(False))
+
+
 def _full_year(y: Column, this_year: int) -> Column:
     """Two digits mean the year within fifty of this one."""
     century = this_year // 100 * 100

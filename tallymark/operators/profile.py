@@ -2,10 +2,12 @@
 
 Every cell becomes (column, value), values collapse to (column, value, n) with
 partial aggregation before the one wide shuffle, and types, counts, statistics
-and top values are small aggregates of that table. Parsing runs once per
-distinct value. Texts of every length are keyed by themselves, declared numbers
-by their exact value, so a column of distinct texts costs one shuffle of its
-size. What reaches the driver is a row or a handful of values per column.
+and top values are small aggregates of that table. Numbers, dates and texts
+shaped like them are keyed by themselves, and parsed once per distinct value.
+Any other text is keyed by its digest and travels as that, the digest of its
+folded form and its first characters, however long it is; the texts of the few
+winners are fetched afterwards. What reaches the driver is a row or a handful
+of values per column.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from .quantiles import exact_quantiles
 from .schema import norm_header
 from .staging import settle
 
+#: Characters of a text that stand in for it when ties are ordered.
+PREFIX = 16
 DATE_TYPES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
@@ -73,28 +77,55 @@ def _cell(c: Column, dtype: T.DataType, i: int) -> Column:
     return F.struct(F.lit(f"c{i}").alias("column"), text.alias("cell"), day.alias("day"))
 
 
-def frequencies(df: DataFrame, columns: list[str], o: Options) -> DataFrame:
-    """(column, key, day, n, gate, datelike, num, fold): the one wide shuffle.
-    Hot values collapse before it, and values are parsed after it, once each.
-    The cells are laid out long first, so the expressions do not grow with the
-    columns."""
+def _digest(text: Column) -> Column:
+    """The first 128 bits of a text's SHA-256."""
+    return F.unhex(F.left(F.sha2(text, 256), F.lit(32)))
+
+
+def _fold(text: Column, digest: Column) -> Column:
+    """The digest of a text without outer space and case."""
+    folded = F.lower(strip(text))
+    return F.when(folded == text, digest).otherwise(_digest(folded))
+
+
+def _cells(df: DataFrame, columns: list[str], among: list[str]) -> DataFrame:
+    """(column, key, day, text): the cells of ``among``, laid out long first, so the
+    expressions do not grow with the columns. ``text`` marks filled cells of text columns."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    cells = F.array(*[_cell(quoted(c), types[c], i) for i, c in enumerate(columns)])
+    cells = F.array(*[_cell(quoted(c), types[c], i) for i, c in enumerate(columns) if c in among])
     numeric = [f"c{i}" for i, c in enumerate(columns) if isinstance(types[c], T.NumericType)]
     days = [f"c{i}" for i, c in enumerate(columns) if isinstance(types[c], DATE_TYPES)]
     key = F.when(F.col("column").isin(numeric) | ~is_blank(F.col("cell")), F.col("cell"))
     cell = df.select(F.inline(cells)).select("column", key.alias("key"), "day")
-    grouped = cell.groupBy("column", "key", "day").agg(F.count(F.lit(1)).alias("n"))
-    text = ~F.col("column").isin(numeric + days) & F.col("key").isNotNull()
-    staged = grouped.withColumns({
-        "text": text, "gate": F.when(text, numbers.looks_numeric(F.col("key"))),
-        "datelike": F.when(text, dates.looks_datelike(F.col("key")))})
-    return staged.withColumns({
+    return cell.withColumn("text", ~F.col("column").isin(numeric + days) & F.col("key").isNotNull())
+
+
+def frequencies(df: DataFrame, columns: list[str], o: Options) -> DataFrame:
+    """(column, key, digest, day, n, gate, datelike, num, fold, prefix): the one wide
+    shuffle. Hot values collapse before it. ``key`` holds numbers, dates and texts that may
+    be one, which are parsed after it, once each; other texts have a digest instead."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    numeric = [f"c{i}" for i, c in enumerate(columns) if isinstance(types[c], T.NumericType)]
+    cell = _cells(df, columns, columns).withColumns({
+        "gate": F.when(F.col("text"), numbers.looks_numeric(F.col("key"))),
+        "datelike": F.when(F.col("text"), dates.looks_datelike(F.col("key")))})
+    worded = F.col("text") & ~F.col("gate") & ~dates.has_shape(F.col("key"), F.col("datelike"))
+    cell = cell.withColumn("digest", F.when(worded, _digest(F.col("key"))))
+    away = F.col("digest").isNotNull()
+    slim = cell.select(
+        "column", "text", "day", "gate", "datelike", "digest",
+        F.when(away, _fold(F.col("key"), F.col("digest"))).alias("fold"),
+        F.when(away, F.left("key", F.lit(PREFIX))).alias("prefix"),
+        F.when(~away, F.col("key")).alias("key"))
+    grouped = slim.groupBy(*slim.columns).agg(F.count(F.lit(1)).alias("n"))
+    own = F.col("text") & F.col("key").isNotNull()
+    return grouped.withColumns({
         "num": F.when(F.col("column").isin(numeric), F.col("key").try_cast("double"))
                 .when(F.col("gate"), numbers.parse_amount(F.col("key"))),
-        "day": F.when(F.col("text"), dates.parse_date(F.col("key"), T.StringType(), o.dayfirst,
-                                                      o.today().year)).otherwise(F.col("day")),
-        "fold": F.when(F.col("text"), F.sha2(F.lower(strip(F.col("key"))), 256)),
+        "day": F.when(own, dates.parse_date(F.col("key"), T.StringType(), o.dayfirst,
+                                            o.today().year)).otherwise(F.col("day")),
+        "fold": F.when(own, _fold(F.col("key"), _digest(F.col("key")))).otherwise(F.col("fold")),
+        "prefix": F.coalesce("prefix", F.left("key", F.lit(PREFIX))),
     }).drop("text")
 
 
@@ -120,8 +151,8 @@ def _decide(r, dtype: T.DataType) -> str:
 
 def _census(freq: DataFrame) -> dict:
     n, one = F.col("n"), F.lit(1)
-    filled = F.coalesce(F.col("key").isNotNull() | F.col("num").isNotNull()
-                        | F.col("day").isNotNull(), F.lit(False))
+    filled = (F.col("key").isNotNull() | F.col("digest").isNotNull()
+              | F.col("num").isNotNull() | F.col("day").isNotNull())
     total = {"rows": F.lit(True), "filled": filled, "gated": F.col("gate"),
              "numbers": F.col("num").isNotNull(), "datelike": F.col("datelike"),
              "days": F.col("day").isNotNull()}
@@ -158,24 +189,67 @@ def _number_stats(freq, census, names, spark) -> dict[str, dict]:
     return out
 
 
-def _top_values(freq, names, n=TOP_VALUES) -> dict[str, list]:
-    """The most frequent values, ties by value; each task keeps ``n`` per
-    column before the shuffle, so no column gathers in one."""
-    rank = Window.partitionBy("column").orderBy(F.desc("n"), "key")
-    rows = (freq.filter(F.col("column").isin(names) & F.col("key").isNotNull())
-            .withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= n)
-            .select("column", "rank", "key", "n").collect())
+def _worded(freq: DataFrame, names: list[str]) -> DataFrame:
+    filled = F.col("key").isNotNull() | F.col("digest").isNotNull()
+    return freq.filter(F.col("column").isin(names) & filled)
+
+
+def _top_values(freq, df, columns, names, n=TOP_VALUES) -> dict[str, list]:
+    """The most frequent values, ties by value. Counts and first characters decide which
+    values can be among them, and only the texts of these are fetched. Each task keeps a
+    few rows per column before a shuffle, so no column gathers in one."""
+    values = _worded(freq, names).select("column", "key", "digest", "prefix", "n")
+
+    def first(rows, by, limit):
+        rank = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), by))
+        return rows.withColumn("rank", rank).filter(F.col("rank") <= limit)
+
+    heads: dict[str, list] = {}
+    for r in sorted(first(values, "prefix", n + 1).collect(), key=lambda r: (r["column"], r["rank"])):
+        heads.setdefault(r["column"], []).append(r)
+    # Where the first one left out equals the last one taken so far, whole texts decide.
+    tied = {c: rows[n] for c, rows in heads.items()
+            if len(rows) > n and all(rows[n][x] == rows[n - 1][x] for x in ("n", "prefix"))}
+    taken = [r for c, rows in heads.items() if c not in tied for r in rows[:n]]
+    found = [(r["column"], r["key"], r["n"]) for r in taken if r["key"] is not None]
+    if away := {(r["column"], bytes(r["digest"])): r["n"] for r in taken if r["key"] is None}:
+        cells = _texts(df, columns, {c for c, _ in away})
+        named = cells.filter(F.col("digest").isin([F.lit(d) for _, d in away])).distinct()
+        found += [(r["column"], r["key"], away[r["column"], bytes(r["digest"])])
+                  for r in named.collect() if (r["column"], bytes(r["digest"])) in away]
+    if tied:
+        def edge(field):
+            return F.try_element_at(F.create_map(*[F.lit(x) for c, r in tied.items()
+                                                   for x in (c, r[field])]), F.col("column"))
+
+        near = ((F.col("n") > edge("n"))
+                | ((F.col("n") == edge("n")) & (F.col("prefix") <= edge("prefix"))))
+        chosen = settle(values.filter(near))
+        rows = chosen.df.filter("digest IS NULL").select("column", "key", "n")
+        wanted = chosen.df.filter("digest IS NOT NULL").select("column", "digest", "n")
+        cells = _texts(df, columns, set(tied))
+        # Past a broadcast, each distinct text of these columns is shuffled once.
+        hits = (cells.join(F.broadcast(wanted), ["column", "digest"]).distinct()
+                if chosen.broadcastable else cells.distinct().join(wanted, ["column", "digest"]))
+        rows = rows.union(hits.select("column", "key", "n"))
+        found += first(rows, "key", n).select("column", "key", "n").collect()
     top: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r["column"], r["rank"])):
-        top.setdefault(r["column"], []).append((r["key"], r["n"]))
+    for column, key, count in sorted(found, key=lambda r: (r[0], -r[2], r[1].encode())):
+        top.setdefault(column, []).append((key, count))
     return top
 
 
+def _texts(df, columns, among) -> DataFrame:
+    """(column, key, digest): the texts of some columns."""
+    cells = _cells(df, columns, [c for i, c in enumerate(columns) if f"c{i}" in among])
+    return cells.filter("text").select("column", "key", _digest(F.col("key")).alias("digest"))
+
+
 def _folded(freq, names) -> dict[str, int]:
     """Distinct values once case and outer space are ignored."""
     if not names:
         return {}
-    folds = (freq.filter(F.col("column").isin(names) & F.col("key").isNotNull())
+    folds = (_worded(freq, names)
              .groupBy("column", "fold").agg(F.count(F.lit(1)).alias("spellings")))
     return {r["column"]: r["folded"] for r in
             folds.groupBy("column").agg(F.count(F.lit(1)).alias("folded")).collect()}
@@ -282,7 +356,7 @@ def profile(df: DataFrame, o: Options | None = None) -> Profile:
     numeric = [c for c, k in kinds.items() if k == NUMERIC]
     worded = [c for c, k in kinds.items() if k in (CATEGORICAL, TEXT)]
     stats = _number_stats(freq, census, numeric, df.sparkSession)
-    top = _top_values(freq, worded) if worded else {}
+    top = _top_values(freq, df, columns, worded) if worded else {}
     folded = _folded(freq, worded)
     out = []
     for i, name in enumerate(columns):

@@ -92,10 +92,16 @@ def run_universal(df: DataFrame, o: Options) -> UniversalRun:
     cleaned, so bad dates and numbers show; ``strict_compat`` audits the
     standardised table, where they already count as missing."""
     o = o.resolved()
-    filled = sanitise(df, o)
-    if filled.isEmpty():
-        raise ValueError("no data rows: the table is empty, or every row is blank")
     with collected() as paths:
+        # cleaned once: the profile, the audit and the result read what is written here
+        ready = sanitise(df, o)
+        void = [f.name for f in ready.schema.fields if isinstance(f.dataType, T.NullType)]
+        cleaned = settle(ready.drop(*void))
+        if not cleaned.rows:
+            discard(df.sparkSession, paths)
+            raise ValueError("no data rows: the table is empty, or every row is blank")
+        filled = cleaned.df.withColumns({c: F.lit(None) for c in void}).select(
+            *[quoted(c) for c in ready.columns])
         prof = profile(filled, o)
         subject = filled
         if o.strict_compat:

@@ -3,7 +3,10 @@
 import datetime as dt
 import statistics
 
+from pyspark.sql import functions as F
+
 from tallymark import Options, audit, profile, run, run_universal, standardise
+from tallymark.operators.profile import frequencies
 
 O = Options(order_by="id", as_of=dt.date(2025, 1, 1))
 
@@ -61,6 +64,35 @@ def test_length_changes_nothing(spark):
     assert [v[0] for v, _ in p["t"].top] == ["a", "b", "c", "d"]
 
 
+def test_winners_that_differ_late_are_ordered_whole(spark):
+    head = "the same first words "
+    df = frame(spark, t=[head + "%02d" % (40 - i) for i in range(40)],
+               u=[head + "%02d" % (i // 2) for i in range(38)] + ["z", "z"],
+               d=["2024-01-02 is a day, not a date"] * 39 + ["03/04/2024"])
+    p = profile(df, O)
+    tops = {c: p[c].top for c in ("t", "u")}
+    for name, want in (("t", [head + "%02d" % (i + 1) for i in range(40)]),
+                       ("u", [head + "%02d" % i for i in range(19)] + ["z"])):
+        assert [v for v, _ in tops[name]] == want[:len(tops[name])]
+    assert p["d"].type == "Categorical" and p["d"].unique == 2
+    assert p["u"].unique == 20 and p["t"].unique == 40
+
+
+def test_long_texts_do_not_travel(spark):
+    text = F.concat(F.col("id").cast("string"), F.repeat(F.lit(" long text"), 400))
+    df = spark.range(500).select("id", text.alias("t"))
+    freq = frequencies(df, ["t"], Options(order_by="id").resolved())
+    rows = freq.select("key", "prefix", "n").collect()
+    assert len(rows) == 500 and all(r["key"] is None and len(r["prefix"]) <= 16 for r in rows)
+
+
+def test_the_source_is_cleaned_once(spark, tmp_path):
+    frame(spark, a=["1", "x", "3"], b=["p", "q", "q"]).write.parquet(str(tmp_path / "t"))
+    r = run_universal(spark.read.parquet(str(tmp_path / "t")), O)
+    assert str(tmp_path) not in "".join(r.clean.inputFiles())
+    r.close()
+
+
 def test_infinity_and_large_numbers(spark):
     big = 2 ** 53
     df = spark.sql(f"SELECT CAST(id AS INT) AS id, {big} + id AS big, CAST({big} + id AS DECIMAL(30,4))"
