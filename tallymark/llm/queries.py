@@ -163,3 +163,103 @@ QUALIFY row_number() OVER w <= 5
 @query
 def op13_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards.shard(table(spark, sf_dir, "documents"), shards=40)
+
+
+# The columns of the operators above that their contracts fix to the last value, with SQL.
+
+WORD = r"[^\x20\x09-\x0D]+"
+_WORDS = f"regexp_extract_all(coalesce(text, ''), '{WORD}')"
+
+
+@query
+def page_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_link_trust(spark, sf_dir).select("page_id", "host", "path", "rule")
+
+
+SQL["page_rules"] = f"""
+WITH r(rule) AS (VALUES {", ".join(f"('{rule}')" for rule, _ in URL_RULES)}),
+parts AS (SELECT rule, split_part(rule, '/', 1) AS rule_host, substr(rule, strpos(rule, '/')) AS rule_path FROM r),
+a AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS host FROM a),
+p AS (SELECT page_id, translate(host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(substr(rest, length(host) + 1), '^[^?#]*') AS path FROM h)
+SELECT page_id, host, path, (SELECT max_by(rule, length(rule)) FROM parts
+       WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)) AS rule FROM p
+"""
+
+
+@query
+def text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = robust_outliers.base_statistics(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+SQL["text_statistics"] = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+g AS (SELECT k, unnest(range(1, len(w) - 6)) AS i, w FROM d WHERE len(w) >= 8),
+s AS (SELECT k, i, count(*) OVER (PARTITION BY k, w[i:i + 7]) AS c FROM g),
+n AS (SELECT k, least(8, coalesce(lead(i) OVER (PARTITION BY k ORDER BY i) - i, 8)) AS own FROM s WHERE c > 1),
+m AS (SELECT k, sum(own)::BIGINT AS n_repeat_words FROM n GROUP BY k),
+b AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '{WORD}')] AS lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM d LEFT JOIN m USING (k)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, n_repeat_words,
+       n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b
+"""
+
+
+@query
+def shingle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_circulant_minhash(spark, sf_dir).select("doc_id", "n_shingles")
+
+
+SQL["shingle_counts"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS.replace("text", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents)
+SELECT doc_id, CASE WHEN len(w) < 3 THEN least(len(w), 1)
+       ELSE len(list_distinct([array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)])) END::BIGINT AS n_shingles FROM d
+"""
+
+
+@query
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_entropy_mix(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+SQL["mix_targets"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1] AS weight
+  FROM d GROUP BY source
+), f AS (
+  -- Sources are filled to twice their size until what is left, dealt by weight, fits under the rest.
+  SELECT 0 AS round, source, source_size, weight, false AS full_up FROM s
+  UNION ALL
+  SELECT round + 1, source, source_size, weight, full_up OR weight * spare / open_weight > 2 * source_size FROM (
+    SELECT *, 1.5 * sum(source_size) OVER () - coalesce(sum(2 * source_size) FILTER (full_up) OVER (), 0) AS spare,
+           sum(weight) FILTER (NOT full_up) OVER () AS open_weight FROM f
+  ) WHERE round <= (SELECT count(*) FROM s)
+), l AS (SELECT * FROM f WHERE round = (SELECT max(round) FROM f)),
+t AS (
+  SELECT source, source_size, CASE WHEN full_up THEN 2.0 * source_size ELSE weight *
+         (1.5 * sum(source_size) OVER () - coalesce(sum(2 * source_size) FILTER (full_up) OVER (), 0)) / sum(weight) FILTER (NOT full_up) OVER () END AS target
+  FROM l
+)
+SELECT doc_id, size, source_size, round(target::DOUBLE, 3) AS target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+"""
+
+
+@query
+def plain_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_decode_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+SQL["plain_secrets"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id,
+  len([x FOR x IN regexp_extract_all(t, '(?i)(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1) IF length(x) >= 6])::BIGINT AS n_assign,
+  len([x FOR x IN regexp_extract_all(t, 'AKIA[A-Z0-9]+') IF length(x) >= 20])::BIGINT AS n_access,
+  len([x FOR x IN regexp_extract_all(t, '[0-9a-f]+') IF length(x) >= 24])::BIGINT AS n_hex FROM d
+"""
