@@ -196,8 +196,8 @@ def text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["text_statistics"] = f"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
-g AS (SELECT k, unnest(range(1, len(w) - 6)) AS i, w FROM d WHERE len(w) >= 8),
-s AS (SELECT k, i, count(*) OVER (PARTITION BY k, w[i:i + 7]) AS c FROM g),
+g AS (SELECT k, unnest([{{'i': i, 'v': array_to_string(w[i:i + 7], ' ')}} FOR i IN range(1, len(w) - 6)]) AS x FROM d WHERE len(w) >= 8),
+s AS (SELECT k, x.i AS i, count(*) OVER (PARTITION BY k, x.v) AS c FROM g),
 n AS (SELECT k, least(8, coalesce(lead(i) OVER (PARTITION BY k ORDER BY i) - i, 8)) AS own FROM s WHERE c > 1),
 m AS (SELECT k, sum(own)::BIGINT AS n_repeat_words FROM n GROUP BY k),
 b AS (
