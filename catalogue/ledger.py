@@ -438,6 +438,21 @@ def _(spark, sf):
     return report.status_pivot(clean(spark, sf), total=True)
 
 
+_sums = "count(*) AS n, " + ", ".join(
+    f"{q.cents(f'coalesce(sum({c}), 0)')} AS {m}" for m, c in
+    (("amount", "Amount"), ("vat", "VAT_15"), ("inc", "Total_Inc_VAT"))
+) + ", count(*) FILTER (Flagged) AS flagged"
+
+
+@query("report_summary", ledger_sql(" UNION ALL ".join(
+    f"""SELECT '{group}' AS "group", {c} AS key, {_sums} FROM judged GROUP BY {c}"""
+    for group, c in (("status", "Status"), ("client", "Client_ID"), ("date", "Date")))
+    + f""" UNION ALL SELECT 'flag', f, {_sums} FROM (SELECT unnest(flag_list) AS f, Amount, VAT_15,
+  Total_Inc_VAT, Flagged FROM judged) x GROUP BY f"""))
+def _(spark, sf):
+    return ledger_run(spark, sf).summary().table()
+
+
 _orders = Options(order_by="o_orderkey", as_of=AS_OF)
 
 

@@ -19,6 +19,7 @@ from ..operators.marks import Marks, settle_marks
 from ..operators.profile import Profile, profile
 from ..operators.schema import MappedTable, map_columns
 from ..operators.staging import Settled, collected, discard, settle
+from ..operators.summary import Summary, summarise
 
 TYPED_DATES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -278,6 +279,13 @@ class LedgerRun:
         self.staged.extend(paths)
         return replace(self, clean=done)
 
+    def summary(self) -> Summary:
+        """Pivot, breakdown, trend, clients and totals from one pass over the rows."""
+        with collected() as paths:
+            done = summarise(self.clean)
+        self.staged.extend(paths)
+        return done
+
     def close(self) -> None:
         discard(self.clean.sparkSession, self.staged)
 

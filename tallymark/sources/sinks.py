@@ -6,7 +6,6 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import report
 from ..plans.ledger import LedgerRun
 
 HISTORY = ("Run", "Source File", "Mode", "Rows In", "Rows Out", "Columns", "Flagged", "Health %",
@@ -21,8 +20,9 @@ def export_clean(run, path: str, fmt: str = "parquet", **options) -> None:
 def report_tables(run) -> dict[str, DataFrame]:
     """The workbook's sheets as named tables."""
     if isinstance(run, LedgerRun):
-        return {"cleaned_data": run.display, "status_pivot": report.status_pivot(run.clean, True),
-                "run_metrics": run.metrics(), "flag_breakdown": run.breakdown()}
+        sums = run.summary()
+        return {"cleaned_data": run.display, "status_pivot": sums.status_pivot(True),
+                "run_metrics": run.metrics(), "flag_breakdown": sums.flag_breakdown()}
     p = run.profile
     return {"cleaned_dataset": run.display, "overview": run.metrics(), "column_types": p.table(),
             "numeric_statistics": p.numeric(), "categorical_statistics": p.categorical(),

@@ -10,6 +10,7 @@ from catalogue.fixture import ledger_raw
 from tallymark import Options, detect_mapping, dirty_ledger, is_ledger, run
 from tallymark.operators import explore, report
 from tallymark.operators.schema import clean_headers, norm_header
+from tallymark.operators.summary import summarise
 from tallymark.plans.ledger import flag_rows_locally, run_ledger
 
 DAY = dt.date(2001, 8, 1)
@@ -184,3 +185,28 @@ def test_strict_compat_audits_the_whole_display(spark, sf):
         copies = result.totals.first()["duplicate_rows"]
         # with the flags in the notes a copy no longer equals its original
         assert (copies > 0) != strict
+
+
+def test_summary_equals_the_single_tables(spark, sf):
+    with run_ledger(ledger_raw(spark, sf), Options(order_by="row_id", as_of=DAY)) as r:
+        done = r.settled()
+        clean, sums = done.clean, done.summary()
+        pairs = [(sums.revenue_totals(), report.revenue_totals(clean)),
+                 (sums.revenue_totals(False), report.revenue_totals(clean, False)),
+                 (sums.status_pivot(), report.status_pivot(clean)),
+                 (sums.status_pivot(True), report.status_pivot(clean, True)),
+                 (sums.flag_breakdown(), report.flag_breakdown(clean)),
+                 (sums.breakdown_share(), report.breakdown_share(clean)),
+                 (sums.daily_trend(), report.daily_trend(clean)),
+                 (sums.top_clients(), report.top_clients(clean))]
+        for got, want in pairs:
+            assert got.columns == want.columns and got.collect() == want.collect()
+            # none of them reads the wide rows again
+            assert not set(got.inputFiles()) & set(clean.inputFiles())
+
+
+def test_summary_of_no_rows(spark, sf):
+    with run_ledger(ledger_raw(spark, sf), Options(order_by="row_id", as_of=DAY)) as r:
+        empty = summarise(r.clean.limit(0))
+    assert empty.flag_breakdown().collect() == [] and empty.top_clients().collect() == []
+    assert tuple(empty.revenue_totals().first()) == (0.0, 0.0, 0.0)
