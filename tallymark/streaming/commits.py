@@ -9,10 +9,25 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 
+#: Runs of one level that are merged into one of the next.
+RUNS = 4
+Run = tuple[str, int]
+
+
+def levelled(runs: list[Run], merge: Callable[[list[Run], int], str], width: int = RUNS) -> list[Run]:
+    """The runs, with ``width`` of one level merged into one of the next, so that a state is rewritten
+    once a level and stays a handful of runs. ``merge`` writes the run of a level and names it."""
+    level = 0
+    while len(same := [r for r in runs if r[1] == level]) >= width:
+        runs = [r for r in runs if r[1] != level] + [(merge(same, level + 1), level + 1)]
+        level += 1
+    return runs
+
 
 @dataclass(frozen=True)
 class Snapshot:

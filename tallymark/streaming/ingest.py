@@ -27,10 +27,8 @@ from ..operators.staging import collected, discard, settle
 from ..plans.ledger import (add_marks, cross_facts, cross_groups,
                             flag_rows_locally, judge_rows, merged_groups, published, stored_rows)
 from ..sources.sinks import history_row
-from .commits import CommitLog
+from .commits import RUNS, CommitLog, levelled
 
-#: Runs of one level that are merged into one of the next.
-RUNS = 4
 ORDER = "_order"
 
 
@@ -104,12 +102,8 @@ def compacted(spark: SparkSession, out_path: str,
               runs: list[tuple[str, int]]) -> list[tuple[str, int]]:
     """The runs, with RUNS of one level merged into one of the next. The merged
     ones stay on disk for those who read an older commit, until ``vacuum``."""
-    level = 0
-    while len(same := [r for r in runs if r[1] == level]) >= RUNS:
-        merged = _write_run(_read_runs(spark, out_path, same), out_path, level + 1)
-        runs = [r for r in runs if r[1] != level] + [(merged, level + 1)]
-        level += 1
-    return runs
+    return levelled(runs, lambda same, level: _write_run(
+        _read_runs(spark, out_path, same), out_path, level), RUNS)
 
 
 def vacuum(spark: SparkSession, out_path: str) -> list[str]:

@@ -16,7 +16,8 @@ SOME = ("clean_text blank_rows parse_dates parse_amount vat status_fold proper_c
         "note_tokens flag_duplicate_entry flag_credit_limit_breach flag_same_day_duplicate "
         "dup_drop ledger_run pivot_grand_total breakdown_share run_metrics top_clients "
         "rule_counters rules_applied profile_table profile_table_documents audit_table "
-        "row_issues report_summary universal_run csv_scan dirty_ledger stream_flags").split()
+        "row_issues report_summary universal_run csv_scan dirty_ledger stream_flags "
+        "sketch_profile_events stream_profile").split()
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("TALLYMARK_ALL") else SOME
 
 
