@@ -270,7 +270,7 @@ def _(spark, sf):
     out = scratch(spark, "ingest")
     ingest_stream(spark, path, schema, out, scratch(spark, "progress"),
                   OPTIONS).awaitTermination()
-    return ingested(spark, out, OPTIONS)[1].select("Mode", "Rows In", "Rows Out", "Flagged")
+    return ingested(spark, out, OPTIONS).history.select("Mode", "Rows In", "Rows Out", "Flagged")
 
 
 _cross = ("DUPLICATE ENTRY", "CREDIT LIMIT BREACH", "SAME-DAY DUPLICATE")

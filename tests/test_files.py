@@ -6,7 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from catalogue import files  # noqa: F401
 from catalogue.fixture import ledger_raw
+from catalogue.ledger import OPTIONS, QUERIES
 from tallymark import Options, run
 from tallymark.sources import delimited, sinks
 from tallymark.streaming import ingest
@@ -158,6 +160,12 @@ def test_stream_picks_up_each_drop_once(spark, sf, tmp_path):
     assert history.count() == 2 and clean.select("row_id").distinct().count() == clean.count()
 
 
+def test_history_of_a_stream_counts_its_rows(spark, sf):
+    got = QUERIES["stream_history"](spark, sf).collect()
+    m = run(ledger_raw(spark, sf), OPTIONS).metrics().first()
+    assert [tuple(r) for r in got] == [("Sales", m["rows_in"], m["rows_out"], m["flagged"])]
+
+
 LEDGER = "id int, date string, client string, status string, amount double, credit_limit double"
 
 
