@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions.text import quoted
 from tallymark.operators import report
-from tallymark.operators.staging import shared_folder
+from tallymark.operators.staging import FILE_ROWS, shared_folder
 from tallymark.plans.ledger import run_ledger
 from tallymark.sources import delimited, dirty, sinks
 from tallymark.streaming.ingest import flag_stream, ingest_stream, ingested
@@ -163,6 +163,17 @@ def _(spark, sf):
 _note = "o_orderstatus || chr(10) || '\"' || o_orderpriority || '\", ' || chr(10)"
 
 
+#: Splits of numbered files at most, but for the last of each file: the driver holds something of every task.
+SPLITS = 1000
+
+
+def split_bytes(spark, path: str, least: int = 64 << 10) -> int:
+    """The size of a split: ``least``, until the folder's files would have more than SPLITS of them."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+    return max(least, -(-whole // SPLITS))
+
+
 @query("csv_line_numbers", f"""SELECT CAST(o_orderkey AS VARCHAR) AS number, {_note} AS note,
   CAST(o_orderkey % 3 AS VARCHAR) AS file,
   row_number() OVER (PARTITION BY o_orderkey % 3 ORDER BY o_orderkey) - 1 AS row FROM orders""")
@@ -175,7 +186,7 @@ def _(spark, sf):
          .write.option("escape", '"').option("ignoreTrailingWhiteSpace", False).option("lineSep", "\n")
          .csv(f"{path}/m{m}", header=True))
     size = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes(spark, path)))
     try:
         rows = delimited.stage_delimited(spark, f"{path}/*", out, sep=",", encoding="UTF-8",
                                          multiline=True)
@@ -220,26 +231,41 @@ def _(spark, sf):
 
 
 # --- streaming ---------------------------------------------------------------
-def _drop(spark, sf) -> tuple[str, object]:
-    """The dirty ledger as a folder of files, as they would arrive: one after
-    the other, in the order of their keys."""
+def write_drops(rows, part, parts: int, path: str) -> int:
+    """Each part of the rows (``part`` numbers them) as a drop of files in one folder, one drop after the other;
+    returns the files of a drop. Each has as many, so that ``maxFilesPerTrigger`` takes whole drops, and no
+    task writes or reads a whole drop."""
+    counts = dict(rows.groupBy(part.cast("int").alias("part")).count().collect())
+    files = max(1, max(counts.values(), default=0) // FILE_ROWS)
+    # Where a drop has too few rows for its share of files, every drop is one file.
+    files = files if all(counts.get(i, 0) >= FILE_ROWS // 10 * files for i in range(parts)) else 1
+    for i in range(parts):
+        drop = rows.filter(part == i)
+        (drop.repartition(files) if files > 1 else drop.coalesce(1)).write.mode("append").parquet(path)
+    found = len(rows.sparkSession.read.schema(rows.schema).parquet(path).inputFiles())
+    if files > 1 and found != files * parts:
+        raise ValueError(f"{parts} drops of {files} files each were written as {found} files")
+    return files
+
+
+def _drop(spark, sf) -> tuple[str, object, int]:
+    """The dirty ledger as a folder of files, as they would arrive: one drop after
+    the other, in the order of their keys; and the files of a drop."""
     path = scratch(spark, "drop")
     rows = ledger_raw(spark, sf)
     last = rows.agg(F.max("row_id")).first()[0]
-    for quarter in range(4):
-        part = rows.filter(F.floor(F.col("row_id") * 4 / (last + 1)) == quarter)
-        part.coalesce(1).write.mode("append").parquet(path)
-    return path, rows.schema
+    files = write_drops(rows, F.floor(F.col("row_id") * 4 / (last + 1)), 4, path)
+    return path, rows.schema, files
 
 
 @query("stream_ingest", ledger_sql("""SELECT row_id, Date, Client_ID, Status, Amount, flags
   FROM judged"""))
 def _(spark, sf):
-    """One file a batch: what compares rows is judged over all batches."""
-    path, schema = _drop(spark, sf)
+    """One drop a batch: what compares rows is judged over all batches."""
+    path, schema, files = _drop(spark, sf)
     out = scratch(spark, "ingest")
     ingest_stream(spark, path, schema, out, scratch(spark, "progress"), OPTIONS,
-                  maxFilesPerTrigger=1).awaitTermination()
+                  maxFilesPerTrigger=files).awaitTermination()
     rows, _ = ingested(spark, out, OPTIONS)
     return flat(rows).select("row_id", "Date", "Client_ID", "Status", "Amount", "flags")
 
@@ -266,7 +292,7 @@ def _(spark, sf):
 @query("stream_history", ledger_sql("""SELECT 'Sales' AS "Mode", (SELECT count(*) FROM ledger_raw)
   AS "Rows In", count(*) AS "Rows Out", count(*) FILTER (Flagged) AS "Flagged" FROM judged"""))
 def _(spark, sf):
-    path, schema = _drop(spark, sf)
+    path, schema, _ = _drop(spark, sf)
     out = scratch(spark, "ingest")
     ingest_stream(spark, path, schema, out, scratch(spark, "progress"),
                   OPTIONS).awaitTermination()
@@ -280,7 +306,7 @@ _cross = ("DUPLICATE ENTRY", "CREDIT LIMIT BREACH", "SAME-DAY DUPLICATE")
   lambda x: x NOT IN {q.words(_cross)}), '|') AS flags FROM judged"""))
 def _(spark, sf):
     """Row-local rules directly on a stream, written to a file sink."""
-    path, schema = _drop(spark, sf)
+    path, schema, _ = _drop(spark, sf)
     out = scratch(spark, "flags")
     stream = spark.readStream.schema(schema).parquet(path)
     (flag_stream(stream, OPTIONS).writeStream.format("parquet").option("path", out)

@@ -11,7 +11,7 @@ from tallymark.plans.universal import sanitise
 from tallymark.streaming.profiled import profile_stream, stream_profile
 
 from . import sqltext as q
-from .files import scratch
+from .files import scratch, write_drops
 from .fixture import ledger_raw
 from .ledger import query
 from .universal import DOCUMENTS, EVENTS, LEDGER, ORDERS, Source, profile_sql, profiled
@@ -75,9 +75,8 @@ def _(spark, sf):
 def _(spark, sf):
     """The dirty ledger in five drops; four of their states are merged on the way."""
     path, out, rows = scratch(spark, "drop"), scratch(spark, "states"), ledger_raw(spark, sf)
-    for part in range(5):
-        rows.filter(F.pmod("row_id", F.lit(5)) == part).coalesce(1).write.mode("append").parquet(path)
+    files = write_drops(rows, F.pmod("row_id", F.lit(5)), 5, path)
     profile_stream(spark, path, rows.schema, out, scratch(spark, "progress"), LEDGER.options,
-                   maxFilesPerTrigger=1).awaitTermination()
+                   maxFilesPerTrigger=files).awaitTermination()
     clean = sanitise(rows, LEDGER.options)
     return in_bounds(clean, stream_profile(spark, out), profiled(spark, sf, LEDGER), LEDGER)

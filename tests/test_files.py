@@ -6,10 +6,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from catalogue import files  # noqa: F401
+from catalogue import files
 from catalogue.fixture import ledger_raw
 from catalogue.ledger import OPTIONS, QUERIES
 from tallymark import Options, run
+from tallymark.operators.staging import spread
 from tallymark.sources import delimited, sinks
 from tallymark.streaming import ingest
 from tallymark.streaming.commits import CommitLog
@@ -246,3 +247,36 @@ def test_runs_of_the_state_are_merged_by_level(spark, tmp_path, monkeypatch):
     CommitLog(spark, str(tmp_path)).publish(6, runs)
     assert len(ingest.vacuum(spark, str(tmp_path))) == 7 + 4 - 3
     assert ingest._read_runs(spark, str(tmp_path), runs).count() == 1
+
+
+def test_splits_grow_with_the_files(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.csv").write_text("x" * 300_000)
+    assert files.split_bytes(spark, str(tmp_path)) == 64 << 10
+    monkeypatch.setattr(files, "SPLITS", 2)
+    assert files.split_bytes(spark, str(tmp_path)) >= 150_000
+
+
+def test_drops_of_several_files_keep_their_order(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "FILE_ROWS", 100)
+    rows = ledger_raw(spark, sf)
+    last = rows.agg(F.max("row_id")).first()[0]
+    quarter = F.floor(F.col("row_id") * 4 / (last + 1))
+    path = str(tmp_path / "drop")
+    n = files.write_drops(rows, quarter, 4, path)
+    assert n > 1, "a drop is spread over files, so that no task has all of it"
+    places = spark.read.parquet(path).select(quarter.alias("q"), F.col("_metadata.file_path").alias("f"),
+                                             F.col("_metadata.file_modification_time").alias("at"))
+    found = places.groupBy("f").agg(F.min("q").alias("q"), F.max("q").alias("upto"), F.max("at").alias("at")).collect()
+    assert len(found) == 4 * n and all(r["q"] == r["upto"] for r in found)
+    byq = {q: [r["at"] for r in found if r["q"] == q] for q in range(4)}
+    assert all(len(v) == n for v in byq.values()) and all(max(byq[q]) <= min(byq[q + 1]) for q in range(3))
+    assert spark.read.parquet(path).exceptAll(rows).isEmpty() and spark.read.parquet(path).count() == rows.count()
+    few = rows.filter("row_id < 100")
+    assert files.write_drops(few, quarter, 4, str(tmp_path / "few")) == 1
+
+
+def test_a_spread_table_has_files_of_few_rows(spark):
+    df = spark.range(1000, numPartitions=1).withColumn("v", F.lit("a"))
+    got = spread(df, rows=100)
+    assert len(got.inputFiles()) == 10 and got.count() == 1000 and got.select("id").distinct().count() == 1000
+    assert spread(df.filter("id < 0"), rows=100).count() == 0
