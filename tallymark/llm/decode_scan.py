@@ -6,10 +6,9 @@ or bzip2 data give further layers, each with a map from its characters to the
 original ones, so that a find has a span in the original text. Base64 may begin anywhere in a
 run (after a path or a name), so all four alignments are decoded, and runs that
 line breaks part are taken joined and one by one; compressed data may begin at any byte of
-these. Bytes that are no UTF-8 are scanned as Latin-1. Compressed data is unpacked and scanned in
-pieces, cut where no secret or code can go on, so that memory is bounded and all of it is read. A layer whose content and place
-were seen is not taken again, so cycles end. Where LONGEST unpacked bytes have no place to cut, pieces overlap
-by OVERLAP bytes and the cut is counted in n_skipped, as what goes on for longer is then read in parts.
+these, and in compressed data itself. Bytes that are no UTF-8 are scanned as Latin-1. Compressed data is unpacked and scanned in
+pieces, cut only where no secret or code can go on; what has no such place is one piece, however long, so nothing is left out
+and n_skipped is 0. A layer whose content and place were seen is not taken again, so cycles end.
 
 Null texts are empty. Every row gives one row, repeated ones too; other columns
 are not read; an empty table gives an empty result. Spans are in code points,
@@ -43,10 +42,11 @@ _BASE64 = re.compile(r"(?:[A-Za-z0-9+/_-]++(?<!-----)[\x20\t]*\r?\n[\x20\t]*)?[A
 _PACKED = re.compile(rb"BZh[1-9]1AY&SY|\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 _LONG_WORD = re.compile(r"[A-Za-z0-9+/_-]{16}")
 _HINT = re.compile(r"passw|secret|token|api_?key", re.A | re.I)
-#: Bytes that are unpacked at a time; bytes of a piece without a place to cut, and what is then read again.
-PIECE, LONGEST, OVERLAP = 1 << 20, 1 << 22, 1 << 16
-#: Places in bytes that no secret, escape or base64 run crosses, in this layer or in one made of it.
-_CUT = re.compile(rb"[,;()!?<>\[\]&#*|~@$^\x00]|[.:\"'`]\r?\n|\n\n")
+#: Bytes that are unpacked at a time; the bytes of the longest mark of _PACKED.
+PIECE, _LONGEST_MARK = 1 << 20, 10
+#: Places in bytes that no secret, escape or base64 run crosses, in this layer or in one made of it: also a
+#: space between letters, of which the first ends no escape.
+_CUT = re.compile(rb"[,;()!?<>\[\]&#*|~@$^\x00]|[.:\"'`]\r?\n|\n\n|(?<=[G-Zg-z])\x20(?=[A-Za-z])")
 
 Span = tuple[int, int, int]
 
@@ -158,42 +158,113 @@ def _unicode(layer: Layer) -> Layer | None:
     return Layer("".join(text) + layer.text[at:], first + s, last + e)
 
 
-def _unpacked(raw: bytes) -> Iterator[bytes]:
-    """The content of compressed bytes, PIECE at most at a time, to their end or the first error; parts that follow on are one stream."""
-    mark = raw[:3]
-    while raw[:2] == mark[:2]:
-        box = bz2.BZ2Decompressor() if mark == b"BZh" else zlib.decompressobj(47)
+class _Packed:
+    """A compressed stream, fed in any parts: its content, and that of compressed bytes within it, as texts that no
+    secret or code crosses. Content is read to its end or the first error; parts that follow on are one stream."""
+
+    def __init__(self, mark: bytes, above: frozenset[bytes] = frozenset()):
+        self.mark, self.above, self.box, self.fed = mark[:3], above, None, False
+        self.dead, self.left, self.tail, self.within = False, b"", b"", []
+        self.held, self.looked = bytearray(), 0
+
+    def feed(self, raw: bytes) -> Iterator[str]:
+        if not self.fed:
+            # Bytes whose content begins with themselves would never end.
+            self.fed, key = True, hashlib.sha256(raw).digest()
+            self.dead, self.above = key in self.above, self.above | {key}
+        for out in self._content(raw):
+            yield from self._inner(out)
+            yield from self._whole(out)
+
+    def finish(self) -> Iterator[str]:
+        for inner in self.within:
+            yield from inner.finish()
+        if self.held:
+            yield _text(bytes(self.held))
+
+    def _content(self, raw: bytes) -> Iterator[bytes]:
+        """PIECE bytes at most at a time."""
+        raw, self.left = self.left + raw, b""
+        while raw and not self.dead:
+            if self.box is None:
+                if len(raw) < 2:
+                    self.left = raw
+                    return
+                if raw[:2] != self.mark[:2]:
+                    self.dead = True
+                    return
+                self.box = bz2.BZ2Decompressor() if self.mark == b"BZh" else zlib.decompressobj(47)
+            yield from self._member(raw)
+            if self.dead or not self.box.eof:
+                return
+            raw, self.box = self.box.unused_data, None
+
+    def _member(self, raw: bytes) -> Iterator[bytes]:
+        box, blocks = self.box, self.mark == b"BZh"
         while not box.eof:
+            before = None if blocks else box.copy()
             try:
                 out = box.decompress(raw, PIECE)
             except (OSError, ValueError, zlib.error):
+                self.dead = True
+                yield from () if blocks else _before_error(before, raw)
                 return
-            if not out and not box.eof:
+            if out:
+                yield out
+            raw = b"" if blocks else box.unconsumed_tail
+            if not box.eof and (box.needs_input if blocks else not raw and len(out) < PIECE):
                 return
-            yield out
-            raw = b"" if mark == b"BZh" else box.unconsumed_tail
-        raw = box.unused_data
-
 
-def _pieces(raw: bytes, found: Found) -> Iterator[str]:
-    """Compressed bytes as texts that no secret or code crosses."""
-    held = b""
-    for out in _unpacked(raw):
-        held += out
-        if len(held) < PIECE:
-            continue
+    def _inner(self, out: bytes) -> Iterator[str]:
+        for inner in self.within:
+            yield from inner.feed(out)
+            if inner.dead:
+                yield from inner.finish()
+        self.within = [x for x in self.within if not x.dead]
+        seen, window = len(self.tail), self.tail + out
+        for m in _PACKED.finditer(window):
+            if m.end() > seen:
+                inner = _Packed(m[0], self.above)
+                yield from inner.feed(window[m.start():])
+                if inner.dead:
+                    yield from inner.finish()
+                else:
+                    self.within.append(inner)
+        self.tail = window[1 - _LONGEST_MARK:]
+
+    def _whole(self, out: bytes) -> Iterator[str]:
+        self.held += out
+        if len(self.held) < PIECE:
+            return
         cut = 0
-        for m in _CUT.finditer(held, max(0, len(held) - PIECE)):
-            cut = m.end()
+        for m in _CUT.finditer(bytes(self.held[self.looked:])):
+            cut = self.looked + m.end()
         if cut:
-            yield _text(held[:cut])
-            held = held[cut:]
-        elif len(held) >= LONGEST:
-            found.skipped += 1
-            yield _text(held)
-            held = held[-OVERLAP:]
-    if held:
-        yield _text(held)
+            yield _text(bytes(self.held[:cut]))
+            del self.held[:cut]
+        self.looked = 0 if cut else max(0, len(self.held) - 2)
+
+
+def _before_error(box, raw: bytes) -> Iterator[bytes]:
+    """What a stream holds before the byte that breaks it."""
+    out = bytearray()
+    try:
+        for i in range(len(raw)):
+            out += box.decompress(raw[i:i + 1])
+            if len(out) >= PIECE:
+                yield bytes(out)
+                out.clear()
+    except zlib.error:
+        pass
+    if out:
+        yield bytes(out)
+
+
+def _pieces(raw: bytes, found: Found) -> Iterator[str]:
+    """Compressed bytes as texts that no secret or code crosses, those of compressed bytes within them too."""
+    packed = _Packed(raw[:3])
+    yield from packed.feed(raw)
+    yield from packed.finish()
 
 
 def _runs(text: str) -> Iterator[tuple[str, list[int] | range]]:

@@ -134,3 +134,30 @@ def test_pieces_cut_nothing():
         decode_scan.PIECE = kept
     assert "".join(pieces) == text and len(pieces) > 20 and found.skipped == 0
     assert sum(len(secrets(x)) for x in pieces) == len(secrets(text))
+
+
+def test_compressed_within_compressed():
+    secret = b"x password=hunter2abc y"
+    for packed in (gzip.compress(gzip.compress(secret)), bz2.compress(b"ab" + zlib.compress(secret)),
+                   zlib.compress(bz2.compress(gzip.compress(secret)) + b"tail")):
+        text = "see " + base64.b64encode(packed).decode() + " end"
+        assert any(kind == 0 for _, kind, _ in scan(text).spans)
+
+
+def test_content_before_an_error_is_read():
+    packed = bytearray(gzip.compress(b"x password=hunter2abc y" * 3))
+    packed[-8] ^= 1   # the checksum
+    assert any(kind == 0 for _, kind, _ in scan(base64.b64encode(bytes(packed)).decode()).spans)
+
+
+def test_long_content_without_a_place_to_cut_is_one_piece():
+    kept = decode_scan.PIECE
+    try:
+        decode_scan.PIECE = 1_000
+        text, found = "a1" * 50_000, Found()   # a run that four times PIECE would have parted
+        assert list(decode_scan._pieces(gzip.compress(text.encode()), found)) == [text] and found.skipped == 0
+        words = "some words of prose " * 2_000
+        pieces = list(decode_scan._pieces(gzip.compress(words.encode()), found))
+        assert "".join(pieces) == words and max(map(len, pieces)) < 3_000
+    finally:
+        decode_scan.PIECE = kept
