@@ -210,3 +210,14 @@ def test_summary_of_no_rows(spark, sf):
         empty = summarise(r.clean.limit(0))
     assert empty.flag_breakdown().collect() == [] and empty.top_clients().collect() == []
     assert tuple(empty.revenue_totals().first()) == (0.0, 0.0, 0.0)
+
+
+def test_profile_and_audit_read_rows_that_are_cleaned_once(spark, tmp_path):
+    dirty_ledger(spark, 220).write.parquet(str(tmp_path / "raw"))
+    options = Options(order_by="row_id", as_of=dt.date(2025, 10, 1))
+    with run(spark.read.parquet(str(tmp_path / "raw")), options) as r:
+        seen, found = r.profile(), r.audit()
+        assert not [f for f in found.rows.inputFiles() if str(tmp_path) in f]
+        assert found.totals.first()["rows"] == seen.columns[0].rows == 226
+        assert sorted(found.rows.columns) == sorted({*found.rows.columns, *r.auditable().columns})
+        assert r.audited().exceptAll(r.auditable()).isEmpty()
