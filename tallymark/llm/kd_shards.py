@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import settle, small
 
@@ -100,17 +100,6 @@ class _Search:
     high: int = 0
     below: float = 0.0
 
-    @property
-    def name(self) -> str:
-        return self.names[len(self.fixed)]
-
-    def holds(self) -> Column:
-        here = (F.col("leaf") == self.node) & F.col(self.name).between(self.low, self.high)
-        return reduce(lambda a, b: a & b, [F.col(n) == v for n, v in zip(self.names, self.fixed, strict=False)], here)
-
-    def slice(self) -> Column:
-        return F.expr(f"({self.name} - {self.low}L) div {(self.high - self.low) // SLICES + 1}L")
-
     def narrow(self, slices: list) -> Key | None:
         """slices: (weight, least, greatest, rows) in order. The cut's key once it is known."""
         total = self.below
@@ -137,16 +126,35 @@ def _extents(rows: DataFrame, dims: Sequence[str]) -> dict[int, dict]:
     return {r["leaf"]: r.asDict() for r in rows.groupBy("leaf").agg(F.sum("size").alias("bytes"), *sides).collect()}
 
 
-def _cuts(rows: DataFrame, searches: list[_Search]) -> dict[int, Key]:
-    """The key of each search's cut."""
+def _rows(spark: SparkSession, names: Sequence[str], values: Sequence[tuple[int, ...]]) -> DataFrame:
+    """A handful of whole numbers as a broadcast table, so that plans are alike whatever the numbers are:
+    a plan that holds them as literals is compiled anew for each round, and stays in the driver."""
+    laid = ", ".join(f"({', '.join(f'{v}L' for v in r)})" for r in values)
+    return F.broadcast(spark.sql(f"SELECT * FROM VALUES {laid} AS t({', '.join(names)})"))
+
+
+def _key(dims: Sequence[str]) -> list[Column]:
+    """What a cut goes through: the coordinate whose place is in `dim`, then the ties."""
+    return [F.element_at(F.array(*dims), F.col("dim").cast("int")), *[F.col(t) for t in TIES]]
+
+
+def _cuts(rows: DataFrame, dims: Sequence[str], searches: list[_Search]) -> dict[int, Key]:
+    """The key of each search's cut, by histograms of the parts (column leaf) that are cut."""
     found: dict[int, Key] = {}
+    fixed = [f"fixed_{k}" for k in range(len(TIES))]
+    names = ["leaf", "s", "dim", "depth", *fixed, "low", "high", "width"]
     while searches:
-        number = F.coalesce(*[F.when(s.holds(), F.lit(k)) for k, s in enumerate(searches)])
-        held = rows.withColumn("s", number).where("s is not null")
-        part = F.coalesce(*[F.when(F.col("s") == k, s.slice()) for k, s in enumerate(searches)])
-        value = F.coalesce(*[F.when(F.col("s") == k, F.col(s.name)) for k, s in enumerate(searches)])
-        sums = held.groupBy("s", part.alias("part")).agg(
-            F.sum("size").alias("w"), F.min(value).alias("lo"), F.max(value).alias("hi"), F.count("*").alias("n"))
+        asked = _rows(rows.sparkSession, names, [
+            (s.node, k, dims.index(s.names[0]) + 1, len(s.fixed), *(*s.fixed, *[0] * len(TIES))[: len(TIES)], s.low, s.high,
+             (s.high - s.low) // SLICES + 1) for k, s in enumerate(searches)])
+        key = _key(dims)
+        value = F.element_at(F.array(*key), F.col("depth").cast("int") + 1)
+        same = [(F.col("depth") <= k) | (key[k] == F.col(name)) for k, name in enumerate(fixed)]
+        held = rows.join(asked, "leaf").select("s", "size", "low", "high", "width", value.alias("value"),
+                                               reduce(lambda a, b: a & b, same).alias("same"))
+        part = F.expr("(value - low) div width")
+        sums = held.where("same AND value BETWEEN low AND high").groupBy("s", part.alias("part")).agg(
+            F.sum("size").alias("w"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("n"))
         # At most SLICES + 1 rows for each node of a level.
         slices: dict[int, list] = {}
         for r in sorted(sums.collect(), key=lambda r: (r["s"], r["part"])):
@@ -162,12 +170,24 @@ def _cuts(rows: DataFrame, searches: list[_Search]) -> dict[int, Key]:
     return found
 
 
+def _descend(rows: DataFrame, dims: Sequence[str], cut: Sequence[Node]) -> DataFrame:
+    """rows, each in that side of its part (column leaf) that it is in; parts that are not cut stay."""
+    bounds = [f"cut_{k}" for k in range(len(TIES) + 1)]
+    sides = _rows(rows.sparkSession, ["leaf", "dim", *bounds, "right"],
+                  [(n.first, dims.index(n.dim) + 1, *n.cut, n.right.first) for n in cut])
+    less, same = F.lit(False), F.lit(True)
+    for value, bound in zip(_key(dims), bounds, strict=True):
+        less, same = less | (same & (value < F.col(bound))), same & (value == F.col(bound))
+    at = F.when(F.col("right").isNull() | less, F.col("leaf")).otherwise(F.col("right"))
+    return rows.join(sides, "leaf", "left").select(at.alias("leaf"), *[c for c in rows.columns if c != "leaf"])
+
+
 def grow(rows: DataFrame, dims: Sequence[str], shards: int) -> Node:
     """The tree whose leaves are the shards."""
     root = Node(0, shards - 1)
     whole: dict = {}
+    at = rows.select(F.lit(0).cast("bigint").alias("leaf"), "size", *dims, *TIES)
     while open_ := [n for n in root.ends() if n.first < n.last]:
-        at = rows.withColumn("leaf", root.leaf())
         sides = _extents(at, dims)
         whole = whole or sides.get(0, {})
         searches, wanted = [], {}
@@ -183,8 +203,11 @@ def grow(rows: DataFrame, dims: Sequence[str], shards: int) -> Node:
             searches.append(_Search(n.first, [n.dim, *TIES], own["bytes"] * (count // 2) / count,
                                     low=own[f"min_{n.dim}"], high=own[f"max_{n.dim}"]))
             wanted[n.first] = n
-        for first, key in _cuts(at, searches).items():
+        for first, key in _cuts(at, dims, searches).items():
             wanted[first].cut = key
+        if any(n.first < n.last for n in root.ends()):
+            # The narrow columns are written once a level: the next level reads its parts instead of the tree.
+            at = settle(_descend(at, dims, open_), "parts")
     return root
 
 

@@ -108,3 +108,17 @@ def test_odd_rows(spark, tmp_path):
     assert sorted((r.doc_id, r.shard) for r in back.select("doc_id", "shard").collect()) == sorted((r.doc_id, r.shard) for r in plan.collect())
     words = spark.createDataFrame([("a", "x"), ("b", "y"), (None, "z")], "doc_id string, text string")
     assert sorted(r["size"] for r in kd_shards.shard(words, 2).collect()) == [17, 17, 17]
+
+
+def test_rounds_share_their_plans(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows, dims = kd_shards.points(docs, "doc_id", "text", ("source", "lang"))
+    plans, extents = [], kd_shards._extents
+
+    def watched(at, dims):
+        plans.append(len(at._jdf.queryExecution().optimizedPlan().toString()))
+        return extents(at, dims)
+
+    monkeypatch.setattr(kd_shards, "_extents", watched)
+    kd_shards.grow(rows, dims, 40)
+    assert len(plans) == 6 and max(plans) < 3 * min(plans), "a level's plan must not hold the tree above it"
