@@ -179,3 +179,22 @@ def test_labels_are_compiled(spark):
                                      "_breach boolean, Email string, Phone string, _listed boolean")
     plan = rows.select(flags_column(ctx))._jdf.queryExecution().optimizedPlan().toString()
     assert "lambda" not in plan
+
+
+def test_tidy_cells_need_no_second_trim(spark):
+    cells = ["", " a ", "o'hara  x (pty) ltd", "past - due", "N/A", " é  ß-b", "a\tb\n", "\x1ca", "A_b c", "x 　y", None]
+    for fn in (text.client_id, text.reference, text.status, text.email, text.proper_name):
+        want = values(spark, lambda c, f=fn: f(text.tidy(c)), cells)
+        assert values(spark, lambda c, f=fn: f(text.tidy(c), is_tidy=True), cells) == want
+    assert values(spark, text.strip_cell, cells) == values(spark, text.strip, cells)
+    plan = spark.range(1).select(text.tidy(F.col("id").cast("string")).alias("t")).select(
+        text.client_id(F.col("t"), True), text.reference(F.col("t"), True))
+    assert plan._jdf.queryExecution().analyzed().toString().lower().count("trim(") == 1, "tidy's own"
+
+
+def test_title_case_of_ascii_reads_no_array(spark):
+    cells = ["o'hara  building", "x-y.z 3rd", "mcDONALD", "éa b'c", "a\x00b", "", None, "'a", "a'"]
+    want = ["O'Hara  Building", "X-Y.Z 3Rd", "Mcdonald", "Éa B'C", "A\x00B", "", None, "'A", "A'"]
+    assert values(spark, text.title_case, cells) == want
+    marked = spark.range(1).select(text.title_case(F.lit("o'hara").substr(F.lit(1), F.col("id").cast("int") + 6)).alias("t"))
+    assert "initcap(regexp_replace" in marked._jdf.queryExecution().analyzed().toString()

@@ -221,3 +221,38 @@ def test_profile_and_audit_read_rows_that_are_cleaned_once(spark, tmp_path):
         assert found.totals.first()["rows"] == seen.columns[0].rows == 226
         assert sorted(found.rows.columns) == sorted({*found.rows.columns, *r.auditable().columns})
         assert r.audited().exceptAll(r.auditable()).isEmpty()
+
+
+def test_ledger_raw_comes_from_one_pass(spark, sf):
+    from catalogue import fixture
+    got = ledger_raw(spark, sf)
+    spark.sql(fixture._ROWS).createOrReplaceTempView("spread_rows")
+    cte = fixture.LEDGER_CTE.replace(f"source_rows AS ({fixture._ROWS})", "source_rows AS (SELECT * FROM spread_rows)")
+    want = spark.sql(f"WITH {cte} SELECT * FROM ledger_raw".replace('"', "`"))
+    assert got.dtypes == want.dtypes and got.count() == want.count()
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    made = spark.sql(fixture._ONE_PASS.replace('"', "`"))._jdf.queryExecution().executedPlan().toString()
+    assert made.count("FileScan") == 2 and "Union" not in made
+
+
+def test_settled_cells_have_no_dictionary(spark):
+    import pyarrow.parquet as pq
+
+    from tallymark.operators.staging import settle
+    done = settle(spark.range(1000).select((F.col("id") % 3).cast("string").alias("v"))).df
+    assert {r["v"] for r in done.collect()} == {"0", "1", "2"}
+    for f in done.inputFiles():
+        held = pq.ParquetFile(f.removeprefix("file://")).metadata.row_group(0).column(0)
+        assert not held.has_dictionary_page
+
+
+def test_metrics_of_a_drop_count_the_filled_rows_once(spark, sf):
+    run_ = run_ledger(ledger_raw(spark, sf), Options(order_by="row_id", as_of=DAY, drop_duplicates=True))
+    got, filled = run_.metrics(), run_.filled.count()
+    assert run_.filled_rows == filled
+    row = got.first()
+    assert (row["blank_dropped"], row["dup_dropped"]) == (row["rows_in"] - filled, filled - row["rows_out"])
+    again = dataclasses.replace(run_, filled_rows=None).metrics()
+    assert again.collect() == got.collect()
+    scans = [m._jdf.queryExecution().optimizedPlan().toString().count("Relation [") for m in (got, again)]
+    assert scans[0] < scans[1]
