@@ -6,6 +6,8 @@ import statistics
 from pyspark.sql import functions as F
 
 from tallymark import Options, audit, profile, run, run_universal, standardise
+from tallymark.operators import profile as profiles
+from tallymark.operators.audit import label_rows
 from tallymark.operators.profile import frequencies
 
 O = Options(order_by="id", as_of=dt.date(2025, 1, 1))
@@ -93,6 +95,31 @@ def test_the_source_is_cleaned_once(spark, tmp_path):
     r.close()
 
 
+def test_what_is_counted_is_told_once(spark, tmp_path):
+    values = ["1", "2", "2", "3", "900"] * 20 + ["x", None]
+    df = frame(spark, v=values, w=["a", "b"] * 51)
+    df.write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    prof = profile(df, O)
+    rows, told = label_rows(df, prof, O)
+    # The counts read the narrow rows that were settled, not the source again.
+    assert all("/t/" not in f for f in told.inputFiles()) and told.inputFiles()
+    want = [(len(r.issues) > 0, "DUPLICATE ROW" in r.issues, "OUTLIER: v" in r.issues) for r in rows.collect()]
+    assert sorted((r.issue or r._repeat, r._repeat, r.o0) for r in told.collect()) == sorted(want)
+    assert [sum(w) for w in zip(*want)] == [96, 92, 20]
+
+
+def test_short_winners_need_no_fetch(spark, monkeypatch):
+    asked = []
+    texts = profiles._texts
+    monkeypatch.setattr(profiles, "_texts", lambda df, columns, among, *a: asked.append(among) or texts(df, columns, among, *a))
+    df = frame(spark, a=["Åb", "Åb", " c", "c"] * 3, b=["x" * 15 + c for c in "abab"] * 3)
+    p = profile(df, O)
+    assert p["a"].top == [("Åb", 6), (" c", 3), ("c", 3)]
+    assert p["b"].top == [("x" * 15 + "a", 6), ("x" * 15 + "b", 6)]
+    assert asked == [{"c1"}]
+
+
 def test_infinity_and_large_numbers(spark):
     big = 2 ** 53
     df = spark.sql(f"SELECT CAST(id AS INT) AS id, {big} + id AS big, CAST({big} + id AS DECIMAL(30,4))"
