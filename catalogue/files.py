@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions.text import quoted
 from tallymark.operators import report
-from tallymark.operators.staging import FILE_ROWS, shared_folder
+from tallymark.operators.staging import FILE_ROWS, discard, shared_folder
 from tallymark.plans.ledger import run_ledger
 from tallymark.sources import delimited, dirty, sinks
 from tallymark.streaming.ingest import flag_stream, ingest_stream, ingested
@@ -285,6 +285,7 @@ def _(spark, sf):
     for _ in range(2):
         rows.write.mode("append").parquet(path)
         ingest_stream(spark, path, rows.schema, out, mark, OPTIONS).awaitTermination()
+        discard(spark, [path])      # its rows are stored
     return flat(ingested(spark, out, OPTIONS).clean).select(
         "batch", "row_id", "Date", "Client_ID", "Status", "Amount", "flags")
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from catalogue import files
 from catalogue.fixture import ledger_raw
 from catalogue.ledger import OPTIONS, QUERIES
 from tallymark import Options, run
+from tallymark.operators import staging
 from tallymark.operators.staging import spread
 from tallymark.sources import delimited, sinks
 from tallymark.streaming import ingest
@@ -203,6 +205,67 @@ def test_drops_whose_keys_start_anew(spark, tmp_path):
     assert len(flags(spark, tmp_path)) == 4
 
 
+DROPS = ([(0, "2001-07-01", "a", "Paid", 60.0, 100.0), (1, "2001-07-02", "b", "Paid", 5.0, None),
+          (2, "2001-07-02", "c", "Paid", 7.0, 10.0), (3, "2001-07-02", None, "Paid", 7.0, 5.0),
+          (4, "2001-07-02", None, "Paid", 7.0, 500.0), (5, None, "c", "Paid", 0.0, -1.0)],
+         [(1, "2001-07-01", "a", "Paid", 60.0, None), (0, "2001-07-02", "c", "Open", 7.0, 9.0),
+          (7, "2001-07-03", "b", "Paid", 5.0, 4.0), (8, None, "c", "Paid", 0.0, None)])
+
+
+def test_streamed_rows_are_judged_without_a_shuffle_of_them(spark, tmp_path, monkeypatch):
+    more = drops(spark, tmp_path / "usual")
+    for rows in DROPS:
+        more(rows)
+    usual = flags(spark, tmp_path / "usual")
+    copies = {k for k, f in usual.items() if "DUPLICATE ENTRY" in f}
+    assert copies == {(0, 4), (1, 0), (1, 1), (1, 8)}
+    assert {k for k, f in usual.items() if "CREDIT LIMIT BREACH" in f} == {(0, 0), (0, 2), (0, 3), (1, 0), (1, 7)}
+    monkeypatch.setattr(staging, "BROADCAST_ROWS", 0)       # as if the facts were large
+    monkeypatch.setattr(ingest, "GROUPED_ROWS", 2)
+    more = drops(spark, tmp_path / "large")
+    for rows in DROPS:
+        more(rows)
+    assert flags(spark, tmp_path / "large") == usual
+    found = ingested(spark, f"{tmp_path}/large/out", Options(order_by="id", as_of=dt.date(2001, 8, 1)))
+    plan = found.clean._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    found.close()
+    # Where not even bitmaps can be broadcast.
+    monkeypatch.setattr(staging, "BROADCAST_BYTES", 0)
+    assert flags(spark, tmp_path / "large") == usual
+
+
+def test_folders_begun_without_row_numbers_stay_so(spark, tmp_path, monkeypatch):
+    more = drops(spark, tmp_path)
+    numbered = ingest._numbered
+    monkeypatch.setattr(ingest, "_numbered", lambda *_: False)
+    more(DROPS[0])
+    monkeypatch.setattr(ingest, "_numbered", numbered)
+    more(DROPS[1])
+    assert ingest.AT not in spark.read.parquet(f"{tmp_path}/out/rows").columns
+    got = flags(spark, tmp_path)
+    assert {k for k, f in got.items() if "DUPLICATE ENTRY" in f} == {(0, 4), (1, 0), (1, 1), (1, 8)}
+
+
+def test_an_ingested_drop_leaves_no_shuffle_files(spark, tmp_path):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = disk.getAllFiles()
+        return {n for i in range(files.size()) if (n := files.apply(i).getName()).startswith("shuffle_")}
+
+    before = shuffles()
+    more = drops(spark, tmp_path)
+    for rows in DROPS:
+        more(rows)
+    flags(spark, tmp_path)
+    for _ in range(50):
+        if not (left := shuffles() - before):
+            break
+        time.sleep(0.2)
+    assert not left
+
+
 def test_a_reader_sees_whole_drops_only(spark, tmp_path, monkeypatch):
     more = drops(spark, tmp_path)
     row = (0, "2001-07-01", "a", "Paid", 60.0, 100.0)
